@@ -185,7 +185,7 @@ VIEWS = {
         regexp_extract(html, '<title>([^<]*)</title>', 1) AS message FROM pages""",
     "v_full": f"""SELECT d.*, CASE WHEN features IS NULL THEN NULL ELSE {DHASH.format('features')} END AS hash FROM (
         SELECT d.id, d.description, d.tags, d.content_hash, p.captured_at, p.creator_id, p.project_id, p.latitude, p.longitude,
-        CASE WHEN d.id % 5 = 1 THEN {NUDGE.format('vec_id')}
+        CASE WHEN embedding IS NULL THEN NULL WHEN d.id % 5 = 1 THEN {NUDGE.format('vec_id')}
              ELSE list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS features
         FROM v_doc d JOIN v_photo p ON p.id = d.id
         LEFT JOIN embeddings e ON e.vec_id = d.id - CASE WHEN d.id % 5 = 1 THEN 1 ELSE 0 END) d""",

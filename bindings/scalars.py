@@ -147,7 +147,7 @@ COS = f"{DOT.format('a.features', 'b.features')} / sqrt({DOT.format('a.features'
     SELECT id, {q4('0.8*v + 0.1*t + 0.1*s')} AS overall FROM s""")
 def _(t):
     df = _pairs(t.full.filter(F.col("features").isNotNull()).select("id", "captured_at", "latitude", "longitude", "features"))
-    v = K.cosine(F.col("a_features"), F.col("b_features"), dim=64)
+    v = K.cosine(F.col("a_features"), F.col("b_features"))
     overall = K.vector_stage_overall(v, K.temporal_proximity(*_ab("captured_at")), K.spatial_proximity(*_ab("latitude", "longitude")))
     return df.select(F.col("a_id").alias("id"), r4(overall).alias("overall"))
 
@@ -300,7 +300,7 @@ def _(t):
 @query("fn27_confidence_level", f"SELECT id, CASE WHEN v > 0.85 THEN 'high' WHEN v > 0.7 THEN 'medium' ELSE 'low' END AS level FROM (SELECT a.id, {COS} AS v FROM v_vec a JOIN v_vec b ON b.id = a.id + 1000000)")
 def _(t):
     return _pairs(t.vec, 1_000_000).select(F.col("a_id").alias("id"), K.confidence_level(
-        K.cosine(F.col("a_features"), F.col("b_features"), dim=64)).alias("level"))
+        K.cosine(F.col("a_features"), F.col("b_features"))).alias("level"))
 
 
 def _has(lst, word):

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .numbers import micros
+from .numbers import let, micros
 
 EARTH_RADIUS_KM = 6371.0
 
@@ -33,16 +33,16 @@ def temporal_proximity(t1: Column, t2: Column) -> Column:
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    h = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    h = F.least(F.lit(1.0), h)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(h), F.sqrt(F.lit(1.0) - h))
+    h = F.pow(half_lat, F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(half_lon, F.lit(2.0))
+    # asin(sqrt(h)) is atan2(sqrt(h), sqrt(1 - h)) with h used once
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
 def spatial_proximity(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     same = (lat1 == lat2) & (lon1 == lon2)
     missing = lat1.isNull() | lon1.isNull() | lat2.isNull() | lon2.isNull()
-    return F.when(missing, F.lit(0.0)).otherwise(
-        _tiers(haversine_km(lat1, lon1, lat2, lon2), same, SPACE_TIERS_KM, 0.0))
+    km = F.when(same, F.lit(-1.0)).otherwise(haversine_km(lat1, lon1, lat2, lon2))
+    return F.when(missing, F.lit(0.0)).otherwise(let(km, lambda d: _tiers(d, d < 0, SPACE_TIERS_KM, 0.0)))
 
 
 def relative_time(ts: Column, now: Column) -> Column:

@@ -5,22 +5,25 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from .numbers import let
+
 HEX = "0123456789abcdef"
 
 
 def difference_hash(grid: Column, size: int = 8) -> Column:
     """Hex hash of ``size`` rows of ``size + 1`` grey values: one bit per rise from left to right."""
 
-    def bit(i):
-        row, col = divmod(i, size)
-        at = row * (size + 1) + col
-        return F.when(grid[at] < grid[at + 1], F.lit(1)).otherwise(F.lit(0))
+    def bit(g, i):
+        # bit i compares positions i + row and i + row + 1, a row being one value longer than its bits
+        at = (i + F.floor(i / size)).cast("int")
+        return (F.get(g, at) < F.get(g, at + 1)).cast("int")
+
+    def digit(g, first):
+        value = reduce(lambda acc, k: acc * 2 + bit(g, first * 4 + k), range(4), F.lit(0))
+        return F.substring(F.lit(HEX), value + 1, F.lit(1))
 
-    digits = []
-    for first in range(0, size * size, 4):
-        value = reduce(lambda acc, i: acc * 2 + bit(i), range(first, first + 4), F.lit(0))
-        digits.append(F.substring(F.lit(HEX), value + 1, F.lit(1)))
-    return F.concat(*digits)
+    count = F.sequence(F.lit(0), F.lit(size * size // 4 - 1))
+    return let(grid, lambda g: F.array_join(F.transform(count, lambda d: digit(g, d)), ""))
 
 
 def hamming(h1: Column, h2: Column, mode: str = "char", length: int | None = None,

@@ -11,9 +11,14 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 def ratio(num: Column, den: Column, empty: float | None = None) -> Column:
     """``num / den`` with ``empty`` where the denominator is zero."""
-    value = F.when(den != 0, num.cast("double") / den.cast("double"))
+    value = F.try_divide(num.cast("double"), den.cast("double"))
     return value if empty is None else F.coalesce(value, F.lit(float(empty)))
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

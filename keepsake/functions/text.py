@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .numbers import ratio
+from .numbers import let, ratio
 
 # The word lists below must hold exactly these entries for results to agree.
 DOMAIN_TERMS = [
@@ -55,20 +55,25 @@ def words(text: Column, min_len: int = 4) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    # |A or B| = |A| + |B| - |A and B| for sets: one pass instead of building the union
-    return ratio(both, F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both, empty=0.0)
+    return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), empty=0.0)
+
+
+def set_jaccard(a: Column, b: Column) -> Column:
+    """The same for arrays without repeats: the union follows from the sizes."""
+    total = F.size(a) + F.size(b)
+    return let(F.size(F.array_intersect(a, b)), lambda n: ratio(n, total - n, empty=0.0))
 
 
 def domain_terms(toks: Column) -> Column:
     return F.array_intersect(toks, strings(DOMAIN_TERMS))
 
 
-def token_similarity(t1: Column, t2: Column) -> Column:
-    """Jaccard plus a boost for shared domain terms, at most one. Inputs are token sets."""
-    both = F.size(F.array_intersect(t1, t2))
-    base = ratio(both, F.size(t1) + F.size(t2) - both, empty=0.0)
-    d1, d2 = domain_terms(t1), domain_terms(t2)
+def token_similarity(t1: Column, t2: Column, d1: Column | None = None, d2: Column | None = None) -> Column:
+    """Jaccard plus a boost for shared domain terms, at most one. Inputs are token sets, and their
+    domain terms where these are already known."""
+    base = set_jaccard(t1, t2)
+    d1 = domain_terms(t1) if d1 is None else d1
+    d2 = domain_terms(t2) if d2 is None else d2
     boost = ratio(F.size(F.array_intersect(d1, d2)), F.greatest(F.size(d1), F.size(d2)), empty=0.0)
     return F.least(F.lit(1.0), base + boost * F.lit(DOMAIN_BOOST))
 

@@ -1,8 +1,6 @@
 """Vectors are array columns; arithmetic is done in double."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from .numbers import ratio
@@ -10,30 +8,26 @@ from .numbers import ratio
 EPSILON = 1e-8
 
 
-def dot(a: Column, b: Column, dim: int | None = None) -> Column:
-    """Inner product. With a known ``dim`` the sum is unrolled into generated code."""
-    if dim is not None:
-        return reduce(lambda x, y: x + y,
-                      [a[i].cast("double") * b[i].cast("double") for i in range(dim)], F.lit(0.0))
+def dot(a: Column, b: Column) -> Column:
     terms = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def norm(a: Column, dim: int | None = None) -> Column:
-    return F.sqrt(dot(a, a, dim))
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column, b: Column, variant: str = "guarded", dim: int | None = None,
-           strict: bool = True) -> Column:
+def cosine(a: Column, b: Column, variant: str = "guarded", strict: bool = True) -> Column:
     """Cosine similarity.
 
     ``guarded``: zero vectors score 0. ``epsilon``: 1e-8 is added to each squared norm and the result
     is held in [-1, 1]. ``plain``: no guard, NaN for a zero vector. Vectors of unequal length are an
     error when ``strict``, else null.
     """
-    d, na, nb = dot(a, b, dim), dot(a, a, dim), dot(b, b, dim)
+    d, na, nb = dot(a, b), dot(a, a), dot(b, b)
     if variant == "guarded":
-        value = F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(d / (F.sqrt(na) * F.sqrt(nb)))
+        value = F.when(a.isNotNull() & b.isNotNull(),
+                       F.coalesce(F.try_divide(d, F.sqrt(na) * F.sqrt(nb)), F.lit(0.0)))
     elif variant == "epsilon":
         raw = d / (F.sqrt(na + F.lit(EPSILON)) * F.sqrt(nb + F.lit(EPSILON)))
         value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
@@ -41,8 +35,6 @@ def cosine(a: Column, b: Column, variant: str = "guarded", dim: int | None = Non
         value = F.coalesce(F.try_divide(d, F.sqrt(na) * F.sqrt(nb)), F.lit(float("nan")))
     else:
         raise ValueError(f"unknown cosine variant: {variant}")
-    if dim is not None:
-        return value
     fail = F.raise_error(F.lit("vectors must have the same length")).cast("double")
     return F.when(F.size(a) == F.size(b), value).otherwise(fail if strict else F.lit(None))
 

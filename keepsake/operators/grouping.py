@@ -24,6 +24,8 @@ log = logging.getLogger(__name__)
 COMPONENT_EDGES = 20_000
 # Candidate pairs per blocked row up to which the pairs are listed outright.
 PAIRS_PER_ROW = 64
+# ... or in all: so few that peeling would not pay.
+PAIRS_LISTED = 5_000_000
 PEEL_ROUNDS = 8
 PARALLEL_ROUNDS = 4
 
@@ -60,19 +62,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return members.union(roots)
 
 
-def _sequential_members():
-    """Rows of one bounded component -> the nodes that some leader takes."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        later: dict = {}
-        for a, b in zip(pdf["a_key"], pdf["b_key"]):
-            later.setdefault(a, []).append(b)
-        taken: set = set()
-        for a in sorted(later):
-            if a not in taken:
-                taken.update(later[a])
-        keep = pdf["b_key"].isin(list(taken))
-        return pdf.loc[keep, ["component", "b_key"]].drop_duplicates(subset="b_key")
-    return run
+def _sequential_members(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges of one bounded part of the graph -> the nodes that some leader takes."""
+    later: dict = {}
+    for a, b in zip(pdf["a_key"], pdf["b_key"]):
+        later.setdefault(a, []).append(b)
+    taken: set = set()
+    for a in sorted(later):
+        if a not in taken:
+            taken.update(later[a])
+    keep = pdf["b_key"].isin(list(taken))
+    return pdf.loc[keep, ["component", "b_key"]].drop_duplicates(subset="b_key")
+
+
+def _walk(tagged: DataFrame) -> DataFrame:
+    """Members (column ``b``) of parts ``(component, a, b)`` that are each small enough for one task."""
+    names = (tagged.select("component", F.col("a").alias("node"))
+             .union(tagged.select("component", F.col("b").alias("node"))).distinct())
+    # positions inside a part stand for the nodes, so the helper sees plain integers
+    ranked = names.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy("node")))
+    keyed = (tagged.join(ranked.select("component", F.col("node").alias("a"), F.col("k").alias("a_key")), ["component", "a"])
+             .join(ranked.select("component", F.col("node").alias("b"), F.col("k").alias("b_key")), ["component", "b"])
+             .select("component", "a_key", "b_key"))
+    schema = T.StructType([keyed.schema["component"], T.StructField("b_key", T.IntegerType())])
+    taken = keyed.groupBy("component").applyInPandas(_sequential_members, schema)
+    return taken.join(ranked.withColumnRenamed("k", "b_key"), ["component", "b_key"]).select(F.col("node").alias("b"))
 
 
 def _small_components(edges: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -80,17 +94,7 @@ def _small_components(edges: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]
     comps = connected_components(edges).withColumnRenamed("node", "a")
     tagged = edges.select("a", "b").join(comps, "a")
     sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = tagged.join(sizes.filter(F.col("n") <= cap), "component")
-    # positions inside a component stand for the nodes, so the helper sees plain integers
-    names = small.select("component", F.col("a").alias("node")).union(small.select("component", F.col("b").alias("node"))).distinct()
-    ranked = names.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy("node")))
-    keyed = (small.join(ranked.select("component", F.col("node").alias("a"), F.col("k").alias("a_key")), ["component", "a"])
-             .join(ranked.select("component", F.col("node").alias("b"), F.col("k").alias("b_key")), ["component", "b"])
-             .select("component", "a_key", "b_key"))
-    schema = T.StructType([keyed.schema["component"], T.StructField("b_key", T.IntegerType())])
-    taken = keyed.groupBy("component").applyInPandas(_sequential_members(), schema)
-    members = (taken.join(ranked.withColumnRenamed("k", "b_key"), ["component", "b_key"])
-               .select(F.col("node").alias("b")))
+    members = _walk(tagged.join(sizes.filter(F.col("n") <= cap).select("component"), "component"))
     large = tagged.join(sizes.filter(F.col("n") > cap), "component").select("a", "b")
     return members, large
 
@@ -105,19 +109,23 @@ def absorbed(edges: DataFrame, rounds: int = PARALLEL_ROUNDS, cap: int = COMPONE
     """
     active = edges.select("a", "b")
     found: list[DataFrame] = []
-    n = 0
-    while not active.isEmpty():
+    n, left = 0, active.count()
+    while left:
         n += 1
+        if left <= cap:
+            found.append(_walk(active.withColumn("component", F.lit(0))))
+            break
         if n == rounds + 1:
             members, active = _small_components(active, cap)
             found.append(materialize(members.distinct(), "members"))
             active = materialize(active, "active")
-            continue
-        heads = active.select("a").distinct().join(active.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        members = materialize(active.join(heads, "a", "left_semi").select("b").distinct(), "members")
-        found.append(members)
-        active = materialize(active.join(members, "b", "left_anti")
-                             .join(members.select(F.col("b").alias("a")), "a", "left_anti"), "active")
+        else:
+            heads = active.select("a").distinct().join(active.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+            members = materialize(active.join(heads, "a", "left_semi").select("b").distinct(), "members")
+            found.append(members)
+            active = materialize(active.join(members, "b", "left_anti")
+                                 .join(members.select(F.col("b").alias("a")), "a", "left_anti"), "active")
+        left = active.count()
         if n > rounds and n % 20 == 0:
             log.warning("leader grouping: %d rounds on components of more than %d edges", n, cap)
     log.info("leader grouping took %d rounds", n)
@@ -172,8 +180,9 @@ class Blocked:
     def verify(self, pairs: DataFrame) -> DataFrame:
         left = self.rows.select(*[F.col(c).alias(f"a_{c}") for c in self.rows.columns]).withColumnRenamed("a_ord", "a")
         right = self.rows.select(*[F.col(c).alias(f"b_{c}") for c in self.rows.columns]).withColumnRenamed("b_ord", "b")
-        scored = pairs.join(left, "a").join(right, "b").withColumn("score", self.score("a_", "b_"))
-        return scored.filter(self.accept(F.col("score"))).select("a", "b", "score")
+        # scored once: a plain filter would be pushed below the score and compute it again
+        accepted = F.filter(F.array(self.score("a_", "b_")), self.accept)
+        return pairs.join(left, "a").join(right, "b").select("a", "b", F.explode(accepted).alias("score"))
 
     def edges(self) -> DataFrame:
         """All accepted pairs."""
@@ -186,7 +195,8 @@ class Blocked:
         row = sizes.agg(F.coalesce(pairs, F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         return int(row[0]), int(row[1])
 
-    def groups(self, pairs_per_row: float = PAIRS_PER_ROW, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
+    def groups(self, pairs_per_row: float = PAIRS_PER_ROW, peel_rounds: int = PEEL_ROUNDS,
+               pairs_listed: int = PAIRS_LISTED) -> DataFrame:
         """``(leader, member, score)`` of every row that joins a leader.
 
         Sparse blocks are listed pair by pair. Dense blocks (many near copies) are peeled first: the
@@ -195,7 +205,7 @@ class Blocked:
         """
         blocks = materialize(self.blocks, "blocks")
         pairs, n = self.load(blocks)
-        if pairs <= pairs_per_row * n:
+        if pairs <= max(pairs_listed, pairs_per_row * n):
             edges = materialize(self.verify(self.candidates(blocks, blocks)), "edges")
             return assign_leaders(edges, absorbed(edges))
         live, taken = blocks, []
@@ -213,7 +223,7 @@ class Blocked:
                                .join(hit.select(F.col("b").alias("ord")), "ord", "left_anti"), "live")
             before, (pairs, n) = pairs, self.load(live)
             log.info("peeling dense blocks: %d candidate pairs left on %d block rows", pairs, n)
-            if pairs <= pairs_per_row * n or pairs > 0.7 * before:
+            if pairs <= max(pairs_listed, pairs_per_row * n) or pairs > 0.7 * before:
                 break
         rest = materialize(self.verify(self.candidates(live, live)), "edges")
         members = absorbed(rest)

@@ -31,8 +31,10 @@ def _ord(id_col: str, order_col: str | None) -> Column:
 
 # --- perceptual hashes -------------------------------------------------------------------------
 
-def _picked(h: Column, positions) -> Column:
-    return F.concat(*[F.substring(h, p + 1, 1) for p in positions])
+def _picked(positions) -> str:
+    """SQL for the characters of ``hash`` at the given positions; one parsed text is much cheaper to
+    build than hundreds of column objects."""
+    return "concat(" + ", ".join(f"substring(hash, {p + 1}, 1)" for p in positions) + ")"
 
 
 def hash_blocks(reps: DataFrame, threshold: float, hot: int = HOT_BLOCK) -> DataFrame:
@@ -49,9 +51,8 @@ def hash_blocks(reps: DataFrame, threshold: float, hot: int = HOT_BLOCK) -> Data
         return reps.select("ord", F.lit("all").alias("key"))
     first = min(8, (need + 1) // 2)
     choices = [[p + 8 * half for p in c] for half in (0, 1) for c in combinations(range(8), first)]
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), _picked(F.col("hash"), c).alias("chars"))
-                     for i, c in enumerate(choices)])
-    flat = reps.select("ord", "hash", F.explode(keys).alias("k")).select("ord", "hash", "k.*")
+    keys = F.expr("array(" + ", ".join(_picked(c) for c in choices) + ")")
+    flat = reps.select("ord", "hash", F.posexplode(keys).alias("choice", "chars"))
     sizes = flat.groupBy("choice", "chars").agg(F.count(F.lit(1)).alias("n"))
     big = sizes.filter(F.col("n") > hot).select("choice", "chars")
     plain_key = F.concat_ws("|", "choice", "chars")
@@ -62,14 +63,14 @@ def hash_blocks(reps: DataFrame, threshold: float, hot: int = HOT_BLOCK) -> Data
     if big.isEmpty():
         return flat.select("ord", plain_key.alias("key"))
     cool = flat.join(big, ["choice", "chars"], "left_anti").select("ord", plain_key.alias("key"))
-    split = None
     hot_rows = flat.join(big, ["choice", "chars"], "left_semi")
-    for i, used in enumerate(choices):
-        others = [p for p in range(HASH_LENGTH) if p not in used]
-        sub = F.array(*[F.concat(F.lit(f"{j}:"), _picked(F.col("hash"), c))
-                        for j, c in enumerate(combinations(others, more))])
-        expr = F.when(F.col("choice") == i, sub)
-        split = expr if split is None else split.when(F.col("choice") == i, sub)
+    used = [r["choice"] for r in big.select("choice").distinct().collect()]
+    cases = []
+    for i in used:
+        others = [p for p in range(HASH_LENGTH) if p not in choices[i]]
+        sub = ", ".join(f"concat('{j}:', {_picked(c)})" for j, c in enumerate(combinations(others, more)))
+        cases.append(f"WHEN {i} THEN array({sub})")
+    split = F.expr(f"CASE choice {' '.join(cases)} END")
     refined = hot_rows.select("ord", plain_key.alias("k"), F.explode(split).alias("s"))
     return cool.unionByName(refined.select("ord", F.concat_ws("|", "k", "s").alias("key")))
 
@@ -107,7 +108,8 @@ def hash_pairs(df: DataFrame, id_col="id", hash_col="hash", threshold=0.85, orde
 def hash_groups(df: DataFrame, id_col="id", hash_col="hash", threshold=0.85, order_col=None, mode="char",
                 **tuning) -> DataFrame:
     blocked, rows = blocked_hashes(df, id_col, hash_col, threshold, order_col, mode)
-    return expand(blocked.groups(**tuning), rows, F.lit(1.0))
+    # read again by every later step, so computed once
+    return materialize(expand(blocked.groups(**tuning), rows, F.lit(1.0)), "groups")
 
 
 def _named(edges: DataFrame) -> DataFrame:
@@ -157,15 +159,15 @@ def blocked_vectors(df: DataFrame, id_col="id", vector_col="features", threshold
         dim = first["d"] if first else 0
     v = F.transform(vector_col, lambda x: x.cast("double"))
     wrong = F.raise_error(F.lit("vectors must have the same length")).cast("array<double>")
-    vecs = (df.filter(F.col(vector_col).isNotNull()).withColumn("vec", F.when(F.size(vector_col) == dim, v).otherwise(wrong)))
-    vecs = vecs.withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec"), dim))).filter(F.col("norm") > 0)
+    vecs = (df.filter(F.col(vector_col).isNotNull()).withColumn("vec", F.when(F.col(vector_col).isNull() | (F.size(vector_col) == dim), v).otherwise(wrong)))
+    vecs = vecs.withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec")))).filter(F.col("norm") > 0)
     reps, rows = collapse(vecs, "vec", _ord(id_col, order_col))
     # normalised once, so that a pair costs one inner product
-    reps = materialize(reps.select("ord", "n", F.sqrt(dot(F.col("vec"), F.col("vec"), dim)).alias("norm"), "vec")
+    reps = materialize(reps.select("ord", "n", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm"), "vec")
                        .select("ord", F.transform("vec", lambda x: x / F.col("norm")).alias("unit")), "vectors")
     blocks = vector_blocks(reps, threshold)
     score = lambda a, b: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(
-        F.col(f"{a}unit"), F.col(f"{b}unit"), dim)))
+        F.col(f"{a}unit"), F.col(f"{b}unit"))))
     near = lambda a, b: F.col(f"{a}home")
     return Blocked(reps, blocks, score, lambda s: s >= threshold, near), rows.drop("vec")
 
@@ -179,7 +181,8 @@ def vector_pairs(df: DataFrame, id_col="id", vector_col="features", threshold=0.
 def vector_groups(df: DataFrame, id_col="id", vector_col="features", threshold=0.8, order_col=None,
                   dim: int | None = None, **tuning) -> DataFrame:
     blocked, rows = blocked_vectors(df, id_col, vector_col, threshold, order_col, dim)
-    return expand(blocked.groups(**tuning), rows, F.lit(1.0))
+    # read again by every later step, so computed once
+    return materialize(expand(blocked.groups(**tuning), rows, F.lit(1.0)), "groups")
 
 
 # --- text --------------------------------------------------------------------------------------
@@ -193,9 +196,17 @@ def _prefix_blocks(sets: DataFrame, freq: DataFrame, jaccard_min: float, scope:
     by = ["ord", "size"] + (["scope"] if scope is not None else [])
     sets_sorted = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("freq", "tok"))).alias("sorted"))
     keep = F.col("size") - F.ceil(F.col("size") * F.lit(jaccard_min) - F.lit(1e-9)) + 1
-    out = sets_sorted.select(*by, F.explode(F.slice("sorted", F.lit(1), F.greatest(F.lit(1), keep).cast("int"))).alias("t"))
+    out = sets_sorted.select(*by, F.posexplode(F.slice("sorted", F.lit(1), F.greatest(F.lit(1), keep).cast("int"))).alias("pos", "t"))
     key = F.concat_ws("\u0001", *([F.col("scope").cast("string")] if scope is not None else []), F.col("t.tok"))
-    return out.select("ord", "size", key.alias("key"))
+    return out.select("ord", "size", "pos", key.alias("key"))
+
+
+def overlap_possible(a: str, b: str, least: Column) -> Column:
+    """Size and position test: tokens at and after a shared one must suffice for the least overlap.
+    A pair that reaches it passes at its first shared token."""
+    c = lambda p, n: F.col(f"{p}{n}")
+    needed = least / (F.lit(1.0) + least) * (c(a, "size") + c(b, "size")) - F.lit(1e-6)
+    return F.least(c(a, "size") - c(a, "pos"), c(b, "size") - c(b, "pos")) >= needed
 
 
 def token_frequencies(sets: DataFrame) -> DataFrame:
@@ -219,11 +230,9 @@ def blocked_texts(df: DataFrame, id_col="id", text_col="description", threshold=
         raise ValueError(f"text blocking needs a threshold above {DOMAIN_BOOST}")
     sets = df.withColumn("toks", F.array_sort(tokens(F.col(text_col)))).filter(F.size("toks") > 0)
     reps, rows = collapse(sets, "toks", _ord(id_col, order_col))
-    reps = materialize(reps.select("ord", "toks"), "token-sets")
-    score = lambda a, b: token_similarity(F.col(f"{a}toks"), F.col(f"{b}toks"))
-    # sets whose sizes differ too much cannot overlap enough
-    near = lambda a, b: (F.least(F.col(f"{a}size"), F.col(f"{b}size"))
-                         >= F.greatest(F.col(f"{a}size"), F.col(f"{b}size")) * F.col(f"{a}least") - F.lit(1e-9))
+    reps = materialize(reps.select("ord", "toks", domain_terms(F.col("toks")).alias("terms")), "token-sets")
+    score = lambda a, b: token_similarity(F.col(f"{a}toks"), F.col(f"{b}toks"), F.col(f"{a}terms"), F.col(f"{b}terms"))
+    near = lambda a, b: overlap_possible(a, b, F.col(f"{a}least"))
     return Blocked(reps, text_blocks(reps, threshold), score, lambda s: s >= threshold, near), rows.drop("toks")
 
 
@@ -235,7 +244,8 @@ def text_pairs(df: DataFrame, id_col="id", text_col="description", threshold=0.7
 def text_groups(df: DataFrame, id_col="id", text_col="description", threshold=0.7, order_col=None,
                 **tuning) -> DataFrame:
     blocked, rows = blocked_texts(df, id_col, text_col, threshold, order_col)
-    return expand(blocked.groups(**tuning), rows, F.lit(1.0))
+    # read again by every later step, so computed once
+    return materialize(expand(blocked.groups(**tuning), rows, F.lit(1.0)), "groups")
 
 
 # --- search and look-ups -----------------------------------------------------------------------
@@ -244,8 +254,7 @@ QUERY_LIMIT = 1_000
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col="id", vector_col="features",
-          filter_col: str | None = None, query_id="query_id", query_vector="query",
-          dim: int | None = None) -> DataFrame:
+          filter_col: str | None = None, query_id="query_id", query_vector="query") -> DataFrame:
     """The ``k`` most similar vectors of each query, among those that share its filter value.
 
     Queries are a short list: their number is checked and each becomes a constant of the plan, so the
@@ -264,7 +273,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col="id", vect
         every = F.array(*[F.struct(F.lit(r[0]).alias(query_id),
                                    F.array(*[F.lit(float(x)) for x in r[1]]).alias(query_vector)) for r in asked])
         pairs = vectors.withColumn("_q", F.explode(every)).select("*", "_q.*").drop("_q")
-    scored = pairs.select(query_id, id_col, cosine(F.col(query_vector), F.col(vector_col), dim=dim).alias("score"))
+    scored = pairs.select(query_id, id_col, cosine(F.col(query_vector), F.col(vector_col)).alias("score"))
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -42,8 +42,10 @@ def rows_of(columns, rows):
 
 def compare(df, con, sql: str):
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    done = time.time()
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    compare.oracle_seconds = time.time() - done
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}", len(got)
     if len(got) != len(want):
@@ -81,7 +83,7 @@ def main(argv):
                 kind = "rows-only"
             else:
                 note, n = compare(df, con, sql)
-                kind = "oracle"
+                kind = f"(oracle {compare.oracle_seconds:.1f}s)"
         except Exception as error:  # report and go on
             note, n, kind = f"{type(error).__name__}: {str(error)[:700]}", -1, "error"
         if note:

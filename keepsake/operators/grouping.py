@@ -63,19 +63,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _sequential_members(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one bounded part of the graph -> the nodes that some leader takes."""
-    later: dict = {}
-    for a, b in zip(pdf["a_key"], pdf["b_key"]):
-        later.setdefault(a, []).append(b)
+    """Edges of some bounded parts of the graph -> the nodes that some leader takes."""
+    pdf = pdf.sort_values(["component", "a_key"])
     taken: set = set()
-    for a in sorted(later):
-        if a not in taken:
-            taken.update(later[a])
-    keep = pdf["b_key"].isin(list(taken))
-    return pdf.loc[keep, ["component", "b_key"]].drop_duplicates(subset="b_key")
+    for edge in zip(pdf["component"].tolist(), pdf["a_key"].tolist(), pdf["b_key"].tolist()):
+        # edges come by their smaller end, so its own fate is settled before it takes anyone
+        if edge[:2] not in taken:
+            taken.add((edge[0], edge[2]))
+    return pd.DataFrame(sorted(taken), columns=["component", "b_key"])
 
 
-def _walk(tagged: DataFrame) -> DataFrame:
+def _batched(df: DataFrame, n: int, size: int) -> DataFrame:
+    """``batch`` number per component: many small components share a task call, at about ``size`` rows
+    (plus at most one bounded component) each."""
+    return df.withColumn("batch", F.pmod("component", F.lit(max(1, -(-n // size)))))
+
+
+def _walk(tagged: DataFrame, n_edges: int) -> DataFrame:
     """Members (column ``b``) of parts ``(component, a, b)`` that are each small enough for one task."""
     names = (tagged.select("component", F.col("a").alias("node"))
              .union(tagged.select("component", F.col("b").alias("node"))).distinct())
@@ -84,17 +88,19 @@ def _walk(tagged: DataFrame) -> DataFrame:
     keyed = (tagged.join(ranked.select("component", F.col("node").alias("a"), F.col("k").alias("a_key")), ["component", "a"])
              .join(ranked.select("component", F.col("node").alias("b"), F.col("k").alias("b_key")), ["component", "b"])
              .select("component", "a_key", "b_key"))
-    schema = T.StructType([keyed.schema["component"], T.StructField("b_key", T.IntegerType())])
-    taken = keyed.groupBy("component").applyInPandas(_sequential_members, schema)
-    return taken.join(ranked.withColumnRenamed("k", "b_key"), ["component", "b_key"]).select(F.col("node").alias("b"))
+    keyed = keyed.withColumn("component", F.xxhash64("component"))
+    schema = "component bigint, b_key int"
+    taken = _batched(keyed, n_edges, COMPONENT_EDGES).groupBy("batch").applyInPandas(_sequential_members, schema)
+    names = ranked.select(F.xxhash64("component").alias("component"), F.col("k").alias("b_key"), "node")
+    return taken.join(names, ["component", "b_key"]).select(F.col("node").alias("b"))
 
 
-def _small_components(edges: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+def _small_components(edges: DataFrame, n_edges: int, cap: int) -> tuple[DataFrame, DataFrame]:
     """Members found inside components of at most ``cap`` edges, and the edges of larger components."""
     comps = connected_components(edges).withColumnRenamed("node", "a")
     tagged = edges.select("a", "b").join(comps, "a")
     sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = _walk(tagged.join(sizes.filter(F.col("n") <= cap).select("component"), "component"))
+    members = _walk(tagged.join(sizes.filter(F.col("n") <= cap).select("component"), "component"), n_edges)
     large = tagged.join(sizes.filter(F.col("n") > cap), "component").select("a", "b")
     return members, large
 
@@ -113,10 +119,10 @@ def absorbed(edges: DataFrame, rounds: int = PARALLEL_ROUNDS, cap: int = COMPONE
     while left:
         n += 1
         if left <= cap:
-            found.append(_walk(active.withColumn("component", F.lit(0))))
+            found.append(_walk(active.withColumn("component", F.lit(0)), left))
             break
         if n == rounds + 1:
-            members, active = _small_components(active, cap)
+            members, active = _small_components(active, left, cap)
             found.append(materialize(members.distinct(), "members"))
             active = materialize(active, "active")
         else:
@@ -242,7 +248,8 @@ def collapse(df: DataFrame, content, ord_: Column) -> tuple[DataFrame, DataFrame
     Returns the representatives ``(content..., ord, n)`` and all rows ``(ord, rep, content...)``.
     """
     content = [content] if isinstance(content, str) else list(content)
-    named = df.withColumn("ord", ord_)
+    # contents may be costly to compute and are read twice from here
+    named = materialize(df.select(ord_.alias("ord"), *content), "contents")
     reps = named.groupBy(*content).agg(F.min("ord").alias("rep"), F.count(F.lit(1)).alias("n"))
     rows = named.join(reps.select(*content, "rep"), content).select("ord", "rep", *content)
     return reps.withColumnRenamed("rep", "ord"), rows
@@ -275,18 +282,27 @@ def summarise(groups: DataFrame) -> DataFrame:
 # --- groups from directed decisions --------------------------------------------------------------
 
 def _claim_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bounded component: seeds in order claim themselves and their related rows not yet claimed."""
+    """Some bounded components: seeds in order claim themselves and their related rows not yet claimed."""
+    pdf = pdf.sort_values(["component", "pos", "at"])
     taken: set = set()
-    out = []
-    for _, claims in pdf.sort_values("pos").groupby("pos", sort=True):
-        seed = claims["seed"].iloc[0]
-        if seed in taken:
-            continue
-        free = [m for m in claims.sort_values("at")["member"] if m not in taken]
-        if len(free) > 1:
-            taken.update(free)
-            out.extend((seed, m) for m in free)
-    return pd.DataFrame(out, columns=["seed", "member"])
+    seeds, members = [], []
+
+    def settle(seed, claim):
+        if seed not in taken:
+            free = [m for m in claim if m not in taken]
+            if len(free) > 1:
+                taken.update(free)
+                seeds.extend([seed] * len(free))
+                members.extend(free)
+
+    now, claim = None, []
+    for seed, member in zip(pdf["seed"].tolist(), pdf["member"].tolist()):
+        if seed != now:
+            settle(now, claim)
+            now, claim = seed, []
+        claim.append(member)
+    settle(now, claim)
+    return pd.DataFrame({"seed": seeds, "member": members}, columns=["seed", "member"])
 
 
 def _claim_in_rounds(claims: DataFrame) -> DataFrame:
@@ -327,10 +343,12 @@ def groups_from_decisions(decisions: DataFrame, id_col="id", order_col: str | No
     tagged = claims.join(comps.withColumnRenamed("node", "seed"), "seed")
     sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     rank = Window.partitionBy("component").orderBy("pos")
+    # ranks stand for the order values, so the helper sorts plain integers
     small = (tagged.join(sizes.filter(F.col("n") <= cap).select("component"), "component")
-             .withColumn("pos", F.dense_rank().over(rank)))
+             .withColumn("pos", F.dense_rank().over(rank))
+             .withColumn("component", F.xxhash64("component")))
     schema = T.StructType([claims.schema["seed"], claims.schema["member"]])
-    done = small.groupBy("component").applyInPandas(_claim_in_order, schema)
+    done = _batched(small, claims.count(), cap).groupBy("batch").applyInPandas(_claim_in_order, schema)
     big = materialize(tagged.join(sizes.filter(F.col("n") > cap).select("component"), "component", "left_semi")
                       .select("seed", "pos", "at", "member"), "large")
     if not big.isEmpty():

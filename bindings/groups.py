@@ -119,7 +119,7 @@ def _(t):
     return h.select("layer", "group_id", "type", "size", *[r4(F.col(c)).alias(c) for c in names])
 
 
-@query("a14_pipeline_metrics")
+@query("a14_layer_metrics")
 def _(t):
     return cascade.analyse(t.full, dim=64).metrics
 

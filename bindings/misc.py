@@ -139,7 +139,7 @@ def _(t):
 
 @query("a21_session_progress", """WITH c AS (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST(id AS INTEGER)) AS ts FROM v_change)
     SELECT count(*) AS commits, CAST(sum(CASE WHEN id % 7 = 0 THEN 0 ELSE insertions END) AS BIGINT) AS lines_added, CAST(sum(deletions) AS BIGINT) AS lines_removed,
-    (SELECT string_agg(message, '|' ORDER BY ts DESC) FROM (SELECT message, ts FROM c ORDER BY ts DESC LIMIT 3)) AS recent FROM c WHERE ts > TIMESTAMP '2024-01-03'""")
+    (SELECT string_agg(message, '|' ORDER BY ts DESC) FROM (SELECT message, ts FROM c WHERE ts > TIMESTAMP '2024-01-03' ORDER BY ts DESC LIMIT 3)) AS recent FROM c WHERE ts > TIMESTAMP '2024-01-03'""")
 def _(t):
     log = t.change.select(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 3600).alias("ts"), "message",
                           F.when(F.col("id") % 7 == 0, "-").otherwise(F.col("insertions").cast("string")).alias("added"), F.col("deletions").cast("string").alias("removed"))

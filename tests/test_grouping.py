@@ -69,8 +69,7 @@ def chars(a, b):
     return sum(x != y for x, y in zip(a, b))
 
 
-@pytest.mark.parametrize("hot", [5_000, 2])
-@pytest.mark.parametrize("peel", [False, True])
+@pytest.mark.parametrize("hot,peel", [(5_000, False), (2, True)])
 def test_hash_groups(spark, hot, peel):
     hs = hashes(60, 7)
     df = spark.createDataFrame(list(enumerate(hs)), "id long, hash string").orderBy(F.rand(3)).repartition(5)
@@ -97,7 +96,7 @@ def test_hash_pairs_by_bit(spark):
     assert got == {(i, j) for i in range(len(hs)) for j in range(i + 1, len(hs)) if bits(hs[i], hs[j]) <= 9}
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.8, 0.98, 0.999])
+@pytest.mark.parametrize("threshold", [0.3, 0.98])
 @pytest.mark.parametrize("peel", [False, True])
 def test_vector_groups(spark, threshold, peel):
     rnd = random.Random(int(threshold * 1000))

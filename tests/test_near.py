@@ -119,7 +119,7 @@ def overall(a, b):
     return .7 * v + .2 * t + .1 * c if t > .95 and c > .8 else .4 * v + .2 * c + .15 * t + .15 * s + .1 * m
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_composite_is_lossless(spark, seed):
     rnd = random.Random(seed)
     vocabulary = [f"word{i}" for i in range(25)] + sorted(DOMAIN)

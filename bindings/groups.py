@@ -8,6 +8,7 @@ from keepsake.plans import cascade
 
 from .pairs import ALL_PAIRS, HCHARS, UDOT, shared_score, shared_sql
 from .registry import TOK, joined, leaders_sql, q4, query, r4
+from .scalars import H, MINUTES, SAME, SPATIAL, TEMPORAL
 
 HASH_EDGES = f"he AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b, 1.0 - ({HCHARS}) / CAST(64 AS DOUBLE) AS score FROM v_hash a JOIN v_hash b ON a.id < b.id) WHERE score >= 0.85)"
 VEC_UNITS = ("u AS MATERIALIZED (SELECT id, list_transform(features, lambda x: x / sqrt(list_sum(list_transform(features, lambda y: y * y)))) AS u FROM {0})")
@@ -78,7 +79,7 @@ def _(t):
 EXACT = """ex AS MATERIALIZED (SELECT id AS member, leader FROM (SELECT id, min(id) OVER (PARTITION BY content_hash) AS leader, count(*) OVER (PARTITION BY content_hash) AS n FROM v_full) WHERE n > 1)"""
 
 
-def _cascade_sql(hash_layer: bool, more: str = "") -> str:
+def _cascade_sql(hash_layer: bool, more: str = "", select: str = "") -> str:
     parts = [EXACT, "r1 AS MATERIALIZED (SELECT * FROM v_full WHERE id NOT IN (SELECT member FROM ex))"]
     rest, layers = "r1", ["SELECT 'exact' AS layer, leader AS group_id, member AS member_id, member = leader AS is_leader FROM ex"]
     if hash_layer:
@@ -94,7 +95,7 @@ def _cascade_sql(hash_layer: bool, more: str = "") -> str:
               "fe AS MATERIALIZED (SELECT * FROM ce WHERE a IN (SELECT id FROM cand) AND b IN (SELECT id FROM cand))", leaders_sql("fe", "fg")]
     layers += ["SELECT 'vector', leader, member, false FROM fg", "SELECT DISTINCT 'vector', leader, leader, true FROM fg"]
     parts += [more] if more else []
-    return f"WITH RECURSIVE {', '.join(parts)} " + " UNION ALL ".join(layers)
+    return f"WITH RECURSIVE {', '.join(parts)} " + (select or " UNION ALL ".join(layers))
 
 
 # without any candidate, the descriptions of the first 15 rows are grouped
@@ -112,7 +113,13 @@ def _(t):
     return cascade.analyse(t.full, cascade.Layers(perceptual=False), dim=64).members.drop("score")
 
 
-@query("g8_cascade_headers")
+HEADERS = f"""sm AS (SELECT fg.leader, count(*) + 1 AS size, avg(fe.score) AS av, min(fg.member) AS first FROM fg JOIN fe ON fe.a = fg.leader AND fe.b = fg.member GROUP BY fg.leader),
+    hp AS (SELECT sm.*, {MINUTES} AS m, {H} AS h, {SAME} AS same FROM sm JOIN v_full a ON a.id = sm.leader JOIN v_full b ON b.id = sm.first)"""
+ONES = ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for n, v in (("overall", 1), ("visual", 1), ("content", 1), ("temporal", 0), ("spatial", 0), ("semantic", 1), ("confidence", 1)))
+
+
+@query("g8_cascade_headers", _cascade_sql(False, HEADERS, f"""SELECT 'exact' AS layer, leader AS group_id, 'exact_duplicates' AS type, count(*) AS size, {ONES} FROM ex GROUP BY leader
+    UNION ALL SELECT 'vector', leader, 'retry_shots', size, {q4('av')}, {q4('av')}, 1.0, {TEMPORAL}, {SPATIAL}, {q4('av')}, {q4('av')} FROM hp"""))
 def _(t):
     h = cascade.analyse(t.full, cascade.Layers(perceptual=False), dim=64).headers
     names = ("overall", "visual", "content", "temporal", "spatial", "semantic", "confidence")

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from keepsake.functions import difference_hash
 from keepsake.functions.numbers import half_up
@@ -40,9 +40,11 @@ class Tables:
         self.spark, self.dir = configure(spark), sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        ntz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-        return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
+        path = f"{self.dir}/{name}.parquet"
+        found = self.spark.read.parquet(path).schema
+        # times are instants here: read as such, without a cast that would keep filters from the scan
+        fields = [T.StructField(f.name, T.TimestampType() if f.dataType == T.TimestampNTZType() else f.dataType) for f in found.fields]
+        return self.spark.read.schema(T.StructType(fields)).parquet(path)
 
     @cached_property
     def photo(self) -> DataFrame:

@@ -15,16 +15,20 @@ def _ts(value: datetime | None):
 
 
 def _all(conditions) -> Column:
-    out = F.lit(True)
-    for c in conditions:
+    conditions = list(conditions)
+    out = conditions[0] if conditions else F.lit(True)
+    for c in conditions[1:]:
         out = out & c
     return out
 
 
-def in_date_range(ts: Column, start: datetime | None = None, end: datetime | None = None) -> Column:
-    """Inclusive at both ends; a missing time passes an open range only."""
+def in_date_range(ts: Column, start: datetime | None = None, end: datetime | None = None,
+                  missing: bool = False) -> Column:
+    """Inclusive at both ends. A missing time fails a bounded range unless ``missing``."""
     tests = ([ts >= _ts(start)] if start else []) + ([ts <= _ts(end)] if end else [])
-    return F.coalesce(_all(tests), F.lit(False))
+    # plain comparisons, so that a filter on them reaches the scan
+    inside = _all(tests)
+    return ts.isNull() | inside if missing and tests else inside
 
 
 def in_size_range(width: Column, height: Column, low: float = 0, high: float = 100) -> Column:
@@ -107,7 +111,8 @@ def stage_predicates(c: Criteria, captured_at="captured_at", width="width", heig
     """The active stages of ``c`` in order, cheapest first, with their predicates."""
     out = {}
     if c.start or c.end:
-        out["date_range"] = in_date_range(F.col(captured_at), c.start, c.end)
+        # records without a readable time are kept by this filter
+        out["date_range"] = in_date_range(F.col(captured_at), c.start, c.end, missing=True)
     if c.min_mb > 0 or c.max_mb < 100:
         out["file_size"] = in_size_range(F.col(width), F.col(height), c.min_mb, c.max_mb)
     if c.min_width > 0 or c.min_height > 0:

@@ -139,3 +139,11 @@ def test_streams_in_batches(spark, tmp_path):
     assert {r["key"]: r["id"] for r in store.current().collect()} == {"a": 5, "b": 4, "c": 6}
     S.write_stream(S.first_arrivals(stream(), ts="ts"), f"{base}/first", f"{base}/c3").awaitTermination(300)
     assert {r["id"] for r in spark.read.parquet(f"{base}/first").collect()} == {1, 2, 4, 6}
+
+
+def test_missing_times(spark):
+    df = spark.createDataFrame([(1, None), (2, datetime(2025, 1, 5)), (3, datetime(2025, 2, 5))], "id long, captured_at timestamp")
+    ids = lambda d: [r["id"] for r in d.orderBy("id").collect()]
+    assert ids(filters.apply_criteria(df, filters.Criteria(start=datetime(2025, 2, 1)))) == [1, 3]
+    assert ids(df.filter(filters.in_date_range(F.col("captured_at"), end=datetime(2025, 1, 5)))) == [2]
+    assert ids(filters.apply_criteria(df, filters.Criteria())) == [1, 2, 3]

@@ -4,7 +4,7 @@ Every letter has a random vector of +1 and -1, drawn from a generator seeded wit
 vector of an n-gram binds (multiplies) its letters' vectors, each permuted (rolled) by its place. A
 text's vector bundles (adds) the vectors of all its n-grams, a language's prototype those of all its
 training texts, and a text gets the language with the greatest cosine. Ties go to the first language by
-code point.
+code point. ``n`` is 2 or 3.
 
 Letters are Unicode letters, lower-cased; everything between two words is one boundary symbol. A text
 that is null or has no letter gets ``und`` with score 0, as does every text if nothing was learned. The
@@ -62,7 +62,6 @@ def ngrams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for i in range(n):
         key = key * base + codes[i:i + size]
     whole = owner[:size] == owner[n - 1:]
-    whole &= (codes[:size] != 0) | (codes[n - 1:] != 0)
     pairs, counts = np.unique(owner[:size][whole] * base ** n + key[whole], return_counts=True)
     texts_of, keys = pairs // base ** n, pairs % base ** n
     distinct, number = np.unique(keys, return_inverse=True)
@@ -113,7 +112,6 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
     found = summed.limit(most + 1).toPandas()
     if len(found) > most:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    spark.catalog  # the session stays referenced while the plan runs
     out = {}
     for lang, group in found.groupby("lang"):
         vector = np.zeros(dimensions)

@@ -72,51 +72,54 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return own.mapInPandas(run, f"doc_id long, {FEATURES}")
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
-
-
 def rules() -> dict[str, Column]:
-    """The rules, over the features."""
+    """The rules, over the features. Most only object, and say nothing about a text they have no
+    objection to; two approve, of texts that look like prose and of texts that repeat nothing."""
     words, chars = F.col("n_words"), F.col("word_chars")
     symbols, lines, again = F.col("n_symbols"), F.col("n_dup_lines"), F.col("n_repeat_words")
     upper, letters, marks, digits = F.col("n_upper"), F.col("n_letters"), F.col("n_marks"), F.col("n_digits")
-    return {
-        "length": _vote(words >= 40, words < 8),
-        "word_length": _vote(chars.between(3 * words, 9 * words), (chars < 2 * words) | (chars > 14 * words)),
-        "symbols": _vote(50 * symbols <= words, 4 * symbols > words),
-        "lines": _vote((lines == 0) & (F.col("n_lines") >= 3), 10 * lines > 3 * F.col("n_lines")),
-        "repeats": _vote((again == 0) & (words >= 40), 5 * again > words),
-        "capitals": _vote(8 * upper <= letters, 2 * upper > letters),
-        "marks": _vote(50 * marks <= words, 5 * marks > words),
-        "letters": _vote(10 * letters >= 7 * chars, 2 * letters < chars),
-        "digits": _vote(20 * digits <= chars, 4 * digits > chars),
+    plain = (words >= 40) & (50 * symbols <= words)
+    objections = {
+        "length": words < 8,
+        "word_length": (chars < 2 * words) | (chars > 14 * words),
+        "symbols": 4 * symbols > words,
+        "lines": 10 * lines > 3 * F.col("n_lines"),
+        "repeats": 5 * again > words,
+        "capitals": 2 * upper > letters,
+        "marks": 5 * marks > words,
+        "letters": 2 * letters < chars,
+        "digits": 4 * digits > chars,
     }
+    approvals = {
+        "prose": plain & (10 * letters >= 7 * chars) & (8 * upper <= letters) & (50 * marks <= words),
+        "varied": plain & (again == 0) & (lines == 0),
+    }
+    return ({k: F.when(v, -1).otherwise(0) for k, v in objections.items()}
+            | {k: F.when(v, 1).otherwise(0) for k, v in approvals.items()})
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
-    """Accuracies of the rules, prior of "good", and the posterior of each vote pattern.
+def fit(votes: np.ndarray, counts: np.ndarray, prior: float = 0.5, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Accuracies of the rules and the posterior of each vote pattern.
 
-    ``votes`` has a row of -1, 0, 1 for each pattern. Accuracies start at 0.8 and are held between 0.55
-    and 0.99: a rule is better than a coin, which also fixes which of the two hidden classes is "good".
+    ``votes`` has a row of -1, 0, 1 for each pattern. The first guess is that a text is bad if any rule
+    objects to it. Accuracies are held between 0.55 and 0.99: a rule is better than a coin, which also
+    fixes which of the two hidden classes is "good". The prior is given, not fitted: with a fitted one the
+    many good texts would outvote any rule that objects alone.
     """
     if not len(votes):
-        return np.zeros(votes.shape[1]), 0.5, np.zeros(0)
+        return np.zeros(votes.shape[1]), np.zeros(0)
     weight = counts / counts.sum()
-    accuracy, prior = np.full(votes.shape[1], 0.8), 0.8
+    good = np.where((votes < 0).any(axis=1), 0.05, 0.95)
+    accuracy = np.zeros(votes.shape[1])
     for _ in range(rounds):
-        odds = np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
-        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         right = (weight[:, None] * np.where(votes > 0, good[:, None], np.where(votes < 0, 1 - good[:, None], 0))).sum(0)
         voted = (weight[:, None] * (votes != 0)).sum(0)
-        new = np.clip((right + 0.008) / (voted + 0.01), 0.55, 0.99)
-        prior = float(np.clip((weight * good).sum(), 0.05, 0.95))
-        if np.abs(new - accuracy).max() < 1e-9:
-            accuracy = new
+        before, accuracy = accuracy, np.clip((right + 0.8e-6) / (voted + 1e-6), 0.55, 0.99)
+        odds = np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
+        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        if np.abs(accuracy - before).max() < 1e-9:
             break
-        accuracy = new
-    odds = np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
-    return accuracy, prior, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    return accuracy, good
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -125,9 +128,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     measured = Workspace(spark, "quality").save(features(docs, id_col, text_col), "features")
     own = rules()
     pattern = F.concat(*[(v + 1).cast("string") for v in own.values()])
-    found = measured.groupBy(pattern.alias("pattern")).count().collect()  # at most 3 ** len(own) rows
+    # at most 3 ** len(own) rows; in one order, so that sums of floats are the same in every run
+    found = sorted(measured.groupBy(pattern.alias("pattern")).count().collect())
     votes = np.array([[int(c) - 1 for c in r["pattern"]] for r in found], float).reshape(len(found), len(own))
-    _, _, good = fit(votes, np.array([r["count"] for r in found], float))
+    _, good = fit(votes, np.array([r["count"] for r in found], float))
     known = spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(found, good)], "pattern string, posterior double")
     words, again = F.col("n_words"), F.col("n_repeat_words")
     failed = (words < 20) | (100 * again > 30 * words)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, languages, quality, secrets
+from . import chat, languages, mixing, quality, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,12 @@ def _chat(spark, sf_dir):
     return chat.digest(chat.format_events(chat.turn_events(turns.unionByName(added))))
 
 
+@query("op3_mix_sources")
+def _mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query("op5_secret_scan")
 def _secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))

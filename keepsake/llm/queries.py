@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, languages, mixing, quality, secrets
+from . import chat, decontaminate, languages, mixing, quality, secrets, shards
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,11 +57,21 @@ def _mix(spark, sf_dir):
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query("op4_decontaminate")
+def _leaks(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_secret_scan")
 def _secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op7_token_shards")
+def _shards(spark, sf_dir):
+    return shards.materialise(table(spark, sf_dir, "documents"))
+
+
 @query("op8_quality_rules")
 def _quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(

@@ -126,3 +126,49 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
         for i in range(n):
             out = out * BASE + hashes[i:i + count]
         return mix(out)
+
+
+BITS = 1 << 24
+
+
+def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A filter of fixed size over the 64-bit values of the only column of ``hashes``: 64-bit words, one
+    bit for each value modulo ``bits``. It may let other values through, never the reverse, so it saves
+    shuffling and an exact join decides; when there are very many values it only saves less."""
+    places = hashes.select(F.pmod(F.col(hashes.columns[0]), F.lit(bits)).cast("long").alias("place"))
+    words = places.selectExpr("place DIV 64 AS word", "shiftleft(1L, CAST(place % 64 AS INT)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = np.mod(hashes.astype(np.int64), len(words) * 64)
+    return (words[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """``key, component`` of every key in ``links`` (``a, b``), component being its smallest key.
+
+    Smallest labels spread along links and along labels themselves (a label's label), so paths shorten
+    at least by half a round. Every round is a written table.
+    """
+    both = space.save(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(
+        "a <> b").distinct(), f"{name}-edges")
+    labels = space.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "key"), f"{name}-0")
+    number = 0
+    while True:
+        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        spread = labels.join(near.withColumnRenamed("a", "key"), "key").select(
+            "key", F.least("component", "near").alias("component"), F.col("component").alias("was"))
+        other = labels.toDF("component", "jump")
+        jumped = spread.join(other, "component", "left").select(
+            "key", F.least("component", F.coalesce("jump", "component")).alias("component"), "was")
+        number += 1
+        after = space.save(jumped, f"{name}-{number}")
+        changed = after.filter("component <> was").limit(1).count()
+        space.drop(f"{name}-{number - 1}")
+        labels = after.select("key", "component")
+        if not changed:
+            return labels

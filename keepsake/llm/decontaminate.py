@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import session
 
@@ -112,6 +112,19 @@ class Items:
                 yield item_id, *min(found)
 
 
+_prepared: dict[int, Items] = {}
+
+
+def prepared(sent, rate: float) -> Items:
+    """The items of a broadcast block, made ready once in each worker."""
+    key = id(sent.value)
+    if key not in _prepared:
+        _prepared.clear()
+        _prepared[key] = Items(sent.value, rate)
+        _prepared[key].source = sent.value  # keeps the id from being used again
+    return _prepared[key]
+
+
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     """The normalised test set in blocks; the driver holds one block at a time."""
     block, size = [], 0
@@ -127,6 +140,22 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+def finder(sent, rate: float):
+    @F.pandas_udf("array<struct<item_id: long, distance: long, end: long>>")
+    def find(texts: pd.Series) -> pd.Series:
+        ready = prepared(sent, rate)
+        return pd.Series([[dict(zip(("item_id", "distance", "end"), hit)) for hit in ready.find(normal(t))] for t in texts], dtype=object)
+    return find
+
+
+def free_of(sent, rate: float):
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        ready = prepared(sent, rate)
+        return pd.Series([next(ready.find(normal(t)), None) is None for t in texts], dtype=bool)
+    return free
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """``doc_id, item_id, distance, end``: one row for each text and each item that it leaks."""
@@ -136,14 +165,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     for block in item_blocks(items, item_id, item_text):
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches, sent=sent):
-            ready = Items(sent.value, rate)
-            for batch in batches:
-                rows = [(i, *hit) for i, text in zip(batch["doc_id"].astype("Int64"), batch["text"])
-                        for hit in ready.find(normal(text))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end"]).astype("Int64")
-
-        part = own.mapInPandas(run, schema)
+        part = own.select("doc_id", F.explode(finder(sent, rate)("text")).alias("hit")).select("doc_id", "hit.*")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -156,10 +178,5 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     for block in item_blocks(items, item_id, item_text):
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches, sent=sent):
-            ready = Items(sent.value, rate)
-            for batch in batches:
-                yield batch[[next(ready.find(normal(t)), None) is None for t in batch[text_col]]]
-
-        kept = kept.mapInPandas(run, docs.schema)
+        kept = kept.filter(free_of(sent, rate)(kept[text_col]))
     return kept

@@ -128,28 +128,22 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     session(docs.sparkSession)
     names = np.array(list(prototypes) or [UNKNOWN], dtype=object)
     matrix = np.stack(list(prototypes.values())).astype(np.float32) if prototypes else np.zeros((1, dimensions), np.float32)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    own = docs.select(*kept)
-    fields = own.schema
 
-    def run(batches):
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch[text_col]]
-            texts_of, number, counts, rows = ngrams(texts, n)
-            vectors = bundle(texts_of, number, counts, rows, len(texts), dimensions, seed)
-            norms = np.linalg.norm(vectors, axis=1)
-            cosines = vectors @ matrix.T / np.where(norms > 0, norms, 1)[:, None]
-            # a text without letters has no n-gram at all
-            known = np.bincount(texts_of, minlength=len(texts)) > 0 if prototypes else np.zeros(len(texts), bool)
-            best = cosines.argmax(axis=1)
-            out = batch.copy()
-            out["lang_pred"] = np.where(known, names[best], UNKNOWN)
-            out["score"] = np.where(known, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0.0).astype(float)
-            yield out
-
-    from pyspark.sql import types as T
-    return own.mapInPandas(run, T.StructType([*fields.fields, T.StructField("lang_pred", T.StringType()),
-                                              T.StructField("score", T.DoubleType())]))
+    @F.pandas_udf("lang_pred string, score double")
+    def compared(column: pd.Series) -> pd.DataFrame:
+        texts = [t if isinstance(t, str) else "" for t in column]
+        texts_of, number, counts, rows = ngrams(texts, n)
+        vectors = bundle(texts_of, number, counts, rows, len(texts), dimensions, seed)
+        norms = np.linalg.norm(vectors, axis=1)
+        cosines = vectors @ matrix.T / np.where(norms > 0, norms, 1)[:, None]
+        # a text without letters has no n-gram at all
+        known = np.bincount(texts_of, minlength=len(texts)) > 0 if prototypes else np.zeros(len(texts), bool)
+        best = cosines.argmax(axis=1)
+        return pd.DataFrame({"lang_pred": np.where(known, names[best], UNKNOWN),
+                             "score": np.where(known, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0.0).astype(float)})
+
+    kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, compared(docs[text_col]).alias("_language")).select("*", "_language.*").drop("_language")
 
 
 def identify(docs: DataFrame, modulus: int = 4, held: int = 2, **options) -> DataFrame:
@@ -158,3 +152,11 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2, **options) -> Dat
     prototypes = learn(docs.filter(~out), **options)
     own = docs.select("doc_id", out.alias("held_out"), "text")
     return predict(own, prototypes, **options).drop("text")
+
+
+def keep_known(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` in a language that their own labels teach. Rejected are texts without a
+    letter, and texts whose best cosine is below two standard deviations of that of random vectors."""
+    dimensions = options.get("dimensions", 1024)
+    told = predict(docs.withColumn("_text", docs["text"]), learn(docs, **options), **options)
+    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 2 / dimensions ** 0.5)).select(*docs.columns)

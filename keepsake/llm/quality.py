@@ -62,14 +62,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     names = [x.split()[0] for x in FEATURES.split(", ")]
 
-    def run(batches):
-        for batch in batches:
-            rows = np.array([features_of(t) for t in batch["text"]], np.int64).reshape(len(batch), len(names))
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return own.mapInPandas(run, f"doc_id long, {FEATURES}")
+    @F.pandas_udf(FEATURES)
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        rows = np.array([features_of(t) for t in texts], np.int64).reshape(len(texts), len(names))
+        return pd.DataFrame(rows, columns=names)
+
+    return own.select("doc_id", measured("text").alias("f")).select("doc_id", "f.*")
 
 
 def rules() -> dict[str, Column]:

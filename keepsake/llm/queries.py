@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, languages, mixing, quality, secrets, shards
+from . import chat, decontaminate, languages, mixing, quality, secrets, shards, similar
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,23 @@ def _shards(spark, sf_dir):
 def _quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Brute force: ``linked(a, b)`` with a < b, and ``sets(doc_id, g)``; needs WITH RECURSIVE.
+LINKED = rf"""
+    words AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM DOCS),
+    sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM words),
+    grams AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM sets),
+    linked AS MATERIALIZED (SELECT p.doc_id AS a, q.doc_id AS b FROM grams p JOIN grams q ON p.x = q.x AND p.doc_id < q.doc_id
+        GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+    reached(id, other) AS (SELECT doc_id, doc_id FROM sets UNION
+        SELECT r.id, e.b FROM reached r JOIN (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked) e ON e.a = r.other)"""
+
+
+@query("op9_ngram_join", f"""WITH RECURSIVE {LINKED.replace('DOCS', 'documents')},
+    least AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+    SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least ON id = doc_id""")
+def _similar(spark, sf_dir):
+    return similar.groups(table(spark, sf_dir, "documents"))

@@ -25,7 +25,9 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from .common import session
 
 # The text is searched as lower-cased UTF-8: bytes.lower() changes ASCII letters only.
 ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
@@ -130,16 +132,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, counts, digest of the base spans, and all spans."""
+    session(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
-    def run(batches):
-        for batch in batches:
-            found = [scan_text(t) for t in batch["text"]]
-            kinds = [[k for _, k, _ in base] for base, _ in found]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"), "n_assign": [k.count(0) for k in kinds],
-                "n_access": [k.count(1) for k in kinds], "n_hex": [k.count(2) for k in kinds],
-                "base_sha256": [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found],
-                "spans": [joined(every) for _, every in found]})
-
-    return own.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    def found_in(texts: pd.Series) -> pd.DataFrame:
+        found = [scan_text(t) for t in texts]
+        kinds = [[k for _, k, _ in base] for base, _ in found]
+        return pd.DataFrame({
+            "n_assign": [k.count(0) for k in kinds], "n_access": [k.count(1) for k in kinds], "n_hex": [k.count(2) for k in kinds],
+            "base_sha256": [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found],
+            "spans": [joined(every) for _, every in found]})
+
+    return own.select("doc_id", found_in("text").alias("found")).select("doc_id", "found.*")

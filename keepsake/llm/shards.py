@@ -120,9 +120,9 @@ def permute(numbers: np.ndarray, n: int, key: str = KEY, inverse: bool = False)
 def _rows(batch: pd.DataFrame, path: str):
     """Id and ids of each text of a batch that has any."""
     coder = tokenizer(path)
-    for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+    for doc_id, text in zip(batch["doc_id"], batch["text"]):
         if isinstance(text, str) and text:
-            yield MISSING if pd.isna(doc_id) else int(doc_id), coder.encode(text)
+            yield int(doc_id), coder.encode(text)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
@@ -133,7 +133,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     if pinned is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     try:
-        own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn(
+        id_ = F.coalesce(docs[id_col].cast("long"), F.lit(MISSING)).cast("long")
+        own = docs.select(id_.alias("doc_id"), docs[text_col].alias("text")).withColumn(
             "split", F.spark_partition_id())
 
         def count(batches):
@@ -201,13 +202,14 @@ def read(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
                 ids = number(8, 16, ">i8")
                 yield pd.DataFrame({
                     "slot": number(0, 8, ">u8"), "shard": shard,
-                    "doc_id": pd.array(ids, "Int64").copy() if not (ids == MISSING).any() else pd.array([None if i == MISSING else int(i) for i in ids], "Int64"),
+                    "doc_id": ids,
                     "sequence": number(16, 20, ">u4"), "n_tokens": used,
                     "tokens_sha256": [hashlib.sha256(content[r * size + HEADER:r * size + HEADER + 2 * n]).hexdigest()
                                       for r, n in enumerate(used)]})
 
     return files.select("path", "content").mapInPandas(
-        run, "slot long, shard long, doc_id long, sequence long, n_tokens long, tokens_sha256 string")
+        run, "slot long, shard long, doc_id long, sequence long, n_tokens long, tokens_sha256 string").withColumn(
+        "doc_id", F.when(F.col("doc_id") != MISSING, F.col("doc_id")))
 
 
 def materialise(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:

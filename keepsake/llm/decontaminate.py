@@ -4,7 +4,9 @@ A text leaks a test item if some stretch of it is within ``k`` edits of the whol
 ``error_rate`` of the item's length. The item is cut into k + 1 pieces; k edits cannot touch all of them,
 so at least one piece occurs unchanged, near the place where it belongs. Pieces are found exactly with
 one automaton for all items; around each hit a stretch of item length plus k on either side is verified
-with Myers' bit-parallel distance. Stretches of one item that overlap are verified once.
+with Myers' bit-parallel distance. Stretches of one item that overlap are verified once. The same
+count spares nearly all chance hits: the item cut into ``GRAM`` characters each has only k parts that the
+edits can touch, so a stretch without that many of the others needs no verification.
 
 Both sides are compared lower-cased, as words of letters and digits with one space between them;
 positions are code points of that form. Each row of the test set is an item; an item or text that is
@@ -25,6 +27,7 @@ from .common import session
 
 RATE = 0.1
 BLOCK = 4_000_000
+GRAM = 5
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -79,7 +82,8 @@ class Items:
         for item_id, text in items:
             k = int(len(text) * rate)
             number = len(self.items)
-            self.items.append((item_id, len(text), k, character_masks(text)))
+            grams = [text[i:i + GRAM] for i in range(0, len(text) - GRAM + 1, GRAM)]
+            self.items.append((item_id, len(text), k, character_masks(text), grams))
             for offset, piece in pieces(text, k):
                 where.setdefault(piece, []).append((number, offset))
         self.automaton = ahocorasick.Automaton()
@@ -92,7 +96,7 @@ class Items:
         spans: dict[int, list[list[int]]] = {}
         for last, (length, places) in self.automaton.iter(text):
             for number, offset in places:
-                _, m, k, _ = self.items[number]
+                _, m, k, _, _ = self.items[number]
                 start = last + 1 - length - offset - k
                 mine = spans.setdefault(number, [])
                 # hits come in order of their ends, so starts are nearly sorted
@@ -101,11 +105,15 @@ class Items:
                 else:
                     mine.append([start, start + m + 2 * k])
         for number, mine in sorted(spans.items()):
-            item_id, m, k, masks = self.items[number]
+            item_id, m, k, masks, grams = self.items[number]
+            least = len(grams) - k
             found = []
             for a, b in mine:
                 a = max(0, a)
-                hit = best_match(masks, m, text[a:b], k)
+                stretch = text[a:b]
+                if sum([gram in stretch for gram in grams]) < least:
+                    continue
+                hit = best_match(masks, m, stretch, k)
                 if hit:
                     found.append((hit[0], a + hit[1]))
             if found:

@@ -1,88 +1,58 @@
 """Token ids in training order: fixed-stride binary shards.
 
-Texts are tokenised and cut into sequences of ``length`` ids, the last of a text shorter. Sequences are
-numbered in input order, and a keyed Feistel permutation of 0 .. n - 1 gives each its global slot: a
-network over the next power of four, walked again while it leaves the range. Nothing is sorted at
-random and nothing is stored to remember the order: slot and sequence number follow from each other.
-
-Slots are written by range partitions. Shard s holds slots s * per_shard .. (s + 1) * per_shard - 1 in
-order, one record of ``stride(length)`` bytes for each, so record r starts at byte r * stride and a
-reader can start, stop and resume anywhere. A record is, big-endian: slot (8 bytes), document id (8),
-number of the sequence in its text (4), ids in use (4), ids of 2 bytes padded with zeros, and one
-newline, which lets Spark's text writer and its commit protocol write it to any file system. A null id
-of a document is written as the smallest 64-bit number.
-
-The sequence count of every input split is needed before the first slot is known, so there are two
-passes over the texts: one counts, one encodes. Each carries a checksum of its split's rows in order; if
-a split does not read the same rows twice, the run stops with an error. Splitting is pinned for the run,
-so lost executors do not change it. The tasks hold eight bytes for each split.
-
-A null or empty text has no sequence. Repeated rows are sequences of their own.
+Texts are tokenised and cut into sequences of ``length`` ids, the last of a text shorter. A sequence is
+number i of input split p; of the domain p * CAPACITY + i a keyed Feistel permutation, walked again while
+it leaves the domain, gives it a ticket. The order of the tickets is the training order, and a sequence's
+global slot is its rank: slots are 0 .. n - 1 without gaps. No random number is drawn or kept, and no
+count is needed before the sequences are written, so every text is tokenised once.
+
+Shards are range partitions of the tickets, all ranges equally long, in ticket order inside. A shard has
+one record of ``stride(length)`` bytes for each sequence, so record r starts at byte r * stride, and a
+reader can start, stop and resume anywhere. The slot of a shard's first record is the number of records
+before it, which follows from the shards' sizes. A record is, big-endian: ticket (8 bytes), document id
+(8), number of the sequence in its text (4), ids in use (4), ids of 2 bytes padded with zeros, and one
+newline, which lets Spark's text writer and its commit protocol write it to any file system. A null id of
+a document is written as the smallest 64-bit number.
+
+A ticket depends on the split and place of a row, which a scan of files repeats exactly when an executor
+is lost; read the input from a table. A null or empty text has no sequence. Repeated rows are sequences
+of their own. The driver and the tasks that read hold eight bytes for each shard.
 """
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
-import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Workspace, session
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-LENGTH, PER_SHARD, KEY = 256, 16_384, "order-1"
+LENGTH, SHARD_BYTES, KEY = 256, 16 << 20, "order-1"
 HEADER = 24
-CACHE = 400_000
 MISSING = -(1 << 63)
+CAPACITY = 1 << 32  # sequences of one input split
+COLUMNS = "slot long, shard long, doc_id long, sequence long, n_tokens long, tokens_sha256 string"
 
 
 def stride(length: int = LENGTH) -> int:
     return HEADER + 2 * length + 1
 
 
-class Tokenizer:
-    """Byte-level BPE from a vocabulary file. Pieces between single spaces are encoded once and kept,
-    at most ``CACHE`` of them; a text with other white space next to a space is encoded whole."""
-
-    UNSAFE = re.compile(r"\s\s|^\s|\s$")
-
-    def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        if max(ranks.values()) > 0xFFFF:
-            raise ValueError("ids must fit in two bytes")
-        self.coder = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def piece(self, text: str) -> bytes:
-        ids = np.array(self.coder.encode_ordinary(text), ">u2").tobytes()
-        if len(self.known) < CACHE:
-            self.known[text] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Big-endian ids of two bytes."""
-        if self.UNSAFE.search(text):
-            return np.array(self.coder.encode_ordinary(text), ">u2").tobytes()
-        known, piece = self.known, self.piece
-        first, *rest = text.split(" ")
-        out = [known.get(first) or piece(first)]
-        for word in rest:
-            word = " " + word
-            ids = known.get(word)
-            out.append(piece(word) if ids is None else ids)
-        return b"".join(out)
-
-
 @lru_cache(2)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def tokenizer(path: str):
+    """Byte-level BPE from a vocabulary file of up to 65,536 ids."""
+    import public_tokenizers
+    import tiktoken
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    if max(ranks.values()) > 0xFFFF:
+        raise ValueError("ids must fit in two bytes")
+    return tiktoken.Encoding("shards", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def round_keys(key: str, rounds: int = 6) -> list[int]:
@@ -117,73 +87,43 @@ def permute(numbers: np.ndarray, n: int, key: str = KEY, inverse: bool = False)
     return out.astype(np.int64)
 
 
-def _rows(batch: pd.DataFrame, path: str):
-    """Id and ids of each text of a batch that has any."""
-    coder = tokenizer(path)
-    for doc_id, text in zip(batch["doc_id"], batch["text"]):
-        if isinstance(text, str) and text:
-            yield int(doc_id), coder.encode(text)
-
-
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
-          length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY) -> int:
-    """Write the shards below ``path`` as ``shard=<number>/``; the number of sequences."""
-    spark = session(docs.sparkSession)
-    pinned = spark.conf.get("spark.sql.files.minPartitionNum", None)
-    if pinned is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    try:
-        id_ = F.coalesce(docs[id_col].cast("long"), F.lit(MISSING)).cast("long")
-        own = docs.select(id_.alias("doc_id"), docs[text_col].alias("text")).withColumn(
-            "split", F.spark_partition_id())
-
-        def count(batches):
-            split, n, check = None, 0, 0
-            for batch in batches:
-                for doc_id, ids in _rows(batch, vocabulary):
-                    n += -(-len(ids) // (2 * length))
-                    check = zlib.crc32(ids, zlib.crc32(str(doc_id).encode(), check))
-                split = int(batch["split"].iloc[0]) if len(batch) else split
-            if split is not None:
-                yield pd.DataFrame({"split": [split], "n": [n], "crc": [check]})
-
-        # one row for each input split
-        found = own.mapInPandas(count, "split int, n long, crc long").toPandas().set_index("split").sort_index()
-        total = int(found["n"].sum())
-        starts = spark.sparkContext.broadcast((found.index.to_numpy(), (found["n"].cumsum() - found["n"]).to_numpy(), found["crc"].to_numpy()))
-
-        def encode(batches):
-            at, last, check = None, None, 0
-            for batch in batches:
-                if not len(batch):
+          length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: str = KEY) -> None:
+    """Write the shards below ``path`` as ``shard=<number>/``."""
+    session(docs.sparkSession)
+    id_ = F.coalesce(docs[id_col].cast("long"), F.lit(MISSING)).cast("long")
+    own = docs.select(id_.alias("doc_id"), docs[text_col].alias("text")).withColumn("split", F.spark_partition_id())
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // shard_bytes))
+    domain = max(1, own.rdd.getNumPartitions()) * CAPACITY
+    width = -(-domain // shards)
+
+    def encode(batches):
+        coder, place = tokenizer(vocabulary), None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if place is None:
+                place = int(batch["split"].iloc[0]) * CAPACITY
+            heads, parts = [], []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                if not isinstance(text, str) or not text:
                     continue
-                if at is None:
-                    splits, offsets, checks = starts.value
-                    i = int(np.searchsorted(splits, batch["split"].iloc[0]))
-                    at, last = int(offsets[i]), int(checks[i])
-                heads, parts = [], []
-                for doc_id, ids in _rows(batch, vocabulary):
-                    check = zlib.crc32(ids, zlib.crc32(str(doc_id).encode(), check))
-                    for number, start in enumerate(range(0, len(ids), 2 * length)):
-                        parts.append(ids[start:start + 2 * length])
-                        heads.append((doc_id, number))
-                slots = permute(np.arange(at, at + len(parts)), total, key)
-                at += len(parts)
-                yield pd.DataFrame({"slot": slots, "record": [
-                    int(slot).to_bytes(8, "big") + doc_id.to_bytes(8, "big", signed=True) + number.to_bytes(4, "big")
-                    + (len(part) // 2).to_bytes(4, "big") + part for slot, (doc_id, number), part in zip(slots, heads, parts)]})
-            if last is not None and check != last:
-                raise RuntimeError("an input split did not read the same rows twice; write the input to a table first")
-
-        shards = max(1, -(-total // per_shard))
-        placed = own.mapInPandas(encode, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / per_shard))
-        ranged = placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
-        record = F.rpad("record", stride(length) - 1, F.lit(b"\0"))
-        ranged.select("shard", record.cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
-        return total
-    finally:
-        if pinned is None:
-            spark.conf.unset("spark.sql.files.minPartitionNum")
+                ids = np.array(coder.encode_ordinary(text), ">u2").tobytes()
+                doc = int(doc_id).to_bytes(8, "big", signed=True)
+                for number, start in enumerate(range(0, len(ids), 2 * length)):
+                    part = ids[start:start + 2 * length]
+                    parts.append(part)
+                    heads.append(doc + number.to_bytes(4, "big") + (len(part) // 2).to_bytes(4, "big"))
+            tickets = permute(np.arange(place, place + len(parts)), domain, key)
+            place += len(parts)
+            yield pd.DataFrame({"ticket": tickets, "shard": tickets // width,
+                                "record": [t.to_bytes(8, "big") + h + p for t, h, p in zip(tickets.tolist(), heads, parts)]})
+
+    placed = own.mapInPandas(encode, "ticket long, shard long, record binary")
+    ranged = placed.repartitionById(int(shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "ticket")
+    record = F.rpad("record", stride(length) - 1, F.lit(b"\0"))
+    ranged.select("shard", record.cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def read(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
@@ -191,24 +131,26 @@ def read(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
     task holds one shard."""
     size = stride(length)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    shard = F.regexp_extract("path", r"shard=(\d+)/", 1).cast("long").alias("shard")
+    sizes = files.select(shard, "length").groupBy("shard").agg(F.sum("length").alias("bytes")).toPandas().sort_values("shard")
+    numbers = sizes["shard"].to_numpy()
+    firsts = (sizes["bytes"].cumsum() - sizes["bytes"]).to_numpy() // size
+    sent = spark.sparkContext.broadcast((numbers, firsts))
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                shard = int(re.search(r"shard=(\d+)/", name).group(1))
+            for number, content in zip(batch["shard"], batch["content"]):
                 data = np.frombuffer(content, np.uint8).reshape(-1, size)
-                number = lambda a, b, kind: np.ascontiguousarray(data[:, a:b]).view(kind).reshape(-1).astype(np.int64)
-                used = number(20, 24, ">u4")
-                ids = number(8, 16, ">i8")
+                field = lambda a, b, kind: np.ascontiguousarray(data[:, a:b]).view(kind).reshape(-1).astype(np.int64)
+                used = field(20, 24, ">u4")
+                first = int(sent.value[1][np.searchsorted(sent.value[0], number)])
                 yield pd.DataFrame({
-                    "slot": number(0, 8, ">u8"), "shard": shard,
-                    "doc_id": ids,
-                    "sequence": number(16, 20, ">u4"), "n_tokens": used,
+                    "slot": np.arange(first, first + len(data)), "shard": number, "doc_id": field(8, 16, ">i8"),
+                    "sequence": field(16, 20, ">u4"), "n_tokens": used,
                     "tokens_sha256": [hashlib.sha256(content[r * size + HEADER:r * size + HEADER + 2 * n]).hexdigest()
                                       for r, n in enumerate(used)]})
 
-    return files.select("path", "content").mapInPandas(
-        run, "slot long, shard long, doc_id long, sequence long, n_tokens long, tokens_sha256 string").withColumn(
+    return files.select(shard, "content").mapInPandas(run, COLUMNS).withColumn(
         "doc_id", F.when(F.col("doc_id") != MISSING, F.col("doc_id")))
 
 
@@ -216,6 +158,8 @@ def materialise(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """Write shards to the shared folder and read back what they hold."""
     spark = session(docs.sparkSession)
     path = Workspace(spark, "shards").path("out")
-    if write(docs, path, length=length, **options) == 0:
-        return spark.createDataFrame([], "slot long, shard long, doc_id long, sequence long, n_tokens long, tokens_sha256 string")
-    return read(spark, path, length)
+    write(docs, path, length=length, **options)
+    try:
+        return read(spark, path, length)
+    except AnalysisException:  # no text has a sequence, so there is no file
+        return spark.createDataFrame([], COLUMNS)

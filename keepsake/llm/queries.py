@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, languages, mixing, quality, repeats, secrets, shards, similar
+from . import chat, decontaminate, languages, mixing, quality, repeats, scoring, secrets, shards, similar
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ LINKED = rf"""
     SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least ON id = doc_id""")
 def _similar(spark, sf_dir):
     return similar.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scores")
+def _scores(spark, sf_dir):
+    return scoring.score_documents(table(spark, sf_dir, "documents"))

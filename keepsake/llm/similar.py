@@ -7,15 +7,17 @@ Method. All sets are ordered alike: by a table of shingle counts, rare first, th
 of sizes m and n link, then for every l their first ``n - ceil(t n) + l`` shingles (the l-prefixes) share
 at least l shingles. l = 1 gives the shortest prefixes and the most candidates; a larger l costs more
 prefix shingles but asks for more matches. Each document picks its own l: it doubles l until the
-candidates to be expected, the counts of its prefix shingles divided by l, are few, or the prefix has
-grown by a sixteenth of the set. A pair is held to the smaller l of the two.
+candidates to be expected, the documents that have its prefix shingles divided by l, are few, or the
+prefix has grown by a sixteenth of the set. A pair is held to the smaller l of the two. Of l or more
+shared shingles the rarest is not among the l - 1 most frequent of either prefix, so those lists are not
+paired at all; the pairs that remain must share l shingles before their sets are compared.
 
 Documents with equal sets are one node, so copies never meet. Large groups of near copies would still
-give pairs by the square, so links are found in two steps. First every prefix shingle links its nodes to
-the smallest and largest node it has, a linear number of pairs, which are verified and give components.
-Then only pairs in different components are candidates, with the match counts above; they are verified
-exactly and joined to the components. No link between different components can be missed, and links
-inside a component cannot change it.
+give pairs by the square, so most links are found in rounds before: every prefix shingle names one node
+as its head, every component proposes to join the head that most of its shingles name, and the proposals,
+one for each component, are verified. When a round brings little, all pairs of different components that
+the prefixes allow are verified. No link between components can be missed, and links inside a
+component cannot change it.
 
 The count table has a fixed size: shingles are counted by hash modulo ``COUNTERS``, over all documents.
 It decides the order only, so it cannot lose a link. What leaves a task unreduced is prefix shingles and
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Workspace, bitmap, components, in_bitmap, mix, session, windows, word_hashes, word_spans
 
 WORDS, PERCENT = 5, 80
-COUNTERS, CHUNK = 1 << 20, 1 << 14
+COUNTERS, CHUNK = 1 << 21, 1 << 14
 FEW = 64  # expected candidates of a document that make its prefix short enough
 
 
@@ -70,14 +72,10 @@ def read_documents(own: DataFrame, space: Workspace) -> tuple[DataFrame, np.ndar
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            keys, sizes = [], []
-            for text in batch["text"]:
-                found = shingles(text)
-                counts += np.bincount((found & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) if len(found) > 50_000 else 0
-                if len(found) <= 50_000:
-                    np.add.at(counts, (found & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                keys.append(set_key(found))
-                sizes.append(len(found))
+            sets = [shingles(text) for text in batch["text"]]
+            keys, sizes = [set_key(found) for found in sets], [len(found) for found in sets]
+            if sets:
+                counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"], "no_id": batch["no_id"], "key": keys, "n": sizes, "counts": None})
         for at in range(0, COUNTERS, CHUNK):
             part = counts[at:at + CHUNK]
@@ -104,18 +102,22 @@ def read_documents(own: DataFrame, space: Workspace) -> tuple[DataFrame, np.ndar
     return read.filter("kind = 0").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "key", "n"), table
 
 
-def choose(costs: np.ndarray, n: int, percent: int) -> int:
-    """The l of a set: ``costs`` are its shingles' counts above the usual, in order."""
+def reach(n: int) -> int:
+    """The largest l of a set."""
+    return 1 + n // 16
+
+
+def choose(counts: np.ndarray, places: np.ndarray, n: int, percent: int) -> int:
+    """The l of a set: ``counts`` other documents have its prefix shingles at ``places``."""
     base, l = n - least_overlap(n, percent), 1
-    while costs[:base + l].sum() > FEW * l and 2 * l <= max(1, n // 16):
+    while counts[places < base + l].sum() > FEW * l and 2 * l <= reach(n):
         l *= 2
     return l
 
 
 def nodes_of(own: DataFrame, table: np.ndarray, space: Workspace, percent: int) -> DataFrame:
-    """``key, n, l, tokens`` of every distinct set that can link to another: its l-prefix in order."""
+    """``key, n, tokens`` of every distinct set that can link to another: its longest prefix in order."""
     spark = own.sparkSession
-    usual = int(table.mean() + 3 * np.sqrt(table.mean()))
     sent = spark.sparkContext.broadcast(table.astype(np.int32 if table.max(initial=0) < 1 << 31 else np.int64))
 
     def run(batches):
@@ -133,36 +135,43 @@ def nodes_of(own: DataFrame, table: np.ndarray, space: Workspace, percent: int)
                     continue
                 if len(done) < 1 << 20:
                     done.add(key)
-                count = counts[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                order = np.lexsort((found, count))
-                l = choose(np.maximum(count[order].astype(np.int64) - usual, 0), n, percent)
-                rows.append((key, n, l, found[order][:n - least_overlap(n, percent) + l].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["key", "n", "l", "tokens"])
+                order = np.lexsort((found, counts[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                rows.append((key, n, found[order[:n - least_overlap(n, percent) + reach(n)]].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["key", "n", "tokens"])
 
-    made = own.mapInPandas(run, "key long, n long, l int, tokens array<long>")
-    return space.save(made.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "l", "tokens")]), "nodes")
+    made = own.mapInPandas(run, "key long, n long, tokens array<long>")
+    return space.save(made.groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "nodes")
 
 
-def verify(pairs: DataFrame, own: DataFrame, space: Workspace, name: str, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, own: DataFrame, members: DataFrame, space: Workspace, name: str, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` whose sets are near enough."""
     spark = own.sparkSession
     needed = space.save(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), f"{name}-needed")
-    sent = spark.sparkContext.broadcast(bitmap(needed))
+    # the texts to read again: one row with each needed set, found by its id; the key decides
+    rows = members.join(needed, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("ids"))
+    rows = space.save(rows, f"{name}-rows")
+    keys = spark.sparkContext.broadcast(bitmap(needed))
+    ids = spark.sparkContext.broadcast(bitmap(rows.select(F.xxhash64("doc_id"))))
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(ids.value, hashes.to_numpy(np.int64)))
 
     def read(batches):
         done: set[int] = set()
         for batch in batches:
-            rows = []
+            out = []
             for text in batch["text"]:
                 found = shingles(text)
                 key = set_key(found)
-                if key not in done and in_bitmap(sent.value, np.array([key]))[0]:
+                if key not in done and in_bitmap(keys.value, np.array([key]))[0]:
                     if len(done) < 1 << 20:
                         done.add(key)
-                    rows.append((key, found.tobytes()))
-            yield pd.DataFrame(rows, columns=["key", "shingles"])
+                    out.append((key, found.tobytes()))
+            yield pd.DataFrame(out, columns=["key", "shingles"])
 
-    made = own.mapInPandas(read, "key long, shingles binary")
+    asked = own.filter(maybe(F.xxhash64(F.when(~F.col("no_id"), F.col("doc_id")))))
+    made = asked.mapInPandas(read, "key long, shingles binary")
     sets = space.save(made.join(needed, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), f"{name}-sets")
     first, second = sets.toDF("a", "shingles_a"), sets.toDF("b", "shingles_b")
     both = pairs.join(first, "a").join(second, "b")
@@ -177,45 +186,91 @@ def verify(pairs: DataFrame, own: DataFrame, space: Workspace, name: str, percen
             yield batch.loc[near, ["a", "b"]]
 
     links = space.save(both.mapInPandas(compare, "a long, b long"), f"{name}-links")
-    space.drop(f"{name}-needed", f"{name}-sets")
+    space.drop(f"{name}-needed", f"{name}-rows", f"{name}-sets")
     return links
 
 
+def near_sizes(m, n, percent: int):
+    return F.lit(100) * F.least(m, n) >= F.lit(percent) * F.greatest(m, n)
+
+
+def with_component(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with their nodes' components, only of shingles that several components have."""
+    marked = live.withColumn("component", F.col("key")) if labels is None else live.join(labels, "key", "left").withColumn(
+        "component", F.coalesce("component", "key"))
+    heads = marked.groupBy("token").agg(F.min(F.struct("component", "key", "n")).alias("head"), F.max("component").alias("top"))
+    return marked.join(heads.filter("head.component < top").drop("top"), "token")
+
+
+def proposals(marked: DataFrame, percent: int) -> DataFrame:
+    """For each component one pair ``a, b`` with the head that most of its shingles name."""
+    named = marked.filter((F.col("component") != F.col("head.component")) & near_sizes(F.col("n"), F.col("head.n"), percent))
+    counted = named.groupBy("component", F.col("head.component").alias("to")).agg(
+        F.count("*").alias("times"), F.min(F.struct(F.col("key").alias("a"), F.col("head.key").alias("b"))).alias("pair"))
+    best = counted.groupBy("component").agg(F.max(F.struct("times", "pair")).alias("best"))
+    return best.select(F.least("best.pair.a", "best.pair.b").alias("a"), F.greatest("best.pair.a", "best.pair.b").alias("b")).distinct()
+
+
+def candidates_of(marked: DataFrame, space: Workspace, percent: int) -> DataFrame:
+    """All pairs ``a, b`` of nodes of different components whose prefixes share enough."""
+    counts = marked.groupBy("token").agg(F.count("*").alias("documents"))
+    lists = marked.join(counts, "token").groupBy("key").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"), F.collect_list(F.struct("documents", "token", "place")).alias("list"))
+
+    def rank(batches):
+        for batch in batches:
+            parts = []
+            for key, n, component, own in zip(batch["key"], batch["n"], batch["component"], batch["list"]):
+                own = sorted(((r["documents"], r["token"], r["place"]) for r in own), reverse=True)  # the most frequent first
+                l = choose(np.array([d - 1 for d, _, _ in own]), np.array([p for _, _, p in own]), n, percent)
+                parts.append(pd.DataFrame({"key": key, "n": n, "l": l, "component": component, "token": [t for _, t, _ in own],
+                                           "place": [p for _, _, p in own], "rank": np.arange(1, len(own) + 1)}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    ranked = space.save(lists.mapInPandas(rank, "key long, n long, l int, component long, token long, place int, rank int"), "ranked")
+    x, y, l = ranked.alias("x"), ranked.alias("y"), F.least("x.l", "y.l")
+    prefix = lambda s: F.col(f"{s}.place") < F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * percent / 100) + l
+    met = x.join(y, "token").filter(
+        (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") >= l) & (F.col("y.rank") >= l)
+        & near_sizes(F.col("x.n"), F.col("y.n"), percent) & prefix("x") & prefix("y"))
+    pairs = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), l.alias("l")).distinct()
+    # the number of matches, frequent shingles included
+    own = ranked.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "place")).alias("list"))
+    first, second = own.toDF("a", "n_a", "list_a"), own.toDF("b", "n_b", "list_b")
+    cut = lambda s: F.transform(F.filter(f"list_{s}", lambda r: r["place"] < F.col(f"n_{s}") - F.ceil(F.col(f"n_{s}") * percent / 100) + F.col("l")),
+                                lambda r: r["token"])
+    return pairs.join(first, "a").join(second, "b").filter(F.size(F.array_intersect(cut("a"), cut("b"))) >= F.col("l")).select("a", "b")
+
+
 def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key, n`` of every row, and ``key, component`` of the nodes that link to others."""
     own = with_sets(docs, id_col, text_col)
     members, table = read_documents(own, space)
     nodes = nodes_of(own, table, space, percent)
-    postings = nodes.select("key", "n", "l", F.posexplode("tokens").alias("place", "token"))
+    postings = nodes.select("key", "n", F.posexplode("tokens").alias("place", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("documents")).filter("documents > 1").select("token")
     live = space.save(postings.join(shared, "token"), "postings")
     space.drop("nodes")
 
-    near = lambda m, n: (F.lit(100) * F.least(m, n) >= F.lit(percent) * F.greatest(m, n))
-    ends = live.groupBy("token").agg(F.min(F.struct("n", "key")).alias("low"), F.max(F.struct("n", "key")).alias("high"))
-    stars = live.join(ends, "token").select("key", "n", F.explode(F.array("low", "high")).alias("end")).filter(
-        (F.col("key") != F.col("end.key")) & near(F.col("n"), F.col("end.n")))
-    stars = space.save(stars.select(F.least("key", "end.key").alias("a"), F.greatest("key", "end.key").alias("b")).distinct(), "stars")
-    links = verify(stars, own, space, "star", percent)
-    labels = components(links, space, "first")
-
-    marked = live.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    marked = space.save(marked, "marked")
-    open_ = marked.groupBy("token").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("token")
-    left = space.save(marked.join(open_, "token"), "open")
-    space.drop("postings", "marked")
-    x, y = left.alias("x"), left.alias("y")
-    l = F.least("x.l", "y.l")
-    prefix = lambda s: F.col(f"{s}.place") < F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * percent / 100) + l
-    met = x.join(y, "token").filter(
-        (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-        & near(F.col("x.n"), F.col("y.n")) & prefix("x") & prefix("y"))
-    candidates = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(
-        F.count("*").alias("matches"), F.max(l).alias("l")).filter("matches >= l").select("a", "b")
-    rest = space.save(candidates.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = verify(rest, own, space, "pair", percent)
-    labels = components(links.unionByName(more), space, "last")
-    space.drop("open", "stars", "pairs")
+    labels, links, first, number = None, None, None, 0
+    while True:
+        marked = space.save(with_component(live, labels), f"marked-{number}")
+        found = verify(space.save(proposals(marked, percent), f"proposals-{number}"), own, members, space, f"round-{number}", percent)
+        many = found.count()
+        first = many if first is None else first
+        if many:
+            links = found if links is None else links.unionByName(found)
+            labels = components(links, space, f"labels-{number}")
+            space.drop(f"marked-{number}", f"proposals-{number}")
+        number += 1
+        if 50 * many <= first:
+            break
+    marked = space.save(with_component(live, labels), "marked") if many else marked
+    rest = space.save(candidates_of(marked, space, percent), "candidates")
+    found = verify(rest, own, members, space, "rest", percent)
+    labels = components(found if links is None else links.unionByName(found), space, "labels")
+    space.drop("postings", "marked", "ranked", "candidates")
     return members, labels
 
 

@@ -15,11 +15,12 @@ array in two stages: suffixes smaller than their successor are sorted directly,
 and only as deep as LENGTH; all others are induced by one scan over the buckets of first bytes. Common
 prefixes of neighbours, up to LENGTH, then show which strings occur twice.
 
-Hot anchors. An anchor may be in a third of all texts with as many different contexts. Such a group is
-split by where the string starts, in halves. All strings of one half share a core, the bytes common to
-every one of them, so contexts are grouped by their core: equal strings stay together. Contexts equal
-over a whole half are resolved and one of them goes on. Halving ends at one start, where equal cores are
-equal strings, so every group becomes small and no pair of equal strings is ever parted.
+Cores and hot anchors. Strings that start in one part of the places around an anchor share a core, the
+bytes common to every one of them, so contexts are grouped by their core: equal strings stay together.
+Contexts equal over a whole part are resolved and one of them goes on. An anchor may be in a third of all
+texts with as many different contexts. Such a group is split again by where the string starts, in halves.
+Halving ends at one start, where equal cores are equal strings, so every group becomes small and no pair
+of equal strings is ever parted.
 
 A null text is empty. Texts shorter than LENGTH keep all. Repeated rows are repeats of each other. An
 empty table gives an empty result. Hashes have 64 bits and include lengths.
@@ -37,6 +38,7 @@ from .common import BASE_INVERSE, BASE, Workspace, bitmap, in_bitmap, mix, power
 LENGTH, GRAM = 400, 64
 BLOCK = 1 << 20
 GROUP = 2_048  # contexts of a group that one task may hold
+PARTS = 4  # of the places around an anchor where a string may start
 
 
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -264,6 +266,40 @@ def split_hot(hot: DataFrame, space: Workspace, length: int, group: int) -> tupl
             return ready, known
 
 
+def by_core(contexts: DataFrame, space: Workspace, length: int, reach: int, group: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Groups for the suffix arrays, and stretches that need none.
+
+    The places where a string may start are cut into ``PARTS``; the strings of one part share a core. Only
+    hashes are grouped here: contexts with a core of their own drop out, contexts equal over a whole part
+    are repeated there, and of each kind one goes on, with the bytes of that part alone.
+    """
+    cuts = [-reach + (reach + 1) * i // PARTS for i in range(PARTS + 1)]
+    parts = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b - 1).cast("long").alias("b"))
+                                for a, b in zip(cuts, cuts[1:]) if a < b]))
+    piece = lambda a, b: F.substring("context", (F.col("back") + a + 1).cast("int"), (b - a).cast("int"))
+    cut = contexts.withColumn("part", parts).withColumn("x", F.greatest("part.a", -F.col("back"))).withColumn(
+        "y", F.least("part.b", F.length("context") - F.col("back") - length)).filter("x <= y")
+    slim = cut.select(F.xxhash64("fp", "part.a", piece(F.col("part.b"), F.col("part.a") + length)).alias("grp"),
+                      F.xxhash64("x", "y", piece(F.col("x"), F.col("y") + length)).alias("whole"), "fp", "ctx", "x", "y")
+    counted = space.save(slim.groupBy("grp", "whole").agg(F.count("*").alias("n"), F.min(F.struct("fp", "ctx")).alias("one"),
+                                                          F.first("x").alias("x"), F.first("y").alias("y")), "cores")
+    again = counted.filter("n > 1").select("grp", "whole")
+    known = [space.save(slim.join(again, ["grp", "whole"]).select("fp", "ctx", F.col("x").alias("low"), (F.col("y") + length).alias("high")), "known")]
+    sizes = counted.groupBy("grp").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    on = counted.join(sizes, "grp").select("grp", "one.*", "x", "y", "kinds")
+    ready = space.save(on.join(contexts, ["fp", "ctx"]).select(
+        "grp", "fp", "ctx", "key", "at", (-F.col("x")).alias("back"), piece(F.col("x"), F.col("y") + length).alias("context"),
+        F.col("x").alias("low"), F.col("y").alias("high"), "kinds"), "ready")
+    space.drop("cores")
+    small, hot = ready.filter(F.col("kinds") <= group).drop("kinds"), ready.filter(F.col("kinds") > group).drop("kinds")
+    if hot.limit(1).count():
+        more, other = split_hot(hot, space, length, group)
+        known += other
+        for part in more:
+            small = small.unionByName(part)
+    return small, known
+
+
 def covered(docs: DataFrame, space: Workspace, text_col: str, length: int, gram: int, group: int) -> DataFrame:
     """``key, spans`` of texts with repeats; key is the text's hash, spans are sorted and disjoint."""
     spark = docs.sparkSession
@@ -288,8 +324,8 @@ def covered(docs: DataFrame, space: Workspace, text_col: str, length: int, gram:
         F.min(F.struct("key", "at", "ahead")).alias("rep"), (F.min(place) < F.max(place)).alias("again")), "kinds")
     low, high = -F.least("rep.at", F.lit(reach)), F.col("rep.ahead")
     whole = kinds.filter("again").select("fp", "ctx", low.cast("long").alias("low"), high.cast("long").alias("high"))
-    several = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    sought = space.save(kinds.join(several, "fp").select("fp", "ctx", "rep.*", "kinds"), "sought")
+    several = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
+    sought = space.save(kinds.join(several, "fp").select("fp", "ctx", "rep.*"), "sought")
 
     # the contexts' bytes: only texts that have one of them are shuffled
     sent = spark.sparkContext.broadcast(bitmap(sought.select("key")))
@@ -298,20 +334,14 @@ def covered(docs: DataFrame, space: Workspace, text_col: str, length: int, gram:
     def maybe(hashes: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(sent.value, hashes.to_numpy(np.int64)))
 
-    wanted = sought.groupBy("key").agg(F.collect_list(F.struct("fp", "ctx", "at", "ahead", "kinds")).alias("wanted"))
+    wanted = sought.groupBy("key").agg(F.collect_list(F.struct("fp", "ctx", "at", "ahead")).alias("wanted"))
     once = texts.filter(maybe("key")).groupBy("key").agg(F.first("text").alias("text"))
     rows = once.join(wanted, "key").select("key", F.col("text").cast("binary").alias("text"), F.explode("wanted").alias("w"))
     back = F.least("w.at", F.lit(reach))
     contexts = space.save(rows.select(
-        F.col("w.fp").alias("grp"), "w.fp", "w.ctx", "key", "w.at", back.cast("long").alias("back"),
-        F.substring("text", F.col("w.at") - back + 1, back + F.col("w.ahead")).alias("context"),
-        F.lit(-reach).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), "w.kinds"), "contexts")
-    small, hot = contexts.filter(F.col("kinds") <= group).drop("kinds"), contexts.filter(F.col("kinds") > group).drop("kinds")
-    known: list[DataFrame] = []
-    if hot.limit(1).count():
-        more, known = split_hot(hot, space, length, group)
-        for part in more:
-            small = small.unionByName(part)
+        "w.fp", "w.ctx", "key", "w.at", back.cast("long").alias("back"),
+        F.substring("text", F.col("w.at") - back + 1, back + F.col("w.ahead")).alias("context")), "contexts")
+    small, known = by_core(contexts, space, length, reach, group)
     found = whole.unionByName(search_groups(small, length))
     for part in known:
         found = found.unionByName(part)

@@ -43,7 +43,7 @@ def _(t):
 
 @query("src3_photo_json", """SELECT CAST(page_id AS VARCHAR) AS id, CASE page_id % 3 WHEN 0 THEN url || '#web' WHEN 1 THEN url || '#original' ELSE url END AS web_url,
     CASE WHEN page_id % 4 > 0 THEN CAST(page_id AS DOUBLE) / 10 END AS latitude, CAST(1700000000 + page_id AS BIGINT) AS captured,
-    CASE WHEN page_id % 2 = 0 THEN 'v' || page_id ELSE 'd' || page_id END AS tags, 'active' AS archive_state FROM pages""")
+    CASE WHEN page_id % 2 = 0 THEN 'v' || page_id ELSE 'd' || page_id END AS tags, 'active' AS archive_state FROM pages, range(2)""")
 def _(t):
     p, url = F.col("page_id"), F.col("url")
     uri = lambda kind: F.struct(F.lit(kind).alias("type"), F.concat(url, F.lit("#" + kind)).alias("uri"))
@@ -54,8 +54,12 @@ def _(t):
     doc = F.struct(p.cast("string").alias("id"), uris.alias("uris"), url.alias("photo_url"), (p + 1_700_000_000).alias("captured_at"),
                    F.when(p % 4 > 0, F.array(at, at)).otherwise(F.array().cast("array<struct<latitude:double,longitude:double>>")).alias("coordinates"),
                    F.array(tag).alias("tags"))
-    parsed = readers.parse_photos(t.table("pages").select(F.to_json(doc).alias("j")), "j")
-    return parsed.select("id", "web_url", "latitude", F.unix_seconds("captured_at").alias("captured"), joined(F.col("tags")).alias("tags"), "archive_state")
+    lines = t.table("pages").select(F.to_json(doc).alias("j"))
+    path = fresh_path(t.spark, "src3")
+    lines.write.text(path)
+    show = lambda df: df.select("id", "web_url", "latitude", F.unix_seconds("captured_at").alias("captured"), joined(F.col("tags")).alias("tags"), "archive_state")
+    # the reader of JSON-lines files and the parser of a JSON column see the same records
+    return show(readers.read_photo_json(t.spark, path)).unionByName(show(readers.parse_photos(lines, "j")))
 
 
 @query("src4_lookup_ids", "SELECT id, project_id FROM v_doc WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -357,15 +361,18 @@ OPS = """ops AS (SELECT conv_id AS photo_id, turn AS seq, CASE WHEN length(text)
     't' || (length(text) % 4) AS tag, ['t' || (length(text) % 3), 'base'] AS tags, role AS source, text FROM conversations)"""
 
 
-@query("c8_fold_enhancements", f"""WITH {OPS}, resets AS (SELECT photo_id, max(seq) AS seq FROM ops WHERE op = 'replace' GROUP BY 1),
-    touches AS (SELECT photo_id, tag, seq, op FROM ops WHERE op IN ('add', 'remove')
-        UNION ALL SELECT o.photo_id, unnest(o.tags), o.seq, 'add' FROM ops o WHERE op = 'replace'),
-    live AS (SELECT t.* FROM touches t LEFT JOIN resets r USING (photo_id) WHERE r.seq IS NULL OR t.seq >= r.seq),
-    final AS (SELECT photo_id, tag FROM (SELECT photo_id, tag, arg_max(op, seq) AS op FROM live GROUP BY 1, 2) WHERE op = 'add')
-    SELECT p.photo_id, coalesce((SELECT array_to_string(list_sort(list(tag)), ',') FROM final f WHERE f.photo_id = p.photo_id), '') AS tags,
+@query("c8_fold_enhancements", f"""WITH {OPS}, resets AS (SELECT photo_id, max(seq) AS at FROM ops WHERE op = 'replace' GROUP BY 1),
+    removed AS (SELECT photo_id, tag, max(seq) AS gone FROM ops WHERE op = 'remove' GROUP BY 1, 2),
+    listed AS (SELECT b.* FROM (SELECT o.photo_id, o.seq, unnest(o.tags) AS tag, unnest(range(len(o.tags))) AS place FROM ops o JOIN resets r ON r.photo_id = o.photo_id AND r.at = o.seq) b
+        LEFT JOIN removed d ON d.photo_id = b.photo_id AND d.tag = b.tag WHERE d.gone IS NULL OR b.seq > d.gone),
+    added AS (SELECT o.photo_id, min(o.seq) AS seq, o.tag, 0 AS place FROM ops o LEFT JOIN resets r ON r.photo_id = o.photo_id LEFT JOIN removed d ON d.photo_id = o.photo_id AND d.tag = o.tag
+        WHERE o.op = 'add' AND (r.at IS NULL OR o.seq > r.at) AND (d.gone IS NULL OR o.seq > d.gone)
+        AND NOT EXISTS (SELECT 1 FROM listed l WHERE l.photo_id = o.photo_id AND l.tag = o.tag) GROUP BY o.photo_id, o.tag),
+    final AS (SELECT photo_id, string_agg(tag, ',' ORDER BY seq, place) AS tags FROM (SELECT photo_id, seq, tag, place FROM listed UNION ALL SELECT photo_id, seq, tag, place FROM added) GROUP BY 1)
+    SELECT p.photo_id, coalesce(f.tags, '') AS tags,
     (SELECT CASE WHEN op = 'describe' THEN text END FROM ops o WHERE o.photo_id = p.photo_id AND op IN ('describe', 'clear') ORDER BY seq DESC LIMIT 1) AS description,
-    (SELECT source FROM ops o WHERE o.photo_id = p.photo_id ORDER BY seq DESC LIMIT 1) AS source
-    FROM (SELECT DISTINCT photo_id FROM ops WHERE op IN ('replace', 'add', 'describe')) p""")
+    (SELECT source FROM ops o WHERE o.photo_id = p.photo_id AND op IN ('replace', 'add', 'describe') ORDER BY seq DESC LIMIT 1) AS source
+    FROM (SELECT DISTINCT photo_id FROM ops WHERE op IN ('replace', 'add', 'describe')) p LEFT JOIN final f ON f.photo_id = p.photo_id""")
 def _(t):
     n = F.length("text")
     op = (F.when(n % 5 == 0, "replace").when(n % 5 < 3, "add").when(n % 5 == 3, F.when(n % 2 == 0, "remove").otherwise("clear")).otherwise("describe"))
@@ -413,11 +420,11 @@ def _(t):
 
 # --- sorting -----------------------------------------------------------------------------------
 
-@query("t1_by_confidence", "SELECT id AS group_id, (id % 97) / 97.0 AS confidence FROM v_vec ORDER BY confidence DESC, group_id LIMIT 100"
+@query("t1_by_confidence", "SELECT id AS group_id, (id % 97) / 97.0 AS confidence FROM v_vec ORDER BY confidence DESC, group_id"
        .replace("(id % 97) / 97.0 AS confidence", f"{q4('(id % 97) / 97.0')} AS confidence"))
 def _(t):
     g = t.vec.select(F.col("id").alias("group_id"), r4(F.col("id") % 97 / 97.0).alias("confidence"))
-    return activity.by_confidence(g).limit(100)
+    return activity.by_confidence(g)
 
 
 @query("t2_newest_posts", """SELECT id, CASE id % 3 WHEN 0 THEN strftime(make_date(2020 + CAST(id % 5 AS INTEGER), 1 + CAST(id % 12 AS INTEGER), 1 + CAST(id % 28 AS INTEGER)), '%Y-%m-%d') WHEN 1 THEN 'soon' END AS date,
@@ -435,6 +442,6 @@ def _(t):
     return activity.first_rows(t.task, ["created_at", "id"], 15).select("id", "title")
 
 
-@query("t5_sort_tasks", "SELECT id, priority FROM v_task ORDER BY priority DESC, id LIMIT 300")
+@query("t5_sort_tasks", "SELECT id, priority FROM v_task ORDER BY priority DESC, id")
 def _(t):
-    return activity.sort_tasks(t.task, "priority", False, limit=300).select("id", "priority")
+    return activity.sort_tasks(t.task, "priority", False).select("id", "priority")

@@ -121,6 +121,11 @@ def _(t):
     return fb.deleted_count(t.feedback, EVENTS_NOW, 20)
 
 
+@query("c11_keep_recent", "SELECT id, user_id FROM v_feedback WHERE ts >= TIMESTAMP '2024-01-11'")
+def _(t):
+    return fb.keep_recent(t.feedback, EVENTS_NOW, 20).select("id", "user_id")
+
+
 @query("c11_expire_aggregates", f"""WITH {AGGS} SELECT prompt_id, grain, epoch_us(period_start) AS start FROM aggs WHERE period_start >= TIMESTAMP '2024-01-31' - to_days(CASE grain WHEN 'hour' THEN 7 WHEN 'day' THEN 30 WHEN 'week' THEN 90 ELSE 365 END)""")
 def _(t):
     return fb.expire_aggregates(fb.aggregate_prompts(t.feedback), EVENTS_NOW).select("prompt_id", "grain", us("period_start").alias("start"))

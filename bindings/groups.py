@@ -7,7 +7,7 @@ from keepsake.operators import composite, grouping, pairs
 from keepsake.plans import cascade
 
 from .pairs import ALL_PAIRS, HCHARS, UDOT, shared_score, shared_sql
-from .registry import TOK, joined, leaders_sql, q4, query, r4
+from .registry import TOK, leaders_sql, q4, query, r4
 from .scalars import H, MINUTES, SAME, SPATIAL, TEMPORAL
 
 HASH_EDGES = f"he AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b, 1.0 - ({HCHARS}) / CAST(64 AS DOUBLE) AS score FROM v_hash a JOIN v_hash b ON a.id < b.id) WHERE score >= 0.85)"
@@ -98,9 +98,9 @@ def _cascade_sql(hash_layer: bool, more: str = "", select: str = "") -> str:
     return f"WITH RECURSIVE {', '.join(parts)} " + (select or " UNION ALL ".join(layers))
 
 
-# without any candidate, the descriptions of the first 15 rows are grouped
-TEXT_FALLBACK = f"""first15 AS MATERIALIZED (SELECT id, {TOK.format('description')} AS k FROM v_full WHERE NOT EXISTS (SELECT 1 FROM cand) ORDER BY id LIMIT 15),
-    {shared_sql('first15', 'k', 'sh')}, te AS MATERIALIZED (SELECT * FROM ({shared_score('first15', 'sh')}) WHERE score >= 0.7), {leaders_sql('te', 'tg')}"""
+# without any candidate, the descriptions of all rows are grouped
+TEXT_FALLBACK = f"""said AS MATERIALIZED (SELECT id, {TOK.format('description')} AS k FROM v_full WHERE NOT EXISTS (SELECT 1 FROM cand)),
+    {shared_sql('said', 'k', 'sh')}, te AS MATERIALIZED (SELECT * FROM ({shared_score('said', 'sh')}) WHERE score >= 0.7), {leaders_sql('te', 'tg')}"""
 
 
 @query("g8_cascade", _cascade_sql(True, TEXT_FALLBACK) + " UNION ALL SELECT 'text', leader, member, false FROM tg UNION ALL SELECT DISTINCT 'text', leader, leader, true FROM tg")
@@ -139,11 +139,10 @@ def _(t):
     return tag("minus", a.join(b, "id", "left_anti")).unionByName(tag("union", a.union(b).distinct())).unionByName(tag("both", a.join(b, "id", "left_semi")))
 
 
-@query("a1_exact_duplicates", """SELECT content_hash, min(id) AS group_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM v_doc GROUP BY 1 HAVING count(*) > 1""")
+@query("a1_exact_duplicates", """SELECT group_id, id AS member_id, id = group_id AS is_leader FROM (SELECT id, min(id) OVER (PARTITION BY content_hash) AS group_id,
+    count(*) OVER (PARTITION BY content_hash) AS n FROM v_doc) WHERE n > 1""")
 def _(t):
-    g = cascade.exact_groups(t.doc).join(t.doc.select(F.col("id").alias("member_id"), "content_hash"), "member_id")
-    # arrays are for display only: the operator itself returns long form
-    return g.groupBy("content_hash", "group_id").agg(F.count(F.lit(1)).alias("n"), joined(F.array_sort(F.collect_list("member_id"))).alias("ids"))
+    return cascade.exact_groups(t.doc).drop("score")
 
 
 @query("a11_group_summary", f"""WITH RECURSIVE {VEC_EDGES}, {leaders_sql('ve', 'g')} SELECT leader AS group_id, count(*) + 1 AS size, {q4('avg(e.score)')} AS similarity

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from keepsake.functions import difference_hash
 from keepsake.functions.numbers import half_up
-from keepsake.session import configure
+from keepsake.session import configure, scope
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -221,7 +221,12 @@ def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is its oracle."""
     def register(fn: Callable[[Tables], DataFrame]):
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tables = Tables(spark, sf_dir)
+            with scope(spark) as keep:  # only the result stays in the shared folder
+                return keep(fn(tables))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = with_views(sql)
         return fn

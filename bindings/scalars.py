@@ -342,22 +342,46 @@ def _(t):
                      F.col("m")["tags"].alias("tags"), F.size("m").alias("n"))
 
 
-MD_LINE = r"list_filter(string_split(description, chr(10)), lambda x: length(trim(x)) > 0 AND NOT starts_with(x, '#') AND NOT starts_with(x, '*') AND NOT starts_with(x, '-'))[1]"
+# the lines of the texts, and what a reader finds in them, walked in SQL
+MD = r"""src AS (SELECT id, creator_id, CASE WHEN id % 2 = 0 THEN '# Doc ' || id || chr(10) || chr(10) || '*Published by ' || creator_id || ' by hand • '
+        || CASE WHEN id % 4 = 0 THEN 'January 5, 2024' ELSE '' END || ' • 5 min read*' || chr(10) || chr(10) || CASE WHEN id % 3 = 0 THEN '## Overview' || chr(10) ELSE '' END || description ELSE description END AS text FROM v_doc),
+    md AS (SELECT id, text, string_split(/*header*/text, chr(10)) AS lines FROM src),
+    found AS (SELECT id, text, lines, list_filter(lines, lambda x: starts_with(x, '# '))[1] AS h,
+        list_transform(string_split(replace(list_filter(lines, lambda x: starts_with(x, '*') AND contains(x, '•'))[1], '*', ''), '•'), lambda x: trim(x)) AS parts,
+        coalesce(list_position(list_transform(lines, lambda x: contains(lower(x), '## overview')), true), 0) AS o,
+        coalesce(list_position(list_transform(lines, lambda x: starts_with(x, '# ')), true), 0) AS a FROM md),
+    picked AS (SELECT *, list_filter(lines[o + 1:], lambda x: length(trim(x)) > 0 AND NOT starts_with(x, '#') AND NOT starts_with(x, '*') AND NOT starts_with(x, '-'))[1] AS p,
+        CASE WHEN a > 0 THEN list_filter(lines[a + 1:], lambda x: length(trim(x)) > 0 AND NOT starts_with(x, '#') AND NOT starts_with(x, '*'))[1] END AS s FROM found),
+    heads AS (SELECT *, coalesce(trim(substr(h, 3)), 'file') AS title,
+        coalesce(CASE WHEN contains(parts[1], 'by ') THEN trim(regexp_replace(regexp_replace(parts[1], 'Published by ', ''), 'by ', '')) END, 'unknown') AS author,
+        coalesce(nullif(parts[2], ''), '') AS date, CASE WHEN length(trim(p)) > 150 THEN substr(trim(p), 1, 150) || '...' ELSE coalesce(trim(p), '') END AS description FROM picked)"""
 
 
-@query("fn31_heading_metadata", f"""SELECT id, CASE WHEN id % 2 = 0 THEN 'Doc ' || id ELSE 'file' END AS title,
-    CASE WHEN id % 2 = 0 THEN creator_id ELSE 'unknown' END AS author, CASE WHEN id % 2 = 0 THEN 'January 5, 2024' ELSE '' END AS date,
-    CASE WHEN length(trim(p)) > 150 THEN substr(trim(p), 1, 150) || '...' ELSE coalesce(trim(p), '') END AS description,
-    CASE WHEN id % 2 = 0 THEN CASE WHEN length(trim(s)) > 160 THEN substr(trim(s), 1, 157) || '...' ELSE coalesce(trim(s), 'none') END ELSE 'none' END AS summary
-    FROM (SELECT *, {MD_LINE} AS p, list_filter(string_split(description, chr(10)), lambda x: length(trim(x)) > 0 AND NOT starts_with(x, '#') AND NOT starts_with(x, '*'))[1] AS s
-    FROM v_doc WHERE NOT regexp_matches(description, '(^|\\n)(# |\\*.*•)') AND lower(description) NOT LIKE '%## overview%')""")
+HEADER_SQL = """'---' || chr(10) || 'title: ''Header ' || id || '''' || chr(10) || 'tags: a,  b c' || chr(10) || 'heroImage: x.jpg' || chr(10) || '---' || chr(10) || """
+
+
+def _md_text():
+    head = F.concat(F.lit("# Doc "), "id", F.lit("\n\n*Published by "), "creator_id", F.lit(" by hand • "),
+                    F.when(F.col("id") % 4 == 0, "January 5, 2024").otherwise(""), F.lit(" • 5 min read*\n\n"),
+                    F.when(F.col("id") % 3 == 0, "## Overview\n").otherwise(""), "description")
+    return F.when(F.col("id") % 2 == 0, head).otherwise(F.col("description"))
+
+
+@query("fn31_heading_metadata", f"""WITH {MD} SELECT id, title, author, date, description,
+    CASE WHEN length(trim(s)) > 160 THEN substr(trim(s), 1, 157) || '...' ELSE coalesce(trim(s), 'none') END AS summary FROM heads""")
 def _(t):
-    rows = t.doc.filter(~F.col("description").rlike(r"(^|\n)(# |\*.*•)") & ~F.lower("description").contains("## overview"))
-    head = F.concat(F.lit("# Doc "), "id", F.lit("\n\n*Published by "), "creator_id", F.lit(" • January 5, 2024 • 5 min read*\n\n"), "description")
-    text = F.when(F.col("id") % 2 == 0, head).otherwise(F.col("description"))
+    text = _md_text()
     m = K.heading_metadata(text, F.lit("file"))
     s = K.heading_summary(text, F.lit("file"), F.lit("none"))
-    return rows.select("id", m.alias("m"), s["description"].alias("summary")).select("id", "m.*", "summary")
+    return t.doc.select("id", m.alias("m"), s["description"].alias("summary")).select("id", "m.*", "summary")
+
+
+@query("fn31_document_metadata", f"""WITH {MD.replace('/*header*/', HEADER_SQL)} SELECT id, 'Header ' || id AS title, author, date, description, 'a|b c' AS tags, 'x.jpg' AS hero, length(text) AS body_chars FROM heads""")
+def _(t):
+    text = F.concat(F.lit("---\ntitle: 'Header "), "id", F.lit("'\ntags: a,  b c\nheroImage: x.jpg\n---\n"), _md_text())
+    m = K.document_metadata(text, F.lit("file"))
+    return t.doc.select("id", m.alias("m"), F.length(K.front_matter_body(text)).alias("body_chars")).select(
+        "id", "m.title", "m.author", "m.date", "m.description", F.array_join("m.tags", "|").alias("tags"), F.col("m.heroImage").alias("hero"), "body_chars")
 
 
 CATEGORY = """CASE WHEN contains(low, 'test') OR contains(low, 'spec') THEN 'test'

@@ -13,7 +13,6 @@ from .feedback import SUMS, SUNDAY
 from .registry import query
 
 us = F.unix_micros
-LIMIT = 1800
 WATERMARK = "(SELECT epoch_ms(CAST(max(epoch_ms(ts)) AS BIGINT)) FROM events)"
 
 
@@ -31,8 +30,9 @@ def _events(t):
 
 
 def _run(t, stream, name):
+    """What the stream has written when it has read all its input; its errors are raised."""
     path = fresh_path(t.spark, name)
-    S.write_stream(stream, path, fresh_path(t.spark, f"{name}-checkpoint")).awaitTermination(LIMIT)
+    S.write_stream(stream, path, fresh_path(t.spark, f"{name}-checkpoint")).awaitTermination()
     return t.spark.read.parquet(path)
 
 
@@ -61,7 +61,7 @@ def _(t):
 @query("s2_feedback_months", f"SELECT user_type, epoch_us(date_trunc('month', ts)) AS start, {SUMS} FROM v_feedback GROUP BY 1, 2")
 def _(t):
     store = Snapshots(t.spark, fresh_path(t.spark, "s2"))
-    S.upsert_stream(S.month_counts(_events(t)), store, ["user_type", "period_start"], "total", fresh_path(t.spark, "s2-checkpoint"), "update").awaitTermination(LIMIT)
+    S.upsert_stream(S.month_counts(_events(t)), store, ["user_type", "period_start"], "total", fresh_path(t.spark, "s2-checkpoint"), "update").awaitTermination()
     return store.current().select("user_type", us("period_start").alias("start"), "positive", "negative", "edits", "total")
 
 
@@ -95,7 +95,7 @@ def _(t):
 def _(t):
     store = Snapshots(t.spark, fresh_path(t.spark, "s5"))
     s = _events(t).select("user_id", "item_id", "feedback", "ts", "id")
-    S.upsert_stream(s, store, ["user_id", "item_id"], ["ts", "id"], fresh_path(t.spark, "s5-checkpoint")).awaitTermination(LIMIT)
+    S.upsert_stream(s, store, ["user_id", "item_id"], ["ts", "id"], fresh_path(t.spark, "s5-checkpoint")).awaitTermination()
     return store.current().select("user_id", "item_id", "feedback")
 
 
@@ -110,6 +110,6 @@ def _(t):
 def _(t):
     # a single file is a single batch, and nothing is late in the first batch
     base = fresh_path(t.spark, "s7")
-    S.route_late(_events(t), f"{base}/on_time", f"{base}/late", Snapshots(t.spark, f"{base}/marks"), timedelta(hours=1), f"{base}/checkpoint").awaitTermination(LIMIT)
+    S.route_late(_events(t), f"{base}/on_time", f"{base}/late", Snapshots(t.spark, f"{base}/marks"), timedelta(hours=1), f"{base}/checkpoint").awaitTermination()
     both = t.spark.read.parquet(f"{base}/on_time").select("id", F.lit("on time").alias("route"))
     return both.unionByName(t.spark.read.parquet(f"{base}/late").select("id", F.lit("late").alias("route")))

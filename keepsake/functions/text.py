@@ -128,6 +128,22 @@ def front_matter(text: Column) -> Column:
     return F.map_from_arrays(keys, values)
 
 
+def front_matter_body(text: Column) -> Column:
+    """The text after its header block, or all of it."""
+    return F.when(text.rlike(FRONT_MATTER), F.regexp_extract(text, FRONT_MATTER, 2)).otherwise(text)
+
+
+def front_matter_tags(header: Column) -> Column:
+    """The trimmed tags of a header block; null without any."""
+    return F.transform(F.split(header["tags"], ","), lambda x: F.trim(x))
+
+
+def without_first(x: Column, part: str) -> Column:
+    """``x`` without the first ``part`` in it."""
+    at = F.locate(part, x)
+    return F.when(at > 0, F.concat(F.substring(x, F.lit(1), at - 1), F.substring(x, at + len(part), F.length(x)))).otherwise(x)
+
+
 def _first_line(lines: Column, test) -> Column:
     return F.get(F.filter(lines, test), F.lit(0))
 
@@ -141,9 +157,9 @@ def heading_metadata(text: Column, fallback_title: Column, default_author: str =
     byline = _first_line(lines, lambda x: x.startswith("*") & x.contains("•"))
     parts = F.transform(F.split(F.regexp_replace(byline, r"\*", ""), "•"), lambda x: F.trim(x))
     name = F.get(parts, F.lit(0))
-    author = F.when(name.contains("by "), F.trim(F.regexp_replace(
-        F.regexp_replace(name, "Published by ", ""), "by ", ""))).otherwise(F.lit(default_author))
-    date = F.coalesce(F.get(parts, F.lit(1)), F.lit(default_date))
+    author = F.when(name.contains("by "), F.trim(without_first(without_first(name, "Published by "), "by "))).otherwise(
+        F.lit(default_author))
+    date = F.coalesce(F.nullif(F.get(parts, F.lit(1)), F.lit("")), F.lit(default_date))
     at = F.array_position(F.transform(lines, lambda x: F.lower(x).contains("## overview")), F.lit(True))
     rest = F.slice(lines, (at + 1).cast("int"), F.size(lines))
     plain = _first_line(rest, lambda x: (F.length(F.trim(x)) > 0) & ~x.startswith("#")
@@ -155,6 +171,14 @@ def heading_metadata(text: Column, fallback_title: Column, default_author: str =
                     date.alias("date"), short.alias("description"))
 
 
+def document_metadata(text: Column, fallback_title: Column, **defaults) -> Column:
+    """What the headings say, overridden by the header block, with tags and reading minutes."""
+    header, found = front_matter(text), heading_metadata(text, fallback_title, **defaults)
+    own = lambda key: F.coalesce(header[key], found[key]).alias(key)
+    return F.struct(own("title"), own("author"), own("date"), own("description"), front_matter_tags(header).alias("tags"),
+                    header["heroImage"].alias("heroImage"), reading_minutes(text).alias("minutes"))
+
+
 def heading_summary(text: Column, fallback_title: Column, fallback_description: Column,
                     limit: int = 160) -> Column:
     """Title and first paragraph after it, cut to ``limit`` characters including the dots."""

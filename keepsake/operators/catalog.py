@@ -112,9 +112,11 @@ def fold_enhancements(ops: DataFrame, existing: DataFrame | None = None) -> Data
     """Final enhancement per photo after an ordered log of changes.
 
     ``ops(photo_id, seq, op, tags, tag, text, source)`` with op in ``replace`` (tags), ``add`` (tag),
-    ``remove`` (tag), ``describe`` (text) and ``clear``. Per tag only the last change counts, and per
-    photo only what follows the last replacement, so every step is a partial aggregate. ``existing``
-    rows enter as changes before the log. Tags come back sorted.
+    ``remove`` (tag), ``describe`` (text) and ``clear``. ``existing`` rows enter as changes before the
+    log. Only what follows the last replacement counts for the tags. They come back in the order in
+    which they entered: a replacement keeps its order and repeats, adding a tag that is there changes
+    nothing, and a tag that was removed and added again is last. Removing and clearing never create a
+    record and never set the source.
     """
     log = ops.select("photo_id", "seq", "op", "tags", "tag", "text", "source")
     if existing is not None:
@@ -123,27 +125,26 @@ def fold_enhancements(ops: DataFrame, existing: DataFrame | None = None) -> Data
                               F.col("accepted_ai_tags").alias("tags"), F.lit(None).cast("string").alias("tag"),
                               F.col("ai_description").alias("text"), F.col("suggestion_source").alias("source"))
         log = old.unionByName(log)
-    is_text = F.col("op").isin("describe", "clear")
-    makes = F.count_if(F.col("op").isin("replace", "add", "describe")) > 0
+    is_text, makes = F.col("op").isin("describe", "clear"), F.col("op").isin("replace", "add", "describe")
+    replaced = F.when(F.col("op") == "replace", F.col("seq"))
     head = log.groupBy("photo_id").agg(
-        makes.alias("made"),
-        F.max(F.when(F.col("op") == "replace", F.col("seq"))).alias("reset"),
-        F.max_by("tags", F.when(F.col("op") == "replace", F.col("seq"))).alias("base"),
-        F.max_by(F.when(F.col("op") == "describe", F.col("text")),
-                 F.when(is_text, F.col("seq"))).alias("ai_description"),
-        F.max_by("source", F.when(F.length("source") > 0, F.col("seq"))).alias("source")).filter("made")
+        (F.count_if(makes) > 0).alias("made"), F.max(replaced).alias("reset"), F.max_by("tags", replaced).alias("base"),
+        F.max_by(F.when(F.col("op") == "describe", F.col("text")), F.when(is_text, F.col("seq"))).alias("ai_description"),
+        F.max_by("source", F.when(makes & (F.length("source") > 0), F.col("seq"))).alias("source")).filter("made")
     single = log.filter(F.col("op").isin("add", "remove") & (F.length(F.trim("tag")) > 0))
-    last = (single.groupBy("photo_id", "tag")
-            .agg(F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op")))
-    listed = head.select("photo_id", F.col("reset").alias("seq"), F.lit("add").alias("op"),
-                         F.explode("base").alias("tag")).filter(F.length(F.trim("tag")) > 0)
-    state = (last.join(head.select("photo_id", "reset"), "photo_id")
+    removed = single.filter("op = 'remove'").groupBy("photo_id", "tag").agg(F.max("seq").alias("gone"))
+    after = F.col("gone").isNull() | (F.col("seq") > F.col("gone"))
+    listed = (head.select("photo_id", F.col("reset").alias("seq"), F.posexplode("base").alias("place", "tag"))
+              .filter(F.length(F.trim("tag")) > 0).join(removed, ["photo_id", "tag"], "left").filter(after))
+    added = (single.filter("op = 'add'").join(head.select("photo_id", "reset"), "photo_id")
              .filter(F.col("reset").isNull() | (F.col("seq") > F.col("reset")))
-             .select("photo_id", "seq", "op", "tag").unionByName(listed)
-             .groupBy("photo_id", "tag").agg(F.max_by("op", "seq").alias("op"))
-             .filter(F.col("op") == "add")
-             .groupBy("photo_id").agg(F.array_sort(F.collect_set("tag")).alias("accepted_ai_tags")))
-    # removals alone never create a record
+             .join(removed, ["photo_id", "tag"], "left").filter(after)
+             .groupBy("photo_id", "tag").agg(F.min("seq").alias("seq"))
+             .join(listed.select("photo_id", "tag"), ["photo_id", "tag"], "left_anti"))
+    cols = ["photo_id", "seq", "place", "tag"]
+    entries = listed.select(*cols).unionByName(added.withColumn("place", F.lit(0)).select(*cols))
+    state = entries.groupBy("photo_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("seq", "place", "tag"))), lambda e: e["tag"]).alias("accepted_ai_tags"))
     return (head.join(state, "photo_id", "left")
             .select("photo_id", "ai_description",
                     F.coalesce("accepted_ai_tags", strings([])).alias("accepted_ai_tags"),

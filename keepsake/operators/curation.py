@@ -54,7 +54,7 @@ def ranked(df: DataFrame, keys, order, limit: int = RANK_LIMIT, name: str = "ran
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     hot = materialize(sizes.select(*keys), "hot-groups")
     if hot.isEmpty():
-        return df.withColumn(name, F.row_number().over(within))
+        return df.withColumn(name, F.row_number().over(within).cast("bigint"))
     calm = df.join(hot, keys, "left_anti").withColumn(name, F.row_number().over(within).cast("bigint"))
     spread = df.join(hot, keys, "left_semi").repartitionByRange(*keys, *order)
     placed = materialize(spread.withColumn("_p", F.spark_partition_id()), "ranges")
@@ -85,7 +85,7 @@ def best_in_group(groups: DataFrame, photos: DataFrame, k: int, id_col="id") ->
     q = quality(F.col("description"), F.col("tags"), F.col("has_coordinates"))
     joined = groups.join(photos.select(F.col(id_col).alias("member_id"), q.alias("quality")), "member_id")
     within = Window.partitionBy("group_id").orderBy(*quality_order())
-    return joined.withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= k)
+    return joined.withColumn("rank", F.row_number().over(within).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def burst_ranking(members: DataFrame, scores: DataFrame, limit: int = RANK_LIMIT) -> DataFrame:

@@ -250,32 +250,67 @@ def text_groups(df: DataFrame, id_col="id", text_col="description", threshold=0.
 
 # --- search and look-ups -----------------------------------------------------------------------
 
-QUERY_LIMIT = 1_000
+QUERY_NUMBERS = 500_000  # numbers of query vectors sent to the tasks at a time
+
+
+def _query_blocks(queries: DataFrame, cols: list[str]):
+    """The query table in blocks of bounded size; the driver holds one block at a time."""
+    block, size = [], 0
+    for row in queries.select(*cols).toLocalIterator():
+        block.append(row)
+        size += len(row[1] or [])
+        if size >= QUERY_NUMBERS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col="id", vector_col="features",
           filter_col: str | None = None, query_id="query_id", query_vector="query") -> DataFrame:
     """The ``k`` most similar vectors of each query, among those that share its filter value.
 
-    Queries are a short list: their number is checked and each becomes a constant of the plan, so the
-    vectors are read once, the best ``k`` are kept per task, and only those are exchanged.
+    Any number of queries: they go to the tasks in blocks of bounded size, one pass over the vectors for
+    each block. An Arrow batch of vectors times a block is one matrix product; only the best ``k`` of
+    each batch and query leave it. Zero vectors score 0, missing ones nothing.
     """
     cols = [query_id, query_vector] + ([filter_col] if filter_col else [])
-    asked = queries.select(*cols).limit(QUERY_LIMIT + 1).collect()
-    if len(asked) > QUERY_LIMIT:
-        raise ValueError(f"at most {QUERY_LIMIT} queries at a time")
     spark = vectors.sparkSession
-    small = spark.createDataFrame(asked, queries.select(*cols).schema)
-    if filter_col:
-        pairs = vectors.join(F.broadcast(small), filter_col)
-    else:
-        # every vector meets every constant query: a projection, not a join
-        every = F.array(*[F.struct(F.lit(r[0]).alias(query_id),
-                                   F.array(*[F.lit(float(x)) for x in r[1]]).alias(query_vector)) for r in asked])
-        pairs = vectors.withColumn("_q", F.explode(every)).select("*", "_q.*").drop("_q")
-    scored = pairs.select(query_id, id_col, cosine(F.col(query_vector), F.col(vector_col)).alias("score"))
+    types = dict(vectors.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
+    schema = f"{query_id} {types[query_id]}, {id_col} {types[id_col]}, score double"
+    rows = vectors.select(id_col, vector_col, *([filter_col] if filter_col else []))
+    out = None
+
+    def search(sent):
+        def run(batches):
+            import numpy as np
+            import pandas as pd
+            block = [q for q in sent.value if q[1] is not None]
+            asked = np.array([q[1] for q in block], float)
+            lengths = np.linalg.norm(asked, axis=1) if len(block) else np.zeros(0)
+            for batch in batches:
+                batch = batch[batch[vector_col].notna()]
+                if not len(batch) or not len(block):
+                    continue
+                own = np.stack([np.asarray(v, float) for v in batch[vector_col]])
+                if own.shape[1] != asked.shape[1]:
+                    raise ValueError("vectors must have the same length")
+                scale = np.linalg.norm(own, axis=1)[:, None] * lengths[None, :]
+                scores = np.divide(own @ asked.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+                ids = batch[id_col].to_numpy()
+                for j, q in enumerate(block):
+                    mine = np.arange(len(ids)) if filter_col is None else np.flatnonzero((batch[filter_col] == q[2]).to_numpy())
+                    best = mine[np.lexsort((ids[mine], -scores[mine, j]))[:k]]
+                    yield pd.DataFrame({query_id: [q[0]] * len(best), id_col: ids[best], "score": scores[best, j]})
+        return run
+
+    for block in _query_blocks(queries, cols):
+        part = rows.mapInPandas(search(spark.sparkContext.broadcast([tuple(r) for r in block])), schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def pair_score(scores: DataFrame, wanted: DataFrame) -> DataFrame:

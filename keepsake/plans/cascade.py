@@ -24,7 +24,7 @@ class Layers:
     candidate_threshold: float = 0.999
     similarity_threshold: float = 0.98
     fallback_threshold: float = 0.7
-    fallback_rows: int = 15
+    fallback_rows: int | None = None
 
 
 @dataclass
@@ -93,7 +93,7 @@ def analyse(df: DataFrame, layers: Layers = Layers(), dim: int | None = None) ->
 
     Each layer removes its groups from the next. Without vectors the final layer has no scores and so
     no groups; a ``vectors off`` row in the metrics says so. Without any candidate the descriptions of
-    the first rows are grouped instead.
+    all rows are grouped instead, or of the first ``fallback_rows`` if that is asked for.
     """
     spark = df.sparkSession
     if len(df.select("id").take(2)) < 2:
@@ -131,7 +131,7 @@ def analyse(df: DataFrame, layers: Layers = Layers(), dim: int | None = None) ->
         final = likely if layers.metadata_prunes else candidates
         note("metadata", candidates, likely.count())
     if final.isEmpty():
-        sample = df.orderBy("id").limit(layers.fallback_rows)
+        sample = df if layers.fallback_rows is None else df.orderBy("id").limit(layers.fallback_rows)
         text = materialize(text_groups(sample, threshold=layers.fallback_threshold), "text")
         note("text fallback", sample, n_groups(text))
         found.append(text.withColumn("layer", F.lit("text")))

@@ -5,6 +5,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ DEFAULTS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
@@ -68,6 +70,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Deletes the tables that :func:`materialize` has written inside, at its end. The value is a function
+    that writes a result which shall outlive the scope; it only writes if there is something to delete."""
+    written: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        if not written:
+            return df
+        _scopes.append(kept)
+        try:
+            return materialize(df, "result")
+        finally:
+            _scopes.pop()
+
+    _scopes.append(written)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(written)
+        conf = spark._jsc.hadoopConfiguration()
+        for path in written:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -76,5 +108,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

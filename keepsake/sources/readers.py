@@ -84,14 +84,12 @@ def by_extension(df: DataFrame, path_col: str, extensions=IMAGE_EXTENSIONS) -> D
 
 def list_files(spark: SparkSession, folder: str, extensions=IMAGE_EXTENSIONS) -> DataFrame:
     """Names and sizes of the files with one of the extensions; contents are not read."""
-    both = ",".join(f"{e},{e.upper()}" for e in extensions)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + both + "}").load(folder)
+    files = by_extension(spark.read.format("binaryFile").load(folder), "path", extensions)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length").orderBy("name")
 
 
 def hash_files(spark: SparkSession, folder: str, extensions=IMAGE_EXTENSIONS) -> DataFrame:
-    both = ",".join(f"{e},{e.upper()}" for e in extensions)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + both + "}").load(folder)
+    files = by_extension(spark.read.format("binaryFile").load(folder), "path", extensions)
     return files.select("path", F.sha2("content", 256).alias("hash"))
 
 

@@ -59,9 +59,11 @@ def compare(df, con, sql: str):
 
 
 def session():
+    from tempfile import mkdtemp
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+             .config("spark.checkpoint.dir", mkdtemp(prefix="keepsake-check-"))
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -9,8 +9,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
+    from tempfile import mkdtemp
     session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+               .config("spark.checkpoint.dir", mkdtemp(prefix="keepsake-tests-"))
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

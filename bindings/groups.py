@@ -9,6 +9,7 @@ from keepsake.plans import cascade
 from .pairs import ALL_PAIRS, HCHARS, UDOT, shared_score, shared_sql
 from .registry import TOK, leaders_sql, q4, query, r4
 from .scalars import H, MINUTES, SAME, SPATIAL, TEMPORAL
+from .times import PERMISSIVE
 
 HASH_EDGES = f"he AS MATERIALIZED (SELECT * FROM (SELECT a.id AS a, b.id AS b, 1.0 - ({HCHARS}) / CAST(64 AS DOUBLE) AS score FROM v_hash a JOIN v_hash b ON a.id < b.id) WHERE score >= 0.85)"
 VEC_UNITS = ("u AS MATERIALIZED (SELECT id, list_transform(features, lambda x: x / sqrt(list_sum(list_transform(features, lambda y: y * y)))) AS u FROM {0})")
@@ -126,7 +127,18 @@ def _(t):
     return h.select("layer", "group_id", "type", "size", *[r4(F.col(c)).alias(c) for c in names])
 
 
-@query("a14_layer_metrics")
+METRICS = """SELECT layer, n_in, n_out, CAST(CASE WHEN n_in > 0 THEN floor((1.0 - n_out / CAST(n_in AS DOUBLE)) * 100 + 0.5) ELSE 0 END AS BIGINT) AS filtered_pct FROM (
+    SELECT 'exact' AS layer, (SELECT count(*) FROM v_full) AS n_in, (SELECT count(DISTINCT leader) FROM ex) AS n_out
+    UNION ALL SELECT 'perceptual', (SELECT count(*) FROM r1), (SELECT count(DISTINCT leader) FROM hg) WHERE (SELECT count(*) FROM r1) > 1
+    UNION ALL SELECT 'vector candidates', (SELECT count(*) FROM r2), (SELECT count(*) FROM cand)
+    UNION ALL SELECT 'metadata', (SELECT count(*) FROM cand), (SELECT count(*) FROM likely)
+    UNION ALL SELECT 'text fallback', (SELECT count(*) FROM v_full), (SELECT count(DISTINCT leader) FROM tg) WHERE NOT EXISTS (SELECT 1 FROM cand)
+    UNION ALL SELECT 'vector', (SELECT count(*) FROM cand), (SELECT count(DISTINCT leader) FROM fg) WHERE EXISTS (SELECT 1 FROM cand))"""
+LIKELY = f"""cv AS MATERIALIZED (SELECT * FROM v_full WHERE id IN (SELECT id FROM cand)), lp AS (SELECT a.id AS x, b.id AS y FROM cv a JOIN cv b ON a.id < b.id WHERE {PERMISSIVE}),
+    likely AS (SELECT x AS id FROM lp UNION SELECT y FROM lp)"""
+
+
+@query("a14_layer_metrics", _cascade_sql(True, f"{TEXT_FALLBACK}, {LIKELY}", METRICS))
 def _(t):
     return cascade.analyse(t.full, dim=64).metrics
 

@@ -16,14 +16,28 @@ us = F.unix_micros
 WATERMARK = "(SELECT epoch_ms(CAST(max(epoch_ms(ts)) AS BIGINT)) FROM events)"
 
 
+SLICES, FILES = 3, 2
+SLICE_SQL = f"""(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * {SLICES} // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) + 1)"""
+
+
 def _stream(t, table: str):
     schema = t.spark.read.parquet(f"{t.dir}/{table}.parquet").schema
     return S.read_stream(t.spark, t.dir, schema, f"{table}.parquet")
 
 
-def _events(t):
+def _events(t, delayed=None):
+    """The events as they would arrive: slices of time one after the other, each a batch; rows that
+    ``delayed`` names leave the first slice and arrive after the last."""
+    rows = t.table("events")
+    low, high = rows.agg(F.min(us("ts")), F.max(us("ts"))).first()
+    at = F.floor((us("ts") - low) * SLICES / (high - low + 1)) if low is not None else F.lit(0)
+    if delayed is not None:
+        at = F.when((at == 0) & delayed, SLICES).otherwise(at)
+    path = fresh_path(t.spark, "arrivals")
+    for k in range(SLICES + (delayed is not None)):
+        rows.filter(at == k).coalesce(FILES).write.parquet(f"{path}/{k}")
     kind = F.col("event_type")
-    return _stream(t, "events").select(
+    return S.read_stream(t.spark, f"{path}/*", rows.schema, files_per_batch=FILES).select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("user_id") % 20).alias("project_id"),
         F.concat(F.lit("i"), F.col("event_id") % 500).alias("item_id"), F.when(F.col("user_id") % 2 == 0, "developer").otherwise("endUser").alias("user_type"),
         F.when(kind.isin("click", "purchase"), "positive").when(kind == "error", "negative").when(kind == "view", "edit").otherwise("other").alias("feedback"))
@@ -106,10 +120,10 @@ def _(t):
     return _run(t, S.first_arrivals(s), "s6").groupBy(F.col("hash").alias("content_hash")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s7_late_rows", "SELECT id, 'on time' AS route FROM v_feedback")
+@query("s7_late_rows", f"SELECT event_id AS id, CASE WHEN event_id % 50 = 0 AND {SLICE_SQL} = 0 THEN 'late' ELSE 'on time' END AS route FROM events")
 def _(t):
-    # a single file is a single batch, and nothing is late in the first batch
+    # every fiftieth row of the first slice arrives after the last one, when it is long past the watermark
     base = fresh_path(t.spark, "s7")
-    S.route_late(_events(t), f"{base}/on_time", f"{base}/late", Snapshots(t.spark, f"{base}/marks"), timedelta(hours=1), f"{base}/checkpoint").awaitTermination()
+    S.route_late(_events(t, F.col("event_id") % 50 == 0), f"{base}/on_time", f"{base}/late", Snapshots(t.spark, f"{base}/marks"), timedelta(hours=1), f"{base}/checkpoint").awaitTermination()
     both = t.spark.read.parquet(f"{base}/on_time").select("id", F.lit("on time").alias("route"))
     return both.unionByName(t.spark.read.parquet(f"{base}/late").select("id", F.lit("late").alias("route")))

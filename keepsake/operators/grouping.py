@@ -110,8 +110,8 @@ def absorbed(edges: DataFrame, rounds: int = PARALLEL_ROUNDS, cap: int = COMPONE
 
     A round decides every undecided node without a smaller undecided neighbour: it is a leader, and its
     neighbours are members. A few rounds settle most graphs; what is left is mostly chains, whose
-    bounded components are walked in sequence, one component per group. Components above the bound go
-    on in rounds, however many they need.
+    bounded components are walked in sequence, one component per group. Larger components are walked in
+    chunks.
     """
     active = edges.select("a", "b")
     found: list[DataFrame] = []
@@ -122,9 +122,12 @@ def absorbed(edges: DataFrame, rounds: int = PARALLEL_ROUNDS, cap: int = COMPONE
             found.append(_walk(active.withColumn("component", F.lit(0)), left))
             break
         if n == rounds + 1:
-            members, active = _small_components(active, left, cap)
+            members, large = _small_components(active, left, cap)
             found.append(materialize(members.distinct(), "members"))
-            active = materialize(active, "active")
+            large = materialize(large, "large")
+            if not large.isEmpty():
+                found.append(_members_in_chunks(large, cap))
+            break
         else:
             heads = active.select("a").distinct().join(active.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
             members = materialize(active.join(heads, "a", "left_semi").select("b").distinct(), "members")
@@ -132,8 +135,6 @@ def absorbed(edges: DataFrame, rounds: int = PARALLEL_ROUNDS, cap: int = COMPONE
             active = materialize(active.join(members, "b", "left_anti")
                                  .join(members.select(F.col("b").alias("a")), "a", "left_anti"), "active")
         left = active.count()
-        if n > rounds and n % 20 == 0:
-            log.warning("leader grouping: %d rounds on components of more than %d edges", n, cap)
     log.info("leader grouping took %d rounds", n)
     out = found[0] if found else edges.select("b").limit(0)
     for more in found[1:]:
@@ -305,24 +306,83 @@ def _claim_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"seed": seeds, "member": members}, columns=["seed", "member"])
 
 
-def _claim_in_rounds(claims: DataFrame) -> DataFrame:
-    """The same for components of any size: a seed acts once it is the first open claimant of all it
-    claims; seeds that were claimed themselves drop out."""
-    live, won = claims, []
-    while not live.isEmpty():
-        first = live.groupBy("member").agg(F.min("pos").alias("first"))
-        ready = (live.join(first, "member").groupBy("seed", "pos")
-                 .agg(F.min(F.col("pos") == F.col("first")).alias("ok"), F.count(F.lit(1)).alias("n")).filter("ok"))
-        ready = materialize(ready.select("seed", F.col("n") > 1), "ready").toDF("seed", "forms")
-        got = materialize(live.join(ready.filter("forms"), "seed", "left_semi").select("seed", "member"), "won")
-        won.append(got)
-        claimed = got.select("member")
-        live = materialize(live.join(ready, "seed", "left_anti").join(claimed, "member", "left_anti")
-                           .join(claimed.select(F.col("member").alias("seed")), "seed", "left_anti"), "claims")
-    out = won[0] if won else claims.select("seed", "member").limit(0)
-    for more in won[1:]:
-        out = out.union(more)
-    return out
+def _same(df: DataFrame) -> tuple:
+    """A fingerprint of the rows."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+
+
+def _claim_in_chunks(claims: DataFrame, cap: int) -> DataFrame:
+    """The same for components of any size: chunks of seeds in order are walked side by side, each with
+    what the chunks before it are believed to have taken; chunks are walked again until no belief
+    changes. The first chunk is right after one pass, the next after it is, and so on; since claims reach
+    only so far and mostly forget where they started, a few passes settle long chains. A chain so regular
+    that its phase never fades takes a pass for each chunk.
+    """
+    n = max(1, -(-claims.count() // cap))
+    ranged = materialize(claims.repartitionByRange(n, "pos").withColumn("chunk", F.spark_partition_id()), "ranged")
+    within = Window.partitionBy("chunk").orderBy("pos")
+    placed = materialize(ranged.withColumn("k", F.dense_rank().over(within)).drop("pos"), "chunks")
+    schema = T.StructType([placed.schema["chunk"], claims.schema["seed"], claims.schema["member"]])
+
+    def walk(mine: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        taken, seeds, members = set(before["member"].tolist()), [], []
+        for _, own in mine.sort_values(["k", "at"]).groupby("k", sort=True):
+            seed = own["seed"].iloc[0]
+            if seed not in taken:
+                free = [m for m in own["member"].tolist() if m not in taken]
+                if len(free) > 1:
+                    taken.update(free)
+                    seeds.extend([seed] * len(free))
+                    members.extend(free)
+        return pd.DataFrame({"chunk": int(mine["chunk"].iloc[0]) if len(mine) else 0, "seed": seeds, "member": members},
+                            columns=["chunk", "seed", "member"])
+
+    asked = materialize(placed.select("chunk", "member").distinct(), "asked")
+    believed, mark, passes = materialize(asked.limit(0), "believed"), None, 0
+    while True:
+        passes += 1
+        won = materialize(placed.groupBy("chunk").cogroup(believed.groupBy("chunk")).applyInPandas(walk, schema), "won")
+        now = _same(won)
+        if now == mark:
+            log.info("claims in %d chunks took %d passes", n, passes)
+            return won.select("seed", "member")
+        mark = now
+        by = won.select(F.col("chunk").alias("by"), "member")
+        believed = materialize(asked.join(by, "member").filter(F.col("by") < F.col("chunk")).select("chunk", "member").distinct(), "believed")
+
+
+def _members_in_chunks(edges: DataFrame, cap: int) -> DataFrame:
+    """Nodes that some leader takes (column ``b``), from edges of components of any size, in the same way:
+    chunks of leaders in order, walked again until what earlier chunks take no longer changes."""
+    n = max(1, -(-edges.count() // cap))
+    ranged = materialize(edges.repartitionByRange(n, "a").withColumn("chunk", F.spark_partition_id()), "ranged")
+    names = ranged.select("chunk", F.col("a").alias("node")).union(ranged.select("chunk", F.col("b").alias("node"))).distinct()
+    ranks = materialize(names.withColumn("k", F.row_number().over(Window.partitionBy("chunk").orderBy("node"))), "ranks")
+    placed = materialize(
+        ranged.join(ranks.select("chunk", F.col("node").alias("a"), F.col("k").alias("a_key")), ["chunk", "a"])
+        .join(ranks.select("chunk", F.col("node").alias("b"), F.col("k").alias("b_key")), ["chunk", "b"])
+        .select("chunk", "a_key", "b_key"), "chunks")
+
+    def walk(mine: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        given = set(before["k"].tolist())
+        taken = set(given)
+        for a, b in sorted(zip(mine["a_key"].tolist(), mine["b_key"].tolist())):
+            if a not in taken:
+                taken.add(b)
+        out = sorted(taken - given)
+        return pd.DataFrame({"chunk": int(mine["chunk"].iloc[0]) if len(mine) else 0, "k": out}, columns=["chunk", "k"])
+
+    believed, mark, passes = materialize(ranks.select("chunk", "k").limit(0), "believed"), None, 0
+    while True:
+        passes += 1
+        won = materialize(placed.groupBy("chunk").cogroup(believed.groupBy("chunk")).applyInPandas(walk, "chunk int, k int"), "won")
+        named = materialize(won.join(ranks, ["chunk", "k"]).select(F.col("chunk").alias("by"), "node"), "named")
+        now = _same(named)
+        if now == mark:
+            log.info("leaders in %d chunks took %d passes", n, passes)
+            return named.select(F.col("node").alias("b")).distinct()
+        mark = now
+        believed = materialize(ranks.join(named, "node").filter(F.col("by") < F.col("chunk")).select("chunk", "k").distinct(), "believed")
 
 
 def groups_from_decisions(decisions: DataFrame, id_col="id", order_col: str | None = None,
@@ -352,7 +412,7 @@ def groups_from_decisions(decisions: DataFrame, id_col="id", order_col: str | No
     big = materialize(tagged.join(sizes.filter(F.col("n") > cap).select("component"), "component", "left_semi")
                       .select("seed", "pos", "at", "member"), "large")
     if not big.isEmpty():
-        done = done.unionByName(_claim_in_rounds(big))
+        done = done.unionByName(_claim_in_chunks(big, cap))
     heads = seeds.select(F.col(id_col).alias("seed"), kinds.alias("type"), "confidence")
     return done.join(heads, "seed").select(F.col("seed").alias("group_id"), F.col("member").alias("member_id"),
                                            "type", "confidence")

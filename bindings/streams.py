@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keepsake import streaming as S
 from keepsake.session import fresh_path
-from keepsake.sources.snapshots import Snapshots
+from keepsake.sources.snapshots import KeyedTable, Snapshots
 
 from .feedback import SUMS, SUNDAY
 from .registry import query
@@ -74,8 +74,8 @@ def _(t):
 
 @query("s2_feedback_months", f"SELECT user_type, epoch_us(date_trunc('month', ts)) AS start, {SUMS} FROM v_feedback GROUP BY 1, 2")
 def _(t):
-    store = Snapshots(t.spark, fresh_path(t.spark, "s2"))
-    S.upsert_stream(S.month_counts(_events(t)), store, ["user_type", "period_start"], "total", fresh_path(t.spark, "s2-checkpoint"), "update").awaitTermination()
+    store = KeyedTable(t.spark, fresh_path(t.spark, "s2"), ["user_type", "period_start"])
+    S.upsert_stream(S.month_counts(_events(t)), store, "total", fresh_path(t.spark, "s2-checkpoint"), "update").awaitTermination()
     return store.current().select("user_type", us("period_start").alias("start"), "positive", "negative", "edits", "total")
 
 
@@ -107,9 +107,9 @@ def _(t):
 
 @query("s5_feedback_upsert", "SELECT user_id, item_id, arg_max(feedback, (ts, id)) AS feedback FROM v_feedback GROUP BY 1, 2")
 def _(t):
-    store = Snapshots(t.spark, fresh_path(t.spark, "s5"))
+    store = KeyedTable(t.spark, fresh_path(t.spark, "s5"), ["user_id", "item_id"])
     s = _events(t).select("user_id", "item_id", "feedback", "ts", "id")
-    S.upsert_stream(s, store, ["user_id", "item_id"], ["ts", "id"], fresh_path(t.spark, "s5-checkpoint")).awaitTermination()
+    S.upsert_stream(s, store, ["ts", "id"], fresh_path(t.spark, "s5-checkpoint")).awaitTermination()
     return store.current().select("user_id", "item_id", "feedback")
 
 

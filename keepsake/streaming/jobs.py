@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.catalog import latest_per_key
 from ..operators.feedback import METRICS, metric_counts
-from ..sources.snapshots import Snapshots
+from ..sources.snapshots import KeyedTable, Snapshots
 
 # Windows start at the epoch, a Thursday: three more days make weeks start on Sunday.
 GRAIN_WINDOWS = {"hour": ("1 hour", "1 hour", "0 seconds"), "day": ("1 day", "1 day", "0 seconds"),
@@ -80,16 +80,16 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
             .outputMode(mode).trigger(availableNow=True).start())
 
 
-def upsert_stream(stream: DataFrame, store: Snapshots, keys, order, checkpoint: str, mode: str = "append"):
-    """Keeps the last row per key in a snapshot table; a repeated batch rewrites its own version."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
+def upsert_stream(stream: DataFrame, store: KeyedTable, order, checkpoint: str, mode: str = "append"):
+    """Keeps the last row per key of a keyed table; a repeated batch rewrites its own version, and a batch
+    rewrites only the buckets that it has keys of."""
     order = [order] if isinstance(order, str) else list(order)
 
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        return latest_per_key(batch if old is None else old.unionByName(batch), store.keys, order)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        version = f"{batch_id:012d}"
-        old = store.before(version)
-        rows = batch if old is None else old.unionByName(batch)
-        store.write(latest_per_key(rows, keys, order), version)
+        store.change(batch, f"{batch_id:012d}", merge)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .outputMode(mode).trigger(availableNow=True).start())

@@ -9,7 +9,7 @@ from keepsake import streaming as S
 from keepsake.operators import activity, catalog, curation, feedback, filters
 from keepsake.session import fresh_path
 from keepsake.sources import readers
-from keepsake.sources.snapshots import Snapshots
+from keepsake.sources.snapshots import KeyedTable, Snapshots
 
 NOW = datetime(2025, 1, 10)
 
@@ -134,13 +134,49 @@ def test_streams_in_batches(spark, tmp_path):
         S.route_late(stream(), f"{base}/ok", f"{base}/late", Snapshots(spark, f"{base}/marks"), timedelta(hours=1), f"{base}/c1").awaitTermination(300)
     assert [r["id"] for r in spark.read.parquet(f"{base}/late").collect()] == [3]
     assert spark.read.parquet(f"{base}/ok").count() == 5
-    store = Snapshots(spark, f"{base}/store")
-    S.upsert_stream(stream(), store, "key", ["ts", "id"], f"{base}/c2").awaitTermination(300)
+    store = KeyedTable(spark, f"{base}/store", "key")
+    S.upsert_stream(stream(), store, ["ts", "id"], f"{base}/c2").awaitTermination(300)
     assert {r["key"]: r["id"] for r in store.current().collect()} == {"a": 5, "b": 4, "c": 6}
     S.write_stream(S.first_arrivals(stream(), ts="ts"), f"{base}/first", f"{base}/c3").awaitTermination(300)
     assert {r["id"] for r in spark.read.parquet(f"{base}/first").collect()} == {1, 2, 4, 6}
 
 
+def test_untouched_buckets_keep_their_files(spark):
+    table = KeyedTable(spark, fresh_path(spark, "keyed"), "key", buckets=8)
+    merge = lambda old, new: new if old is None else old.join(new, "key", "left_anti").unionByName(new)
+    rows = lambda keys, v: spark.createDataFrame([(k, v) for k in keys], "key long, v long")
+    table.change(rows(range(100), 0), "000", merge)
+    files = lambda: {f for f in table.read().inputFiles()}
+    before = files()
+    for i in range(1, 5):
+        table.change(rows([7], i), f"{i:03d}", merge)
+    table.change(rows([7], 9), "004", merge)  # a repeated version replaces itself
+    assert len(before & files()) >= len(before) * 7 // 8 - 1
+    assert {r.key: r.v for r in table.read().collect()} == {**dict.fromkeys(range(100), 0), 7: 9}
+    assert max(len(v) for v in table.listing().values()) == 2 and table.read("004").filter("key = 7").first().v == 3
+
+
+def test_rank_type_and_file_names(spark, tmp_path):
+    df = spark.range(30).selectExpr("id % 2 AS g", "id")
+    small, large = (curation.ranked(df, ["g"], ["id"], limit=n) for n in (100, 5))
+    assert small.dtypes == large.dtypes and sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    (tmp_path / "c.Jpg").write_bytes(b"x")
+    assert [r["name"] for r in readers.list_files(spark, str(tmp_path)).collect()] == ["c.Jpg"]
+    assert readers.hash_files(spark, str(tmp_path)).count() == 1
+
+
+def test_first_byline_only_and_tags_in_order(spark):
+    text = spark.createDataFrame([("*by Abby Gatsby Jones • *\nhello",)], "t string")
+    row = text.select(K.heading_metadata(F.col("t"), F.lit("f"), default_date="none").alias("m")).first().m
+    assert (row.author, row.date) == ("Abby Gatsby Jones", "none")
+    log = spark.createDataFrame([
+        (1, 1, "replace", ["b", "a", "b", " "], None, None, "x"), (1, 2, "add", None, "c", None, None), (1, 3, "remove", None, "a", None, "y"),
+        (1, 4, "add", None, "a", None, None), (1, 5, "add", None, "b", None, None), (1, 6, "clear", None, None, None, "z"), (2, 1, "remove", None, "a", None, "y")],
+        "photo_id long, seq long, op string, tags array<string>, tag string, text string, source string")
+    out = catalog.fold_enhancements(log).collect()
+    assert [(r.photo_id, r.accepted_ai_tags, r.suggestion_source) for r in out] == [(1, ["b", "b", "c", "a"], "x")]
+
+
 def test_missing_times(spark):
     df = spark.createDataFrame([(1, None), (2, datetime(2025, 1, 5)), (3, datetime(2025, 2, 5))], "id long, captured_at timestamp")
     ids = lambda d: [r["id"] for r in d.orderBy("id").collect()]

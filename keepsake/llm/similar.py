@@ -39,7 +39,7 @@ from .common import Workspace, bitmap, components, in_bitmap, mix, session, wind
 
 WORDS, PERCENT = 5, 80
 COUNTERS, CHUNK = 1 << 21, 1 << 14
-FEW = 64  # expected candidates of a document that make its prefix short enough
+FEW = 8  # expected candidates of a document that make its prefix short enough
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:

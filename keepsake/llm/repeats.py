@@ -13,7 +13,8 @@ anchor that occur once go to the suffix arrays with one context of every other k
 Suffix arrays. A task takes the contexts of whole anchors, about ``BLOCK`` bytes at a time, and builds the
 array in two stages: suffixes smaller than their successor are sorted directly, by eight bytes at a time
 and only as deep as LENGTH; all others are induced by one scan over the buckets of first bytes. Common
-prefixes of neighbours, up to LENGTH, then show which strings occur twice.
+prefixes of neighbours, up to LENGTH, then show which strings occur twice. Only places where a string may
+start, and the few that they are induced from, enter the array.
 
 Cores and hot anchors. Strings that start in one part of the places around an anchor share a core, the
 bytes common to every one of them, so contexts are grouped by their core: equal strings stay together.
@@ -111,34 +112,48 @@ def sort_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
-def suffix_array(text: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of ``text`` in the order of at least their first ``depth`` bytes, in two stages."""
+def suffix_array(text: np.ndarray, words: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of ``text`` in the order of at least their first ``depth`` bytes, in two stages.
+
+    ``wanted`` marks the suffixes asked for (default: all). Only they, and the successors that they are
+    induced from, up to the next one that is sorted directly, take part.
+    """
     n = len(text)
     smaller = np.zeros(n, bool)  # than its successor; equal bytes pass the type on from the right
     step = np.sign(text[1:].astype(np.int16) - text[:-1])
     last = np.where(step != 0, np.arange(n - 1), n)
     following = np.minimum.accumulate(last[::-1])[::-1]
     smaller[:-1] = (following < n) & (step[np.minimum(following, n - 2)] > 0)
-    chosen = np.flatnonzero(smaller)
+    if wanted is None:
+        needed = np.ones(n, bool)
+    else:
+        # a place is needed if a wanted one stands before it with no directly sorted one from there on
+        at = np.arange(n)
+        asked = np.maximum.accumulate(np.where(wanted, at, -1))
+        sorted_before = np.concatenate([[-1], np.maximum.accumulate(np.where(smaller, at, -1))[:-1]])
+        needed = wanted | (asked > sorted_before)
+    chosen = np.flatnonzero(smaller & needed)
     direct = sort_directly(words, chosen, depth)
     direct = direct[np.argsort(text[direct], kind="stable")]
     bounds = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[n - 1]].append(np.array([n - 1]))
-    out = []
+    if needed[n - 1]:
+        waiting[text[n - 1]].append(np.array([n - 1]))
+    induced_ones = needed & ~smaller
+    out = [np.zeros(0, np.int64)]
     for c in range(256):
         induced = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
         whole, front = [induced], induced
         while len(front):  # a run of one byte induces within its own bucket
             before = front[front > 0] - 1
-            front = before[(text[before] == c) & ~smaller[before]]
+            front = before[(text[before] == c) & induced_ones[before]]
             whole.append(front)
         bucket = np.concatenate([*whole, direct[bounds[c]:bounds[c + 1]]])
         if not len(bucket):
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[(text[before] > c) & ~smaller[before]]
+        before = before[(text[before] > c) & induced_ones[before]]
         if len(before):
             before = before[np.argsort(text[before], kind="stable")]
             chars, starts = np.unique(text[before], return_index=True)
@@ -168,7 +183,7 @@ def repeated_starts(contexts: list[bytes], low: np.ndarray, high: np.ndarray, gr
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
     inside = np.arange(len(text)) - begins[owner]
     valid = (inside >= low[owner]) & (inside <= np.minimum(high, sizes - length)[owner])
-    order = suffix_array(text, words, length)
+    order = suffix_array(text, words, length, valid)
     order = order[valid[order]]
     none = np.zeros(0, np.int64)
     if len(order) < 2:

@@ -13,7 +13,7 @@ with a window of fixed width. Character counts and the sum of c log2 c are kept
 character that enters and the one that leaves, so a step costs the same for any width. Windows whose
 Shannon entropy reaches the class's threshold are merged into spans. A span is suppressed if it matches
 the allow-list: UUIDs, alphabet and digit sequences, words (no digit, or one case of letters with
-hardly any digit), paths and placeholders. Spans that a base span already covers are not repeated.
+hardly any digit), paths and names of several words, and placeholders. Spans that a base span already covers are not repeated.
 
 A null text is empty and has no spans. Repeated rows give repeated results. Nothing is shuffled, and a
 task holds one Arrow batch.
@@ -73,7 +73,9 @@ def allowed(found: bytes, around: bytes) -> bool:
     lower = sum(97 <= c <= 122 for c in found)
     if digits < 2 or digits == len(found) or (min(upper, lower) == 0 and digits < len(found) // 6):
         return True
-    if found.count(b"/") + found.count(b"_") + found.count(b"-") > len(found) // 5:
+    parts = [p for p in re.split(rb"[/_-]", found) if p]
+    word = lambda p: p.isdigit() or p.isalpha() and (p.islower() or p.isupper() or p.istitle())
+    if len(parts) > 1 and all(map(word, parts)):  # a path, or a name of several words
         return True
     return any(p.search(around) for p in ALLOWED)
 

@@ -295,16 +295,17 @@ def by_core(contexts: DataFrame, space: Workspace, length: int, reach: int, grou
     cut = contexts.withColumn("part", parts).withColumn("x", F.greatest("part.a", -F.col("back"))).withColumn(
         "y", F.least("part.b", F.length("context") - F.col("back") - length)).filter("x <= y")
     slim = cut.select(F.xxhash64("fp", "part.a", piece(F.col("part.b"), F.col("part.a") + length)).alias("grp"),
-                      F.xxhash64("x", "y", piece(F.col("x"), F.col("y") + length)).alias("whole"), "fp", "ctx", "x", "y")
+                      F.xxhash64("x", "y", piece(F.col("x"), F.col("y") + length)).alias("whole"), "fp", "ctx", "x", "y",
+                      F.col("part.a").alias("a"), F.col("part.b").alias("b"))
     counted = space.save(slim.groupBy("grp", "whole").agg(F.count("*").alias("n"), F.min(F.struct("fp", "ctx")).alias("one"),
-                                                          F.first("x").alias("x"), F.first("y").alias("y")), "cores")
+                                                          *[F.first(c).alias(c) for c in ("x", "y", "a", "b")]), "cores")
     again = counted.filter("n > 1").select("grp", "whole")
     known = [space.save(slim.join(again, ["grp", "whole"]).select("fp", "ctx", F.col("x").alias("low"), (F.col("y") + length).alias("high")), "known")]
     sizes = counted.groupBy("grp").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    on = counted.join(sizes, "grp").select("grp", "one.*", "x", "y", "kinds")
+    on = counted.join(sizes, "grp").select("grp", "one.*", "x", "y", "a", "b", "kinds")
     ready = space.save(on.join(contexts, ["fp", "ctx"]).select(
         "grp", "fp", "ctx", "key", "at", (-F.col("x")).alias("back"), piece(F.col("x"), F.col("y") + length).alias("context"),
-        F.col("x").alias("low"), F.col("y").alias("high"), "kinds"), "ready")
+        F.col("a").alias("low"), F.col("b").alias("high"), "kinds"), "ready")  # of the part, alike for the whole group
     space.drop("cores")
     small, hot = ready.filter(F.col("kinds") <= group).drop("kinds"), ready.filter(F.col("kinds") > group).drop("kinds")
     if hot.limit(1).count():

@@ -412,6 +412,7 @@ def remove(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     plain = F.coalesce(F.col("_text"), F.lit("")).cast("binary")
     asked = maybe("_key")
     sure = base.filter(~asked).select(*others, "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), plain.alias("kept"))
-    joined = base.filter(asked).join(hits, F.col("_key") == hits["key"], "left")
-    done = joined.select(*others, "n_bytes", cut("_text", "hits").alias("c")).select(*others, "n_bytes", "c.*")
+    found = hits.toDF("_hit_key", "_hits")
+    joined = base.filter(asked).join(found, F.col("_key") == F.col("_hit_key"), "left")
+    done = joined.select(*others, "n_bytes", cut("_text", "_hits").alias("_cut")).select(*others, "n_bytes", "_cut.*")
     return sure.unionByName(done)

@@ -8,12 +8,14 @@ Spans are ``kind:start:end`` in code points, end exclusive. Kinds, in the order
 ``entropy``  found by the method below
 
 Method. Candidates are runs of 20 or more characters that keys are made of. Inside a candidate, each
-maximal stretch of a character class (hexadecimal of one case; letters, digits and ``+/_-``) is walked
-with a window of fixed width. Character counts and the sum of c log2 c are kept up to date with the one
+maximal stretch of a character class (hexadecimal of one case; letters of one case and digits; letters,
+digits and ``+/_-``) is walked with a window of fixed width. Character counts and the sum of c log2 c are kept up to date with the one
 character that enters and the one that leaves, so a step costs the same for any width. Windows whose
-Shannon entropy reaches the class's threshold are merged into spans. A span is suppressed if it matches
-the allow-list: UUIDs, alphabet and digit sequences, words (no digit, or one case of letters with
-hardly any digit), paths and names of several words, and placeholders. Spans that a base span already covers are not repeated.
+Shannon entropy reaches the class's threshold are merged into spans. UUIDs, sequences of letters or digits,
+fillers and placeholder words that stand alone are cut out first, and the rest on each side is walked by
+itself. A span is suppressed if it is digits only, if a placeholder word is part of it, or if it is made of
+words by their shape: parts of one case or title case, few changes between letters and digits, and
+letter pairs that languages use. Spans that a base span already covers are not repeated.
 
 A null text is empty and has no spans. Repeated rows give repeated results. Nothing is shuffled, and a
 task holds one Arrow batch.
@@ -36,9 +38,21 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 #: name, stretch, window, bits
 CLASSES = (("hex", re.compile(rb"[0-9a-f]{20,}|[0-9A-F]{20,}"), 20, 2.9),
-           ("base64", re.compile(rb"[A-Za-z0-9+/_-]{20,}"), 20, 3.75))
-ALLOWED = (re.compile(rb"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-           re.compile(rb"(?i)example|placeholder|changeme|your[_-]|xxxx|0{6}|1234567|abcdefg"))
+           ("one case", re.compile(rb"[a-z0-9]{20,}|[A-Z0-9]{20,}"), 20, 3.3),
+           ("base64", re.compile(rb"[A-Za-z0-9+/_-]{20,}"), 20, 3.6))
+RISING = b"|".join(row[i:j] for row in (b"01234567890", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+                   for i in range(len(row) - 5) for j in range(len(row), i + 5, -1))  # six or more in a row, longest first
+#: what is no part of a secret and may stand beside one
+CUT = re.compile(rb"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[xX]{4,}|0{6,}|"
+                 rb"(?<![A-Za-z0-9])(?i:example|placeholder|changeme|your)(?![A-Za-z0-9])|" + RISING)
+PLACEHOLDER = re.compile(rb"(?i)example|placeholder|changeme")
+TOKEN = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: letter pairs that make up most of the words of languages in Latin letters
+PAIRS = frozenset("""th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra
+    ld ur ch ie ei ge be un ic ne me li ri ro io co ma us el la ta ce ec om ll ho no il di em ac ee ss tr ns wa po lo ot ig ly sh ni
+    ct so ai sc sp pe pr pl bl ab ad am ag ap av ay bi bo br ca ci cl cr da do ef ep ev ew ex fa fe fi fo fr ga gh gi go gr id if im
+    ir iv ke ki lt mi mo mp mu na ny ob od ol oo op os ow pa pi pp rd rg rk rm rn rr rs rt ru ry su tt tu tw ty ub ue ui ul um up ut
+    va vi we wh wi wo ck mm nn nc ff qu ba bu""".split())
 KINDS = ("assign", "access", "hex", "entropy")
 
 _terms = [0.0] + [c * math.log2(c) for c in range(1, 65)]
@@ -66,18 +80,33 @@ def hot_windows(run: bytes, width: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
-def allowed(found: bytes, around: bytes) -> bool:
-    """Whether a span is something harmless."""
-    digits = sum(48 <= c <= 57 for c in found)
-    upper = sum(65 <= c <= 90 for c in found)
-    lower = sum(97 <= c <= 122 for c in found)
-    if digits < 2 or digits == len(found) or (min(upper, lower) == 0 and digits < len(found) // 6):
+def is_word(part: bytes) -> bool:
+    """Whether a part between signs has the shape of words and numbers."""
+    if len(part) < 4 or part.isdigit():
         return True
-    parts = [p for p in re.split(rb"[/_-]", found) if p]
-    word = lambda p: p.isdigit() or p.isalpha() and (p.islower() or p.isupper() or p.istitle())
-    if len(parts) > 1 and all(map(word, parts)):  # a path, or a name of several words
+    tokens = TOKEN.findall(part)
+    letters = [t for t in tokens if not t.isdigit()]
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(tokens, tokens[1:]))
+    if turns > max(1, len(part) // 8) or sum(map(len, letters)) < 3 * len(letters):
+        return False
+    found = [t[i:i + 2].lower().decode() for t in letters for i in range(len(t) - 1)]
+    return len(found) < 5 or sum(x in PAIRS for x in found) >= 0.6 * len(found)
+
+
+def allowed(found: bytes) -> bool:
+    """Whether a span is something harmless."""
+    if found.isdigit() or PLACEHOLDER.search(found):
         return True
-    return any(p.search(around) for p in ALLOWED)
+    return sum(len(p) for p in re.split(rb"[+/_-]", found) if not is_word(p)) < 10
+
+
+def secret_parts(text: bytes, width: int, bits: float) -> list[tuple[int, int]]:
+    """The hot stretches of ``text`` that are not allowed, with what is harmless cut out first."""
+    out, at = [], 0
+    for start, end in [*(m.span() for m in CUT.finditer(text)), (len(text), len(text))]:
+        out += [(at + a, at + b) for a, b in hot_windows(text[at:start], width, bits) if not allowed(text[at + a:at + b])]
+        at = end
+    return out
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
@@ -97,10 +126,8 @@ def entropy_spans(data: bytes, base: list[tuple[int, int, int]]) -> list[tuple[i
         at, text = candidate.start(), candidate.group()
         for _, stretch, width, bits in CLASSES:
             for part in stretch.finditer(text):
-                for a, b in hot_windows(part.group(), width, bits):
-                    a, b = a + part.start(), b + part.start()
-                    if not allowed(text[a:b], text):
-                        found.append((at + a, at + b))
+                begin = at + part.start()
+                found += [(begin + a, begin + b) for a, b in secret_parts(part.group(), width, bits)]
     merged: list[list[int]] = []
     for a, b in sorted(found):
         if merged and a <= merged[-1][1]:

@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+import pytest
+
 from keepsake.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -51,3 +53,30 @@ def test_rows(odd):
     got = secrets.scan(odd).collect()
     assert len(got) == odd.count() and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secrets.scan(odd.limit(0)).count() == 0
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = {"letters": LETTERS + LETTERS.lower(), "base62": LETTERS + LETTERS.lower() + "0123456789", "base64": LETTERS + LETTERS.lower() + "0123456789+/",
+             "base32": LETTERS + "234567", "lower": LETTERS.lower() + "0123456789", "upper": LETTERS + "0123456789", "hex": "0123456789ABCDEF"}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+@pytest.mark.parametrize("length, least", [(20, 0.97), (24, 0.99), (32, 0.995), (40, 0.995)])
+def test_random_keys_are_found(name, length, least):
+    rng = random.Random(f"{name}{length}")
+    keys = ["".join(rng.choice(ALPHABETS[name]) for _ in range(length)) for _ in range(1_000)]
+    assert sum(bool(secrets.scan_text(f"see {key} here")[1]) for key in keys) >= least * len(keys)
+
+
+def test_harmless_text_beside_a_key_hides_nothing():
+    key = "x8Kd93Lq0ZmP4vR7tYw2Ns6BfHj1"
+    for text in (f"example/{key}", f"your_{key}", f"{key}_000000", f"1234567-{key}", f"123e4567-e89b-12d3-a456-426614174000_{key}", f"xxxx-{key}-example"):
+        spans = [s for s in secrets.scan_text(text)[1] if s[1] == 3]
+        at = text.index(key)
+        assert any(s <= at and e >= at + len(key) for s, _, e in spans), text
+
+
+def test_words_by_shape_are_no_keys():
+    for clean in ("getUserAccountByEmailAddressAndIdentifier", "DEFAULT_CONNECTION_TIMEOUT_SECONDS", "donaudampfschifffahrtsgesellschaft",
+                  "src/components/photoSimilarityPanel/index", "thanbleshaningtionnt", "Berlin-Hamburg-Stuttgart-2024", "uncharacteristicallyunremarkable"):
+        assert not [s for s in secrets.scan_text(clean)[1] if s[1] == 3], clean

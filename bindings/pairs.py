@@ -70,6 +70,15 @@ def _(t):
     return out.select("query_id", "id", r4(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("j9_top_k_hundredth", f"""WITH n AS MATERIALIZED (SELECT id, list_transform(features, lambda x: x / sqrt(list_sum(list_transform(features, lambda y: y * y)))) AS u FROM v_vec)
+    SELECT query_id, id, {q4('v')} AS score, rank FROM (SELECT a.id AS query_id, b.id, {UDOT} AS v, row_number() OVER (PARTITION BY a.id ORDER BY {UDOT} DESC, b.id) AS rank
+    FROM n a JOIN n b ON a.id % 100 = 0) WHERE rank <= 5""")
+def _(t):
+    q = t.vec.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("features").alias("query"))
+    out = pairs.top_k(t.vec, q, 5)
+    return out.select("query_id", "id", r4(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("j12_pair_score", f"""WITH {UNITS}, p AS (SELECT a.id AS x, b.id AS y, {UDOT} AS v FROM u a JOIN u b ON a.id < b.id)
     SELECT e.id + 1000000 AS id_a, e.id AS id_b, CASE WHEN v >= 0.98 THEN {q4('v')} END AS score FROM v_vec e LEFT JOIN p ON p.x = e.id AND p.y = e.id + 1000000 WHERE e.id < 1000000""")
 def _(t):

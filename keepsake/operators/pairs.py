@@ -251,6 +251,7 @@ def text_groups(df: DataFrame, id_col="id", text_col="description", threshold=0.
 # --- search and look-ups -----------------------------------------------------------------------
 
 QUERY_NUMBERS = 500_000  # numbers of query vectors sent to the tasks at a time
+SCORES = 1_000_000  # scores a task holds at a time
 
 
 def _query_blocks(queries: DataFrame, cols: list[str]):
@@ -288,6 +289,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col="id", vect
             block = [q for q in sent.value if q[1] is not None]
             asked = np.array([q[1] for q in block], float)
             lengths = np.linalg.norm(asked, axis=1) if len(block) else np.zeros(0)
+            names, wanted = np.array([q[0] for q in block]), np.array([q[2] for q in block]) if filter_col else None
             for batch in batches:
                 batch = batch[batch[vector_col].notna()]
                 if not len(batch) or not len(block):
@@ -295,13 +297,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col="id", vect
                 own = np.stack([np.asarray(v, float) for v in batch[vector_col]])
                 if own.shape[1] != asked.shape[1]:
                     raise ValueError("vectors must have the same length")
-                scale = np.linalg.norm(own, axis=1)[:, None] * lengths[None, :]
-                scores = np.divide(own @ asked.T, scale, out=np.zeros(scale.shape), where=scale > 0)
-                ids = batch[id_col].to_numpy()
-                for j, q in enumerate(block):
-                    mine = np.arange(len(ids)) if filter_col is None else np.flatnonzero((batch[filter_col] == q[2]).to_numpy())
-                    best = mine[np.lexsort((ids[mine], -scores[mine, j]))[:k]]
-                    yield pd.DataFrame({query_id: [q[0]] * len(best), id_col: ids[best], "score": scores[best, j]})
+                sizes, ids = np.linalg.norm(own, axis=1), batch[id_col].to_numpy()
+                width = max(1, SCORES // len(ids))
+                for at in range(0, len(block), width):
+                    part = slice(at, at + width)
+                    scale = lengths[part, None] * sizes[None, :]
+                    scores = np.divide(asked[part] @ own.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+                    allowed = np.ones(scores.shape, bool) if filter_col is None else wanted[part, None] == batch[filter_col].to_numpy()[None, :]
+                    down = np.where(allowed, -scores, np.inf)
+                    if k < len(ids):  # all that tie with the last of the best stay for the order by id
+                        allowed &= ~(down > np.partition(down, k - 1, axis=1)[:, k - 1:k])
+                    q, row = np.nonzero(allowed)
+                    order = np.lexsort((ids[row], down[q, row], q))
+                    q, row = q[order], row[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    q, row = q[best], row[best]
+                    yield pd.DataFrame({query_id: names[part][q], id_col: ids[row], "score": scores[q, row]})
         return run
 
     for block in _query_blocks(queries, cols):

@@ -41,6 +41,21 @@ def _(t):
     return neighbors.candidate_rows(t.photo, "permissive").select("id", "project_id")
 
 
+def _pairs_sql(mode: str, rule: str) -> str:
+    return f"""SELECT '{mode}' AS mode, (SELECT count(*) FROM v_photo) AS total, count(*) AS compared FROM (
+        SELECT a.id AS x, b.id AS y FROM v_photo a JOIN v_photo b ON a.id < b.id AND b.captured_at < a.captured_at + INTERVAL 15 MINUTE
+            AND b.captured_at > a.captured_at - INTERVAL 15 MINUTE WHERE {rule}
+        UNION SELECT a.id, b.id FROM v_photo a JOIN v_photo b ON a.id < b.id AND abs(a.latitude - b.latitude) < 0.001
+            AND abs(a.longitude - b.longitude) < 0.001 WHERE {rule})"""
+
+
+@query("a14_candidate_savings", f"""WITH c AS ({_pairs_sql('strict', STRICT)} UNION ALL {_pairs_sql('permissive', PERMISSIVE)})
+    SELECT *, total * (total - 1) // 2 AS all_pairs, CAST(floor((1.0 - compared / CAST(total * (total - 1) // 2 AS DOUBLE)) * 100 + 0.5) AS BIGINT) AS saved_pct FROM c""")
+def _(t):
+    counts = [neighbors.candidate_pairs(t.photo, mode).withColumn("mode", F.lit(mode)) for mode in ("strict", "permissive")]
+    return activity.pair_savings(counts[0].unionByName(counts[1]))
+
+
 NEAR = """near AS MATERIALIZED (SELECT a.id, b.id AS other, abs(epoch_us(a.captured_at) - epoch_us(b.captured_at)) AS gap,
     a.latitude AS lat, a.longitude AS lon, b.latitude AS blat, b.longitude AS blon,
     row_number() OVER (PARTITION BY a.id ORDER BY abs(epoch_us(a.captured_at) - epoch_us(b.captured_at)), b.id) AS r

@@ -8,12 +8,14 @@ Two devices keep the work linear in the rows, however crowded a minute, a projec
 """
 from __future__ import annotations
 
+from functools import reduce
 from math import pi
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km
 from ..functions.numbers import micros
+from ..session import materialize
 
 KM_PER_DEGREE = EARTH_RADIUS_KM * pi / 180
 SECOND = 1_000_000
@@ -110,6 +112,15 @@ def _paired(rows: DataFrame, scope: list[str], seconds: float | None, km: float
     return crowded.union(met)
 
 
+def _rules(mode: str) -> list[tuple[list[str], float | None, float | None]]:
+    """Columns that must be equal, seconds and kilometres of each rule of :func:`candidate_rows`."""
+    if mode == "strict":
+        return [(["project_id"], 60, None), (["project_id"], 300, 0.05)]
+    if mode == "permissive":
+        return [(["project_id"], 300, None), (["creator_id"], 900, None), ([], None, 0.05), ([], 60, None)]
+    raise ValueError(f"unknown candidate mode: {mode}")
+
+
 def candidate_rows(df: DataFrame, mode: str = "strict", id_col="id", captured="captured_at") -> DataFrame:
     """Rows that have a likely duplicate by metadata alone: time, place, project, creator.
 
@@ -118,18 +129,69 @@ def candidate_rows(df: DataFrame, mode: str = "strict", id_col="id", captured="c
     """
     rows = df.select(F.col(id_col).alias("id"), "project_id", "creator_id", "latitude", "longitude",
                      micros(F.col(captured)).alias("t"))
-    if mode == "strict":
-        rules = [(["project_id"], 60, None), (["project_id"], 300, 0.05)]
-    elif mode == "permissive":
-        rules = [(["project_id"], 300, None), (["creator_id"], 900, None), ([], None, 0.05), ([], 60, None)]
-    else:
-        raise ValueError(f"unknown candidate mode: {mode}")
+    rules = _rules(mode)
     hits = _paired(rows, *rules[0])
     for rule in rules[1:]:
         hits = hits.union(_paired(rows, *rule))
     return df.join(hits.select(F.col("id").alias(id_col)), id_col, "left_semi")
 
 
+def candidate_pairs(df: DataFrame, mode: str = "strict", id_col="id", captured="captured_at") -> DataFrame:
+    """One row ``total, compared``: the rows, and the pairs of them that :func:`candidate_rows` goes by.
+
+    Rows of equal metadata are one node with a number, and a pair of nodes stands for the product. Nodes
+    meet by cell, and a pair that several rules accept counts for the first of them; pairs are summed up
+    where they meet, never kept.
+    """
+    own = ["project_id", "creator_id", "latitude", "longitude", "t"]
+    rows = df.select(F.col(id_col).alias("id"), *own[:4], micros(F.col(captured)).alias("t"))
+    nodes = materialize(rows.groupBy(*own).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "metadata")
+    rules = _rules(mode)
+
+    def needs(rule) -> Column:
+        scope, seconds, km = rule
+        wanted = [*scope, *(["t"] if seconds else []), *(["latitude", "longitude"] if km else [])]
+        return reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in wanted])
+
+    def meets(rule) -> Column:
+        scope, seconds, km = rule
+        a, b = lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")
+        tests = [a(c) == b(c) for c in scope]
+        if seconds:
+            tests.append(F.abs(a("t") - b("t")) < int(seconds * SECOND))
+        if km:
+            tests.append(((a("latitude") == b("latitude")) & (a("longitude") == b("longitude")))
+                         | (haversine_km(a("latitude"), a("longitude"), b("latitude"), b("longitude")) < km))
+        return F.coalesce(reduce(lambda x, y: x & y, tests), F.lit(False))
+
+    copies = nodes.filter(reduce(lambda x, y: x | y, map(needs, rules))).select((F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"))
+    counts = [copies.agg(F.sum("pairs").alias("pairs"))]
+    for i, rule in enumerate(rules):
+        scope, seconds, km = rule
+        place, known = Place(km) if km else None, nodes.filter(needs(rule))
+        left, right = (known.select(*[F.col(c).alias(f"{side}_{c}") for c in nodes.columns]) for side in "ab")
+        keys = []
+        if seconds:
+            left = left.withColumn("tc", time_cell(F.col("a_t"), seconds))
+            home = time_cell(F.col("b_t"), seconds)
+            right = right.withColumn("tc", F.explode(F.sequence(home - 1, home + 1)))
+            keys.append("tc")
+        if km:
+            left = left.withColumn("cell", place.cell(F.col("a_latitude"), F.col("a_longitude")))
+            right = right.withColumn("cell", F.explode(place.around(F.col("b_latitude"), F.col("b_longitude"))))
+            keys.append("cell")
+        for c in scope:
+            left, right = left.withColumn(c, F.col(f"a_{c}")), right.withColumn(c, F.col(f"b_{c}"))
+            keys.append(c)
+        first = meets(rule) & (F.col("a_id") < F.col("b_id"))
+        for earlier in rules[:i]:
+            first = first & ~meets(earlier)
+        met = left.join(right, keys).filter(first)
+        counts.append(met.agg(F.sum(F.col("a_n") * F.col("b_n")).alias("pairs")))
+    pairs = reduce(DataFrame.unionByName, counts).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("bigint").alias("compared"))
+    return nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total")).crossJoin(pairs)
+
+
 # --- nearest neighbours in time ------------------------------------------------------------------
 
 def nearest_in_time(df: DataFrame, k: int = 4, seconds: float = 30, id_col="id", captured="captured_at",

@@ -76,6 +76,27 @@ def test_candidates(spark, mode, span):
     assert {r["id"] for r in neighbors.candidate_rows(df, mode).collect()} == want
 
 
+@pytest.mark.parametrize("mode", ["strict", "permissive"])
+@pytest.mark.parametrize("span", [3_000, 90_000])
+def test_candidate_pairs(spark, mode, span):
+    rows = photos(90, span, span, SPOTS)
+    rows += [(i + 1_000, *r[1:]) for i, r in enumerate(rows[:20])] + [(i + 2_000, *r[1:]) for i, r in enumerate(rows[:20])]
+    pairs = 0
+    for a in rows:
+        for b in rows:
+            if a[0] >= b[0]:
+                continue
+            t = temporal(abs((a[1] - b[1]).total_seconds())) if a[1] and b[1] else 0
+            s = spatial(a[2:4], b[2:4])
+            if mode == "strict":
+                pairs += a[4] == b[4] and t > .85 and (s > .9 or t > .95)
+            else:
+                pairs += (a[4] == b[4] and t > .85) or (a[5] == b[5] and t > .7) or s > .9 or t > .95
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert [tuple(r) for r in neighbors.candidate_pairs(df, mode).select("total", "compared").collect()] == [(len(rows), pairs)]
+    assert [tuple(r) for r in neighbors.candidate_pairs(df.limit(0), mode).collect()] == [(0, 0)]
+
+
 def test_nearest_in_time_in_a_crowd(spark):
     rnd = random.Random(1)
     rows = [(i, T0 + timedelta(seconds=rnd.choice([0, 0, 0, 1, 2.5, 29, 30, 31, 59, 61, 95]))) for i in range(70)]

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, languages, mixing, quality, repeats, scoring, secrets, shards, similar
+from . import chat, counts, decontaminate, languages, manifest, mixing, periodic, quality, repeats, scoring, secrets, shards, similar
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,59 @@ def _similar(spark, sf_dir):
 @query("op10_lm_scores")
 def _scores(spark, sf_dir):
     return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def _periodic(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.runs(docs.select("doc_id", periodic.looped(F.col("text"), F.col("doc_id")).alias("text"))))
+
+
+@query("op12_token_counts")
+def _counts(spark, sf_dir):
+    return counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of the digits of an id, bit by bit; the inner list holds the remainders of all bytes.
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda d: ord(d)::BIGINT)),
+    lambda c, d: xor(c >> 8, t[1 + xor(c, d) % 256])), 4294967295)"""
+BYTES = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+@query("op13_merkle_manifest", f"""
+    WITH RECURSIVE bytes AS (SELECT {BYTES} AS t),
+    leaves AS MATERIALIZED (SELECT doc_id, source, {_leaf('text')} AS leaf,
+        CASE WHEN {CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS other FROM documents, bytes),
+    placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot,
+        count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS id FROM leaves),
+    nodes(level, source, slot, h, n) AS (SELECT 0, source, slot, leaf, n FROM placed UNION ALL
+        SELECT level + 1, source, slot // 3, sha256(string_agg(h, '' ORDER BY slot)), (n + 2) // 3 FROM nodes WHERE n > 1
+        GROUP BY level, source, slot // 3, n),
+    subroots AS MATERIALIZED (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS slot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    tops(level, slot, h, n) AS (SELECT 0, slot, h, n FROM subroots UNION ALL
+        SELECT level + 1, slot // 3, sha256(string_agg(h, '' ORDER BY slot)), (n + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, slot // 3, n),
+    runs AS MATERIALIZED (SELECT level, source, slot // 3 AS run, list(h ORDER BY slot) AS hs FROM nodes WHERE n > 1 GROUP BY ALL),
+    top_runs AS MATERIALIZED (SELECT level, slot // 3 AS run, list(h ORDER BY slot) AS hs FROM tops WHERE n > 1 GROUP BY ALL),
+    walk(id, level, source, slot, n, h, p) AS (SELECT id, 0, source, slot, n, other, '' FROM placed UNION ALL
+        SELECT id, w.level + 1, w.source, slot // 3, (n + 2) // 3,
+            sha256(array_to_string(hs[:slot % 3], '') || w.h || array_to_string(hs[slot % 3 + 2:], '')),
+            p || array_to_string(hs[:slot % 3], '') || array_to_string(hs[slot % 3 + 2:], '')
+        FROM walk w JOIN runs r ON r.level = w.level AND r.source IS NOT DISTINCT FROM w.source AND r.run = w.slot // 3 WHERE n > 1),
+    top_walk(id, level, slot, n, h, p, subroot) AS (SELECT w.id, 0, s.slot, s.n, w.h, w.p, s.h FROM walk w JOIN subroots s
+        ON s.source IS NOT DISTINCT FROM w.source WHERE w.n = 1 UNION ALL
+        SELECT id, w.level + 1, slot // 3, (n + 2) // 3,
+            sha256(array_to_string(hs[:slot % 3], '') || w.h || array_to_string(hs[slot % 3 + 2:], '')),
+            p || array_to_string(hs[:slot % 3], '') || array_to_string(hs[slot % 3 + 2:], ''), subroot
+        FROM top_walk w JOIN top_runs r ON r.level = w.level AND r.run = w.slot // 3 WHERE n > 1)
+    SELECT d.doc_id, d.leaf, w.subroot, t.h AS root, sha256(w.p) AS proof_sha256, w.h AS folded_root, w.h = t.h AS verified
+    FROM placed d JOIN top_walk w ON w.id = d.id AND w.n = 1 JOIN tops t ON t.n = 1""")
+def _manifest(spark, sf_dir):
+    return manifest.verified(table(spark, sf_dir, "documents"))

@@ -191,9 +191,13 @@ class Blocked:
         accepted = F.filter(F.array(self.score("a_", "b_")), self.accept)
         return pairs.join(left, "a").join(right, "b").select("a", "b", F.explode(accepted).alias("score"))
 
+    def pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Accepted pairs ``(a, b, score)`` of the given block rows."""
+        return self.verify(self.candidates(left, right))
+
     def edges(self) -> DataFrame:
         """All accepted pairs."""
-        return self.verify(self.candidates(self.blocks, self.blocks))
+        return self.pairs(self.blocks, self.blocks)
 
     def load(self, blocks: DataFrame) -> tuple[int, int]:
         """Candidate pairs (with repeats) and block rows."""
@@ -213,7 +217,7 @@ class Blocked:
         blocks = materialize(self.blocks, "blocks")
         pairs, n = self.load(blocks)
         if pairs <= max(pairs_listed, pairs_per_row * n):
-            edges = materialize(self.verify(self.candidates(blocks, blocks)), "edges")
+            edges = materialize(self.pairs(blocks, blocks), "edges")
             return assign_leaders(edges, absorbed(edges))
         live, taken = blocks, []
         for _ in range(peel_rounds):
@@ -232,14 +236,14 @@ class Blocked:
             log.info("peeling dense blocks: %d candidate pairs left on %d block rows", pairs, n)
             if pairs <= max(pairs_listed, pairs_per_row * n) or pairs > 0.7 * before:
                 break
-        rest = materialize(self.verify(self.candidates(live, live)), "edges")
+        rest = materialize(self.pairs(live, live), "edges")
         members = absorbed(rest)
         for hit in taken:
             members = members.union(hit)
         members = materialize(members, "members")
         joined = blocks.join(members.select(F.col("b").alias("ord")), "ord", "left_semi")
         leaders = blocks.join(members.select(F.col("b").alias("ord")), "ord", "left_anti")
-        return assign_leaders(self.verify(self.candidates(leaders, joined)), members)
+        return assign_leaders(self.pairs(leaders, joined), members)
 
 
 def collapse(df: DataFrame, content, ord_: Column) -> tuple[DataFrame, DataFrame]:

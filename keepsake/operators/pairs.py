@@ -8,16 +8,15 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import floor, sqrt
+from math import floor
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import hash_similarity
 from ..functions.text import DOMAIN_BOOST, domain_terms, token_similarity, tokens
 from ..functions.vectors import cosine, dot
 from ..session import materialize
+from . import cells
 from .grouping import Blocked, collapse, expand
 
 HASH_LENGTH = 16
@@ -118,42 +117,31 @@ def _named(edges: DataFrame) -> DataFrame:
 
 # --- vectors -----------------------------------------------------------------------------------
 
-# Upper bound of the pivot list each task gets (times the vector length, in doubles).
-MAX_PIVOTS = 1_024
+class NearVectors(Blocked):
+    """Rows ``(ord, unit)`` in the cells of :mod:`.cells`, compared as products of chunks."""
 
+    def __init__(self, reps: DataFrame, threshold: float, cell: int = cells.CELL):
+        blocks = cells.split_cells(cells.all_home(reps), cells.reach_of(threshold), cell)
+        score = lambda a, b: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col(f"{a}unit"), F.col(f"{b}unit"))))
+        super().__init__(reps, blocks, score, lambda s: s >= threshold, lambda a, b: F.col(f"{a}home"))
+        self.threshold, self.basis = threshold, cells.shared_pivots(reps)
 
-def vector_blocks(reps: DataFrame, threshold: float, max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """Cells around pivots taken from the data; lossless for unit vectors.
+    def pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        return cells.near_pairs(cells.rows_of(left, self.rows), cells.rows_of(right, self.rows), self.basis, self.threshold)
 
-    A row's home is its closest pivot. Cosine ``t`` means a distance of at most ``d = sqrt(2 - 2t)``,
-    and a row within ``d`` of another crosses the border between two pivots by at most ``d``; so each
-    row is also a guest in every cell whose border is that near, and a pair always meets in the home of
-    its first row. Pivots are a hash sample of the rows: a region that holds a third of the rows gets
-    a third of the pivots, which keeps cells level whatever the density.
-    """
-    reach = sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    n = reps.count()
-    p = max(1, min(max_pivots, int(sqrt(n))))
-    picked = reps.orderBy(F.xxhash64("ord"), "ord").limit(p).select("unit").collect()
-    pivots = np.array([r["unit"] for r in picked], dtype="float64").reshape(len(picked), -1)
-    apart = np.sqrt(np.maximum(0.0, ((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1)))
-
-    @F.pandas_udf("array<int>")
-    def cells(units: pd.Series) -> pd.Series:
-        if len(units) == 0:
-            return pd.Series([], dtype=object)
-        scores = np.stack(units.to_numpy()) @ pivots.T
-        home = scores.argmax(axis=1)
-        near = scores >= scores.max(axis=1, keepdims=True) - reach * apart[home] - 1e-9
-        near[np.arange(len(home)), home] = False
-        return pd.Series([[int(h), *np.flatnonzero(row).tolist()] for h, row in zip(home, near)])
-
-    return (reps.select("ord", F.posexplode(cells("unit")).alias("pos", "key"))
-            .select("ord", "key", (F.col("pos") == 0).alias("home")))
+    def compared(self) -> tuple[int, int]:
+        """Pairs in common cells, and those of them that were multiplied out."""
+        rows = cells.rows_of(self.blocks, self.rows)
+        return tuple(cells.near_pairs(rows, rows, self.basis, self.threshold, counts=True).agg(F.sum("possible"), F.sum("compared")).first())
 
+    def load(self, blocks: DataFrame) -> tuple[int, int]:
+        sizes = blocks.groupBy("key").agg(F.sum(F.col("home").cast("double")).alias("h"), F.count(F.lit(1)).alias("n"))
+        row = sizes.agg(F.coalesce(F.sum(F.col("h") * F.col("n") / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return int(row[0]), int(row[1])
 
-def blocked_vectors(df: DataFrame, id_col="id", vector_col="features", threshold=0.98, order_col=None,
-                    dim: int | None = None) -> tuple[Blocked, DataFrame]:
+
+def distinct_vectors(df: DataFrame, id_col="id", vector_col="features", order_col=None, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(ord, unit)`` of the distinct vectors that are not zero, and all rows ``(ord, rep)``."""
     if dim is None:
         first = df.select(F.size(vector_col).alias("d")).filter(F.col(vector_col).isNotNull()).first()
         dim = first["d"] if first else 0
@@ -165,11 +153,13 @@ def blocked_vectors(df: DataFrame, id_col="id", vector_col="features", threshold
     # normalised once, so that a pair costs one inner product
     reps = materialize(reps.select("ord", "n", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm"), "vec")
                        .select("ord", F.transform("vec", lambda x: x / F.col("norm")).alias("unit")), "vectors")
-    blocks = vector_blocks(reps, threshold)
-    score = lambda a, b: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(
-        F.col(f"{a}unit"), F.col(f"{b}unit"))))
-    near = lambda a, b: F.col(f"{a}home")
-    return Blocked(reps, blocks, score, lambda s: s >= threshold, near), rows.drop("vec")
+    return reps, rows.drop("vec")
+
+
+def blocked_vectors(df: DataFrame, id_col="id", vector_col="features", threshold=0.98, order_col=None,
+                    dim: int | None = None) -> tuple[NearVectors, DataFrame]:
+    reps, rows = distinct_vectors(df, id_col, vector_col, order_col, dim)
+    return NearVectors(reps, threshold), rows
 
 
 def vector_pairs(df: DataFrame, id_col="id", vector_col="features", threshold=0.98, order_col=None,
@@ -178,6 +168,25 @@ def vector_pairs(df: DataFrame, id_col="id", vector_col="features", threshold=0.
     return _named(blocked.edges())
 
 
+def vector_pairs_approximate(df: DataFrame, id_col="id", vector_col="features", threshold=0.98, order_col=None, dim: int | None = None,
+                             recall: float = 0.95, rows: int | None = None, seed: int = 7) -> DataFrame:
+    """Most pairs of :func:`vector_pairs`, none wrong: an expected share of ``recall`` of those at the
+    threshold, more of those above it.
+
+    Random hyperplanes give every vector a signature in bands; vectors with a band in common are compared
+    exactly, in the first such band. Bands follow from the threshold, the recall and the number of rows
+    (``rows``, counted if not given). A band's cell with many rows is split like any other, without loss.
+    """
+    reps, _ = distinct_vectors(df, id_col, vector_col, order_col, dim)
+    first = reps.select(F.size("unit").alias("d")).first()
+    if first is None:
+        return _named(NearVectors(reps, threshold).edges())
+    bits, bands = cells.choose_bands(threshold, recall, rows or reps.count())
+    live = materialize(cells.banded(reps, bits, bands, first["d"], seed), "bands")
+    placed = cells.rows_of(cells.split_cells(live, cells.reach_of(threshold)), reps)
+    return _named(cells.near_pairs(placed, placed, cells.shared_pivots(reps), threshold))
+
+
 def vector_groups(df: DataFrame, id_col="id", vector_col="features", threshold=0.8, order_col=None,
                   dim: int | None = None, **tuning) -> DataFrame:
     blocked, rows = blocked_vectors(df, id_col, vector_col, threshold, order_col, dim)

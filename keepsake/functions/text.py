@@ -44,8 +44,8 @@ def labels(*pairs) -> Column:
 
 def tokens(text: Column, min_len: int = 3) -> Column:
     """Distinct lower-case ASCII words of at least ``min_len`` characters."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^A-Za-z0-9_\s]", " ")
-    return F.array_distinct(F.filter(F.split(clean, r"\s+"), lambda w: F.length(w) >= min_len))
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9_]+")
+    return F.array_distinct(F.filter(parts, lambda w: F.length(w) >= min_len))
 
 
 def words(text: Column, min_len: int = 4) -> Column:

@@ -246,15 +246,18 @@ class Blocked:
         return assign_leaders(self.pairs(leaders, joined), members)
 
 
-def collapse(df: DataFrame, content, ord_: Column) -> tuple[DataFrame, DataFrame]:
+def collapse(df: DataFrame, content, ord_: Column, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Equal contents become one node, the smallest ``ord``: copies are adjacent to each other and have
     the same neighbours, so the grouping of the representatives gives that of all rows.
 
-    Returns the representatives ``(content..., ord, n)`` and all rows ``(ord, rep, content...)``.
+    Returns the representatives ``(content..., ord, n)`` and all rows ``(ord, rep, content...)``. ``where`` tests
+    the written contents: a filter before would compute them again.
     """
     content = [content] if isinstance(content, str) else list(content)
     # contents may be costly to compute and are read twice from here
     named = materialize(df.select(ord_.alias("ord"), *content), "contents")
+    if where is not None:
+        named = named.filter(where)
     reps = named.groupBy(*content).agg(F.min("ord").alias("rep"), F.count(F.lit(1)).alias("n"))
     rows = named.join(reps.select(*content, "rep"), content).select("ord", "rep", *content)
     return reps.withColumnRenamed("rep", "ord"), rows

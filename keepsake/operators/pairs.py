@@ -196,53 +196,102 @@ def vector_groups(df: DataFrame, id_col="id", vector_col="features", threshold=0
 
 # --- text --------------------------------------------------------------------------------------
 
-def _prefix_blocks(sets: DataFrame, freq: DataFrame, jaccard_min: float, scope: Column | None = None) -> DataFrame:
-    """Prefix filter: with tokens sorted from rare to common, two sets of at least this overlap share
-    a token among the first ``|x| - ceil(t |x|) + 1`` of each."""
-    flat = sets.select("ord", F.size("toks").alias("size"), F.explode("toks").alias("tok"),
-                       *([scope.alias("scope")] if scope is not None else []))
-    ranked = flat.join(freq, "tok")
-    by = ["ord", "size"] + (["scope"] if scope is not None else [])
-    sets_sorted = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("freq", "tok"))).alias("sorted"))
-    keep = F.col("size") - F.ceil(F.col("size") * F.lit(jaccard_min) - F.lit(1e-9)) + 1
-    out = sets_sorted.select(*by, F.posexplode(F.slice("sorted", F.lit(1), F.greatest(F.lit(1), keep).cast("int"))).alias("pos", "t"))
-    key = F.concat_ws("\u0001", *([F.col("scope").cast("string")] if scope is not None else []), F.col("t.tok"))
-    return out.select("ord", "size", "pos", key.alias("key"))
+# Rows of a token block above which it is split by a further shared token.
+HOT_TOKEN = 256
+# Pairs that cost as much as moving a row to one more block.
+ROW_COST = 16
+
+
+def ranked_sets(sets: DataFrame) -> DataFrame:
+    """``(ord, size, ranked)`` of token sets ``(ord, toks)``: tokens as 64-bit numbers, rare ones first. Equal
+    numbers of different tokens can only add candidates."""
+    coded = sets.select("ord", F.transform("toks", lambda w: F.xxhash64(w)).alias("codes"))
+    flat = coded.select("ord", F.explode("codes").alias("tok"))
+    freq = materialize(flat.groupBy("tok").agg(F.count(F.lit(1)).alias("freq")), "token-freq")
+    ranked = flat.join(freq, "tok").groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("freq", "tok"))).alias("r"))
+    return materialize(ranked.select("ord", F.size("r").alias("size"), F.col("r.tok").alias("ranked")), "ranked-sets")
+
+
+def prefix_blocks(ranked: DataFrame, least: float, scopes: DataFrame | None = None, hot: int = HOT_TOKEN) -> DataFrame:
+    """Blocks ``(ord, size, pos, level, last, key)`` in which all sets of overlap (Jaccard) ``least`` meet,
+    within each scope they share (``scopes``: ``ord, scope``).
+
+    Two such sets share ``o = ceil(least / (1 + least) (|x| + |y|))`` tokens or more, and so, for every l up
+    to o, l tokens among the first ``|x| - ceil(least |x|) + l`` of each. Level 1 has a block for each such
+    token. A block of more than ``hot`` rows is split by the next token, as long as its pairs get fewer:
+    a pair of the next level shares both. Pairs with ``o`` at the block's level need no other token, and
+    having shared that many they are near enough already; they meet in a block marked ``last``.
+    """
+    need = F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9))
+    key = F.lit("") if scopes is None else F.concat(F.col("scope").cast("string"), F.lit("\u0001"))
+    rows = ranked if scopes is None else ranked.join(scopes, "ord")
+
+    def step(df: DataFrame, level: int, start: Column) -> DataFrame:
+        """Each row in the blocks of its tokens from number ``start`` to the end of its prefix."""
+        end = F.least(F.col("size"), F.col("size") - need + level)
+        tokens_ = F.slice("ranked", start, F.greatest(F.lit(0), end - start + 1).cast("int"))
+        found = df.select("ord", "size", F.col("key").alias("above"), start.alias("start"), F.posexplode(tokens_).alias("i", "tok"))
+        return found.select("ord", "size", "above", (F.col("i") + F.col("start") - 1).alias("pos"), F.lit(level).alias("level"),
+                            F.lit(False).alias("last"), F.concat("above", F.lit("|"), F.col("tok").cast("string")).alias("key"))
+
+    own = ["ord", "size", "pos", "level", "last", "key"]
+    live, done, level = step(rows.withColumn("key", key), 1, F.lit(1)), [], 1
+    pairs = F.col("n").cast("double") * F.col("n")
+    while True:
+        live = materialize(live, "token-blocks")
+        big = live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
+        big = materialize(big, "hot-tokens")
+        if big.isEmpty():
+            break
+        hot_rows = live.join(big.select("key"), "key", "left_semi").select("ord", "pos", "key")
+        next_ = materialize(step(hot_rows.join(ranked, "ord"), level + 1, F.col("pos") + 2), "next-token")
+        after = next_.groupBy("above", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("above").agg(F.sum(pairs).alias("pairs"), F.sum("n").alias("rows"))
+        # splitting moves rows and saves pairs; a row costs as much as some pairs
+        paying = big.join(after, big["key"] == after["above"], "left").filter(
+            F.coalesce(F.col("pairs") + ROW_COST * F.col("rows"), F.lit(0.0)) < 0.5 * pairs).select(big["key"])
+        paying = materialize(paying, "split-tokens")
+        done.append(live.join(paying, "key", "left_anti").select(own))
+        settled = live.join(paying, "key", "left_semi").filter(need <= level)
+        done.append(settled.withColumns({"last": F.lit(True), "key": F.concat("key", F.lit("!"))}).select(own))
+        live = next_.join(paying.withColumnRenamed("key", "above"), "above", "left_semi")
+        level += 1
+    out = live.select(own)
+    for more in done:
+        out = out.unionByName(more)
+    return out
 
 
 def overlap_possible(a: str, b: str, least: Column) -> Column:
-    """Size and position test: tokens at and after a shared one must suffice for the least overlap.
-    A pair that reaches it passes at its first shared token."""
+    """Size and position test: the tokens shared by the block, and those after the last of them, must
+    suffice for the least overlap. A pair that reaches it passes at its first shared tokens; in a block
+    marked ``last`` the shared ones must be enough."""
     c = lambda p, n: F.col(f"{p}{n}")
     needed = least / (F.lit(1.0) + least) * (c(a, "size") + c(b, "size")) - F.lit(1e-6)
-    return F.least(c(a, "size") - c(a, "pos"), c(b, "size") - c(b, "pos")) >= needed
-
-
-def token_frequencies(sets: DataFrame) -> DataFrame:
-    return sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
+    after = F.least(c(a, "size") - c(a, "pos"), c(b, "size") - c(b, "pos")) - 1
+    return c(a, "level") + F.when(c(a, "last"), 0).otherwise(after) >= needed
 
 
-def text_blocks(sets: DataFrame, threshold: float) -> DataFrame:
+def text_blocks(sets: DataFrame, threshold: float, hot: int = HOT_TOKEN) -> DataFrame:
     """Blocks for token similarity: plain overlap at the threshold, or a shared domain term and the
     overlap that the boost leaves to reach."""
-    freq = materialize(token_frequencies(sets), "token-freq")
-    plain = _prefix_blocks(sets, freq, threshold).withColumn("least", F.lit(threshold))
+    ranked = ranked_sets(sets)
+    plain = prefix_blocks(ranked, threshold, hot=hot).withColumn("least", F.lit(threshold))
     low = max(0.0, threshold - DOMAIN_BOOST)
-    termed = sets.withColumn("term", F.explode(domain_terms(F.col("toks"))))
-    boosted = _prefix_blocks(termed, freq, low, F.concat(F.lit("t:"), F.col("term"))).withColumn("least", F.lit(low))
+    termed = sets.select("ord", F.explode("terms").alias("scope"))
+    boosted = prefix_blocks(ranked, low, termed, hot).withColumn("least", F.lit(low))
     return plain.unionByName(boosted)
 
 
 def blocked_texts(df: DataFrame, id_col="id", text_col="description", threshold=0.7,
-                  order_col=None) -> tuple[Blocked, DataFrame]:
+                  order_col=None, hot: int = HOT_TOKEN) -> tuple[Blocked, DataFrame]:
     if threshold <= DOMAIN_BOOST:
         raise ValueError(f"text blocking needs a threshold above {DOMAIN_BOOST}")
-    sets = df.withColumn("toks", F.array_sort(tokens(F.col(text_col)))).filter(F.size("toks") > 0)
-    reps, rows = collapse(sets, "toks", _ord(id_col, order_col))
+    sets = df.withColumn("toks", F.sort_array(tokens(F.col(text_col))))
+    reps, rows = collapse(sets, "toks", _ord(id_col, order_col), F.size("toks") > 0)
     reps = materialize(reps.select("ord", "toks", domain_terms(F.col("toks")).alias("terms")), "token-sets")
     score = lambda a, b: token_similarity(F.col(f"{a}toks"), F.col(f"{b}toks"), F.col(f"{a}terms"), F.col(f"{b}terms"))
     near = lambda a, b: overlap_possible(a, b, F.col(f"{a}least"))
-    return Blocked(reps, text_blocks(reps, threshold), score, lambda s: s >= threshold, near), rows.drop("toks")
+    return Blocked(reps, text_blocks(reps, threshold, hot), score, lambda s: s >= threshold, near), rows.drop("toks")
 
 
 def text_pairs(df: DataFrame, id_col="id", text_col="description", threshold=0.7, order_col=None) -> DataFrame:

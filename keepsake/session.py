@@ -112,3 +112,4 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
         _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+

@@ -10,7 +10,7 @@ from ..functions.similarity import vector_stage_overall
 from ..operators.activity import layer_metrics
 from ..operators.neighbors import candidate_rows
 from ..operators.pairs import hash_groups, text_groups, union_all, vector_groups
-from ..session import materialize
+from ..session import materialize, observed
 
 
 @dataclass(frozen=True)
@@ -41,11 +41,12 @@ HEADER = ["layer", "group_id", "type", "size", "overall", "visual", "content", "
 def exact_groups(df: DataFrame, hash_col: str = "content_hash", id_col: str = "id") -> DataFrame:
     """Rows that share a content hash, in long form. Missing hashes never match.
 
-    Headers come from a partial aggregate; the join back to the rows may be skewed, which is split at
-    run time because each hash has a single header.
+    Headers come from a partial aggregate that is written first: only then is the join back to the rows
+    of a hot hash split at run time.
     """
     known = df.filter(F.length(hash_col) > 0)
     heads = known.groupBy(hash_col).agg(F.min(id_col).alias("group_id"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    heads = materialize(heads, "heads")
     return known.select(hash_col, F.col(id_col).alias("member_id")).join(heads, hash_col).select(
         "group_id", "member_id", (F.col("group_id") == F.col("member_id")).alias("is_leader"), F.lit(1.0).alias("score"))
 
@@ -98,55 +99,57 @@ def analyse(df: DataFrame, layers: Layers = Layers(), dim: int | None = None) ->
     spark = df.sparkSession
     if len(df.select("id").take(2)) < 2:
         raise ValueError("Need at least 2 photos for similarity analysis")
+    rows, groups_of = F.count(F.lit(1)).alias("n"), F.count_if("is_leader").alias("n")
+    own = ["id", "content_hash", "hash", "features", "project_id", "creator_id", "captured_at", "latitude", "longitude"]
     found, heads, counts = [], [], []
-    rest = df
-
-    def note(layer: str, frame_in: DataFrame, n_out: int) -> None:
-        counts.append((layer, frame_in.count(), n_out))
-
-    def n_groups(groups: DataFrame) -> int:
-        return groups.filter("is_leader").count()
+    # every layer reads these rows; descriptions are read by the fallback alone
+    rest, seen = observed(df.select(*own), "rows", rows)
+    all_rows, n_rest = rest, seen["n"]
 
     if layers.exact:
-        exact = materialize(exact_groups(rest), "exact")
-        note("exact", rest, n_groups(exact))
+        exact, seen = observed(exact_groups(rest), "exact", groups_of)
+        counts.append(("exact", n_rest, seen["n"]))
         found.append(exact.withColumn("layer", F.lit("exact")))
         heads.append(_headers("exact", "exact_duplicates", exact, 1, 1, 1, 1, 1))
-        rest = materialize(_rest(rest, exact), "rest")
-    if layers.perceptual and len(rest.select("id").take(2)) > 1:
-        near = materialize(hash_groups(rest, threshold=layers.hash_threshold), "near")
-        note("perceptual", rest, n_groups(near))
+        rest, seen = observed(_rest(rest, exact), "rest", rows)
+        n_rest = seen["n"]
+    if layers.perceptual and n_rest > 1:
+        near, seen = observed(hash_groups(rest, threshold=layers.hash_threshold), "near", groups_of)
+        counts.append(("perceptual", n_rest, seen["n"]))
         found.append(near.withColumn("layer", F.lit("perceptual")))
         heads.append(_headers("perceptual", "retry_shots", near, "mean", "mean", "mean", 0.8, "mean"))
-        rest = materialize(_rest(rest, near), "rest")
-    candidates = rest
+        rest, seen = observed(_rest(rest, near), "rest", rows)
+        n_rest = seen["n"]
+    candidates, n = rest, n_rest
     if layers.vectors:
         close = vector_groups(rest, threshold=layers.candidate_threshold, dim=dim)
-        candidates = materialize(rest.join(close.select(F.col("member_id").alias("id")), "id", "left_semi"), "candidates")
-        note("vector candidates", rest, candidates.count())
+        candidates, seen = observed(rest.join(close.select(F.col("member_id").alias("id")), "id", "left_semi"), "candidates", rows)
+        counts.append(("vector candidates", n_rest, n := seen["n"]))
     final = candidates
     if layers.metadata:
-        likely = candidate_rows(candidates, "permissive")
+        likely, seen = observed(candidate_rows(candidates, "permissive"), "likely", rows)
+        counts.append(("metadata", n, seen["n"]))
         # by default a row stays if either layer wants it, so the layer only reports
-        final = likely if layers.metadata_prunes else candidates
-        note("metadata", candidates, likely.count())
-    if final.isEmpty():
-        sample = df if layers.fallback_rows is None else df.orderBy("id").limit(layers.fallback_rows)
-        text = materialize(text_groups(sample, threshold=layers.fallback_threshold), "text")
-        note("text fallback", sample, n_groups(text))
+        if layers.metadata_prunes:
+            final, n = likely, seen["n"]
+    if not n:
+        sample = df.select("id", "description")
+        if layers.fallback_rows is not None:
+            sample = sample.orderBy("id").limit(layers.fallback_rows)
+        sample, given = observed(sample, "descriptions", rows)
+        text, seen = observed(text_groups(sample, threshold=layers.fallback_threshold), "text", groups_of)
+        counts.append(("text fallback", given["n"], seen["n"]))
         found.append(text.withColumn("layer", F.lit("text")))
         heads.append(_headers("text", "redundant_documentation", text, 0.7, 0.7, 1, 0.7, 0.7, 0.1, 0.1))
-        matrix = _pair_matrix(text.limit(0), df)
+        matrix = _pair_matrix(text.limit(0), all_rows)
     else:
-        rows = final if layers.vectors else final.limit(0)
-        groups = materialize(vector_groups(rows, threshold=layers.similarity_threshold, dim=dim), "vector") \
-            if layers.vectors else None
-        if groups is None:
-            counts.append(("vectors off", final.count(), 0))
-            groups = materialize(text_groups(df.limit(0)), "vector")
+        if layers.vectors:
+            groups, seen = observed(vector_groups(final, threshold=layers.similarity_threshold, dim=dim), "vector", groups_of)
+            counts.append(("vector", n, seen["n"]))
         else:
-            note("vector", final, n_groups(groups))
-        matrix = materialize(_pair_matrix(groups, df), "matrix")
+            counts.append(("vectors off", n, 0))
+            groups = materialize(text_groups(df.limit(0)), "vector")
+        matrix = materialize(_pair_matrix(groups, all_rows), "matrix")
         found.append(groups.withColumn("layer", F.lit("vector")))
         heads.append(_vector_headers(groups, matrix))
     cols = ["layer", "group_id", "member_id", "is_leader", "score"]

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Join and partition settings every job here is written for. Skewed shuffle joins are split at run
 # time even when that adds a shuffle, because one key may hold a third of all rows.
@@ -113,3 +113,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+def observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, and aggregates of the rows taken by the write itself."""
+    seen = Observation()
+    return materialize(df.observe(seen, *metrics), name), seen.get

@@ -17,6 +17,9 @@ WATERMARK = "(SELECT epoch_ms(CAST(max(epoch_ms(ts)) AS BIGINT)) FROM events)"
 
 
 SLICES, FILES = 3, 2
+START = 1_704_067_200_000_000  # 2024-01-01
+SLOW = f"SELECT *, make_timestamp({START} + (epoch_us(ts) - {START}) * 12) AS moment FROM v_feedback"
+SLOW_MARK = f"(SELECT make_timestamp(epoch_ms(max(moment)) * 1000) - INTERVAL 1 HOUR FROM slow)"
 SLICE_SQL = f"""(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * {SLICES} // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) + 1)"""
 
 
@@ -25,16 +28,19 @@ def _stream(t, table: str):
     return S.read_stream(t.spark, t.dir, schema, f"{table}.parquet")
 
 
-def _events(t, delayed=None):
+def _events(t, delayed=None, slices=SLICES, slower=1):
     """The events as they would arrive: slices of time one after the other, each a batch; rows that
-    ``delayed`` names leave the first slice and arrive after the last."""
+    ``delayed`` names leave the first slice and arrive after the last. ``slower`` stretches the time from
+    the start of 2024, a month to so many months."""
     rows = t.table("events")
+    if slower > 1:
+        rows = rows.withColumn("ts", F.timestamp_micros(F.lit(START) + (us(F.col("ts").cast("timestamp")) - START) * slower))
     low, high = rows.agg(F.min(us("ts")), F.max(us("ts"))).first()
-    at = F.floor((us("ts") - low) * SLICES / (high - low + 1)) if low is not None else F.lit(0)
+    at = F.floor((us("ts") - low) * slices / (high - low + 1)) if low is not None else F.lit(0)
     if delayed is not None:
-        at = F.when((at == 0) & delayed, SLICES).otherwise(at)
+        at = F.when((at == 0) & delayed, slices).otherwise(at)
     path = fresh_path(t.spark, "arrivals")
-    for k in range(SLICES + (delayed is not None)):
+    for k in range(slices + (delayed is not None)):
         rows.filter(at == k).coalesce(FILES).write.parquet(f"{path}/{k}")
     kind = F.col("event_type")
     return S.read_stream(t.spark, f"{path}/*", rows.schema, files_per_batch=FILES).select(
@@ -105,6 +111,24 @@ def _(t):
     return out.select("session_id", "interactions", "last_context", us("last_updated").alias("last"))
 
 
+@query("s2_closed_months", f"""WITH slow AS MATERIALIZED ({SLOW}) SELECT user_type, epoch_us(date_trunc('month', moment)) AS start, {SUMS} FROM slow GROUP BY 1, 2
+    HAVING any_value(date_trunc('month', moment)) + INTERVAL 1 MONTH <= {SLOW_MARK}""")
+def _(t):
+    out = _run(t, S.closed_months(_events(t, slices=4, slower=12)), "s2-closed")
+    return out.select("user_type", us("period_start").alias("start"), "positive", "negative", "edits", "total")
+
+
+@query("s4_interaction_log", f"""WITH slow AS MATERIALIZED ({SLOW}),
+    a AS (SELECT user_id AS session_id, moment, id, feedback, epoch_us(moment) - lag(epoch_us(moment)) OVER (PARTITION BY user_id ORDER BY moment) AS gap FROM slow),
+    b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 604800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY moment, id) AS g FROM a)
+    SELECT session_id, count(*) AS interactions, arg_max(feedback, (moment, id)) AS last_context, epoch_us(max(moment)) AS last FROM b GROUP BY session_id, g
+    HAVING max(moment) + INTERVAL 7 DAY <= {SLOW_MARK}""")
+def _(t):
+    s = _events(t, slices=4, slower=12).withColumnRenamed("user_id", "session_id")
+    out = _run(t, S.interaction_log(s, context="feedback"), "s4-log")
+    return out.select("session_id", "interactions", "last_context", us("last_updated").alias("last"))
+
+
 @query("s5_feedback_upsert", "SELECT user_id, item_id, arg_max(feedback, (ts, id)) AS feedback FROM v_feedback GROUP BY 1, 2")
 def _(t):
     store = KeyedTable(t.spark, fresh_path(t.spark, "s5"), ["user_id", "item_id"])

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.catalog import latest_per_key
 from ..operators.feedback import METRICS, metric_counts
@@ -49,6 +51,50 @@ def month_counts(stream: DataFrame, keys=("user_type",), ts="ts", kind="feedback
     return stream.groupBy(*keys, F.date_trunc("month", ts).alias("period_start")).agg(*metric_counts(kind))
 
 
+def closed_months(stream: DataFrame, keys=("user_type",), ts="ts", delay="1 hour", kind="feedback") -> DataFrame:
+    """Feedback counts of closed calendar months, in append mode.
+
+    A month is no stream window, so it is keyed state with a timer at its end: four counts for each key and
+    open month, given out and released when the watermark passes the end. Tasks count before the shuffle,
+    so a hot key sends a row for each Arrow batch and month. Rows older than the watermark are dropped,
+    unless they come in one Arrow batch with newer ones of their key and month.
+    """
+    keys = list(keys)
+    types = dict(stream.dtypes)
+    month, is_ = F.date_trunc("month", ts), lambda x: (F.coalesce(F.col(kind), F.lit("")) == x).cast("bigint")
+    rows = stream.filter(F.col(ts).isNotNull()).select(
+        *keys, F.unix_micros(month).alias("start"), F.unix_micros(F.add_months(month, 1).cast("timestamp")).alias("end"), F.unix_micros(ts).alias("newest"),
+        is_("positive").alias("positive"), is_("negative").alias("negative"), is_("edit").alias("edits"), F.lit(1).cast("bigint").alias("total"))
+    cols = ", ".join(f"{k} {types[k]}" for k in keys) + ", start bigint, end bigint, newest bigint, " + ", ".join(f"{m} bigint" for m in METRICS)
+
+    def count(batches):
+        for batch in batches:
+            if len(batch):
+                by = batch.groupby([*keys, "start", "end"], dropna=False, sort=False)
+                yield by.agg({"newest": "max", **{m: "sum" for m in METRICS}}).reset_index()
+
+    counted = rows.mapInPandas(count, cols).withColumn("at", F.timestamp_micros("newest")).withWatermark("at", delay)
+
+    def close(key, batches, state):
+        total = list(state.get) if state.exists else [0] * len(METRICS)
+        for batch in batches:
+            total = [t + int(batch[m].sum()) for t, m in zip(total, METRICS)]
+        end = int(key[-1]) // 1000
+        if end <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            if total[-1]:
+                yield pd.DataFrame([(*key[:-1], *total)], columns=[*keys, "start", *METRICS])
+        else:
+            state.update(tuple(int(t) for t in total))
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    out = ", ".join(f"{k} {types[k]}" for k in keys) + ", start bigint, " + ", ".join(f"{m} bigint" for m in METRICS)
+    closed = counted.groupBy(*keys, "start", "end").applyInPandasWithState(
+        close, out, ", ".join(f"{m} bigint" for m in METRICS), "append", GroupStateTimeout.EventTimeTimeout)
+    return closed.select(*keys, F.timestamp_micros("start").alias("period_start"), *METRICS)
+
+
 def burst_sessions(stream: DataFrame, gap="30 seconds", keys=("project_id",), ts="captured_at", delay="1 minute") -> DataFrame:
     """Rows of a key with gaps of at most ``gap``; closed sessions of more than one row."""
     grouped = stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), *keys)
@@ -56,14 +102,83 @@ def burst_sessions(stream: DataFrame, gap="30 seconds", keys=("project_id",), ts
     return out.filter(F.col("size") > 1).select(*keys, "first", "last", "size")
 
 
-def interaction_sessions(stream: DataFrame, key="session_id", ts="ts", context="context", idle="7 days",
-                         delay="1 hour") -> DataFrame:
-    """Interactions per session with the last context; a session ends after ``idle`` without any.
-
-    The state holds a count and the newest context, not the interactions, however many there are.
+def joined_stretches(rows: pd.DataFrame, keys: list[str], idle: int) -> pd.DataFrame:
+    """Stretches ``(first, last, n, id, context)`` merged where the pause between them is at most ``idle``;
+    ``id`` and ``context`` are those of the newest row, of the largest id among rows of one time."""
+    rows = rows.astype({"first": "int64", "last": "int64", "n": "int64"})
+    rows = rows.sort_values([*keys, "first", "last", "id"], kind="stable").reset_index(drop=True)
+    same = pd.Series(True, rows.index)
+    for k in keys:
+        same &= rows[k].eq(rows[k].shift()) | (rows[k].isna() & rows[k].shift().isna() & (rows.index > 0))
+    reached = rows.groupby((~same).cumsum())["last"].cummax().shift()
+    number = (~(same & (rows["first"] - reached <= idle))).cumsum()
+    newest = rows.sort_values(["last", "id"], kind="stable").groupby(number)
+    out = rows.groupby(number).agg({**{k: "first" for k in keys}, "first": "min", "last": "max", "n": "sum"})
+    for k in keys:  # a missing key stays missing
+        out[k] = rows.groupby(number)[k].apply(lambda x: x.iloc[0])
+    return out.assign(id=newest["id"].apply(lambda x: x.iloc[-1]), context=newest["context"].apply(lambda x: x.iloc[-1]))
+
+
+def interaction_log(stream: DataFrame, key="session_id", ts="ts", id_col="id", context="context", idle="7 days",
+                    delay="1 hour") -> DataFrame:
+    """Interactions of each session with the last context; a session is given out, and its state released,
+    when the watermark has passed ``idle`` without an interaction.
+
+    Arbitrary state with timers: a key holds its open stretches of interactions (first, last, count, newest
+    id and context), so state does not grow with the interactions. Order inside a batch, and late rows
+    within ``delay``, make no difference; at one time the largest id is the last. Tasks merge the rows of a
+    key before the shuffle, so a hot key sends a row for each Arrow batch. Rows older than the watermark
+    are dropped, unless they come in one Arrow batch with newer ones of their stretch.
     """
+    pause = int(timedelta(**{_unit(idle): int(idle.split()[0])}).total_seconds()) * 1_000_000
+    types = dict(stream.dtypes)
+    cols = f"{key} {types[key]}, first bigint, last bigint, n bigint, id {types[id_col]}, context {types[context]}"
+    rows = stream.select(key, F.unix_micros(ts).alias("first"), F.unix_micros(ts).alias("last"), F.lit(1).cast("bigint").alias("n"),
+                         F.col(id_col).alias("id"), F.col(context).alias("context")).filter(F.col("first").isNotNull())
+
+    def merge(batches):
+        for batch in batches:
+            if len(batch):
+                yield joined_stretches(batch, [key], pause)
+
+    merged = rows.mapInPandas(merge, cols).withColumn("at", F.timestamp_micros("last")).withWatermark("at", delay)
+    fields = ["first", "last", "n", "id", "context"]
+
+    def log(name, batches, state):
+        parts = [batch[fields] for batch in batches]
+        if state.exists:
+            parts.insert(0, pd.DataFrame(dict(zip(fields, state.get))))
+        own = joined_stretches(pd.concat(parts, ignore_index=True).assign(all=0), ["all"], pause)
+        passed = own["last"] + pause <= state.getCurrentWatermarkMs() * 1000
+        open_ = own[~passed]
+        if len(open_):
+            state.update(tuple(open_[f].tolist() for f in fields))
+            state.setTimeoutTimestamp(max(-(-(int(open_["last"].min()) + pause) // 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        done = own[passed]
+        if len(done):
+            yield done.assign(**{key: [name[0]] * len(done)})[[key, "n", "context", "last"]]
+
+    held = f"first array<bigint>, last array<bigint>, n array<bigint>, id array<{types[id_col]}>, context array<{types[context]}>"
+    out = merged.groupBy(key).applyInPandasWithState(log, f"{key} {types[key]}, n bigint, context {types[context]}, last bigint", held,
+                                                     "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, F.col("n").alias("interactions"), F.col("context").alias("last_context"), F.timestamp_micros("last").alias("last_updated"))
+
+
+def _unit(interval: str) -> str:
+    unit = interval.split()[1].rstrip("s") + "s"
+    if unit not in ("seconds", "minutes", "hours", "days", "weeks"):
+        raise ValueError(f"not an interval of fixed length: {interval}")
+    return unit
+
+
+def interaction_sessions(stream: DataFrame, key="session_id", ts="ts", context="context", idle="7 days",
+                         delay="1 hour", id_col="id") -> DataFrame:
+    """The same as a session window, without Python: the state is a count and the newest context. A session
+    ends after ``idle`` without any interaction; at one time the largest id is the last."""
     return (stream.withWatermark(ts, delay).groupBy(F.session_window(ts, idle).alias("w"), key)
-            .agg(F.count(F.lit(1)).alias("interactions"), F.max_by(context, ts).alias("last_context"), F.max(ts).alias("last_updated"))
+            .agg(F.count(F.lit(1)).alias("interactions"), F.max_by(context, F.struct(ts, id_col)).alias("last_context"), F.max(ts).alias("last_updated"))
             .select(key, "interactions", "last_context", "last_updated"))
 
 

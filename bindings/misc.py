@@ -144,12 +144,3 @@ def _(t):
     log = t.change.select(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 3600).alias("ts"), "message",
                           F.when(F.col("id") % 7 == 0, "-").otherwise(F.col("insertions").cast("string")).alias("added"), F.col("deletions").cast("string").alias("removed"))
     return changes.session_progress(log, datetime(2024, 1, 3)).withColumn("recent", F.array_join("recent", "|"))
-
-
-@query("a14_pair_savings", "SELECT lang, count(*) AS total, count(*) // 2 AS compared, count(*) * (count(*) - 1) // 2 AS all_pairs, "
-                           "CAST(floor((1.0 - (count(*) // 2) / CAST(count(*) * (count(*) - 1) // 2 AS DOUBLE)) * 100 + 0.5) AS BIGINT) AS saved_pct FROM documents GROUP BY 1")
-def _(t):
-    n = t.table("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("total")).withColumn("compared", F.floor(F.col("total") / 2))
-    return activity.pair_savings(n)
-
-

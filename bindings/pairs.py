@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keepsake.operators import cells, composite, pairs
+from keepsake.operators import activity, cells, composite, pairs
 
 from .registry import TOK, q4, query, r4
 from .scalars import CONTENT, FULL, H, MINUTES, OVERALL, SAME, SPATIAL, TEMPORAL, TERMS, jac
@@ -60,6 +60,23 @@ def _(t):
     return pairs.vector_pairs_approximate(t.vec, dim=64, recall=RECALL, rows=ROWS).withColumn("score", r4(F.col("score")))
 
 
+AGREE = [" + ".join(f"CASE WHEN substr(a.hash, {i}, 1) = substr(b.hash, {i}, 1) THEN 1 ELSE 0 END" for i in half) for half in (range(1, 9), range(9, 17))]
+SAVED = """SELECT layer, total, compared, total * (total - 1) // 2 AS all_pairs, CAST(CASE WHEN total > 1 THEN floor((1.0 - compared / CAST(total * (total - 1) // 2 AS DOUBLE)) * 100 + 0.5) ELSE 0 END AS BIGINT) AS saved_pct FROM c"""
+
+
+# 7 of 16 characters agree in a pair at the threshold, so 4 in one half: those pairs are compared
+@query("a14_pair_savings", f"""WITH {HASHES}, {UNITS}, planes(band, bit, plane) AS (VALUES {PLANES}),
+    s AS MATERIALIZED (SELECT id, band, sum(CASE WHEN list_inner_product(u, CAST(plane AS DOUBLE[])) >= 0 THEN 1 << bit ELSE 0 END) AS bits FROM u, planes GROUP BY 1, 2),
+    c AS (SELECT 'hash' AS layer, (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM h a JOIN h b ON a.id < b.id WHERE {AGREE[0]} >= 4 OR {AGREE[1]} >= 4) AS compared
+        UNION ALL SELECT 'vector', (SELECT count(*) FROM u), (SELECT CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM s GROUP BY band, bits)))
+    {SAVED}""")
+def _(t):
+    blocked, _ = pairs.blocked_hashes(t.hash, hot=1 << 40)
+    counts = blocked.compared().select(F.lit("hash").alias("layer"), "total", "compared").unionByName(
+        pairs.band_comparisons(t.vec, dim=64, recall=RECALL, rows=ROWS).select(F.lit("vector").alias("layer"), "total", "compared"))
+    return activity.pair_savings(counts)
+
+
 @query("j8_text_pairs", f"WITH {SETS}, {TEXT_PAIRS} SELECT a AS id_a, b AS id_b, {q4('score')} AS score FROM tp WHERE score >= 0.7")
 def _(t):
     return pairs.text_pairs(t.doc).withColumn("score", r4(F.col("score")))

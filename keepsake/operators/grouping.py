@@ -199,6 +199,11 @@ class Blocked:
         """All accepted pairs."""
         return self.pairs(self.blocks, self.blocks)
 
+    def compared(self) -> DataFrame:
+        """``total`` rows and the ``compared`` pairs that the blocks put together, each pair once."""
+        rows = self.rows.agg(F.count(F.lit(1)).alias("total"))
+        return rows.crossJoin(self.candidates(self.blocks, self.blocks).agg(F.count(F.lit(1)).alias("compared")))  # one row each
+
     def load(self, blocks: DataFrame) -> tuple[int, int]:
         """Candidate pairs (with repeats) and block rows."""
         sizes = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"))

@@ -129,7 +129,7 @@ class NearVectors(Blocked):
     def pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         return cells.near_pairs(cells.rows_of(left, self.rows), cells.rows_of(right, self.rows), self.basis, self.threshold)
 
-    def compared(self) -> tuple[int, int]:
+    def multiplied(self) -> tuple[int, int]:
         """Pairs in common cells, and those of them that were multiplied out."""
         rows = cells.rows_of(self.blocks, self.rows)
         return tuple(cells.near_pairs(rows, rows, self.basis, self.threshold, counts=True).agg(F.sum("possible"), F.sum("compared")).first())
@@ -187,6 +187,19 @@ def vector_pairs_approximate(df: DataFrame, id_col="id", vector_col="features",
     return _named(cells.near_pairs(placed, placed, cells.shared_pivots(reps), threshold))
 
 
+def band_comparisons(df: DataFrame, id_col="id", vector_col="features", threshold=0.98, dim: int | None = None,
+                     recall: float = 0.95, rows: int | None = None, seed: int = 7) -> DataFrame:
+    """``total`` distinct vectors and the pairs ``compared`` in the bands of :func:`vector_pairs_approximate`,
+    counted from the sizes of the bands' cells: no pair is formed."""
+    reps, _ = distinct_vectors(df, id_col, vector_col, dim=dim)
+    first = reps.select(F.size("unit").alias("d")).first()
+    bits, bands = cells.choose_bands(threshold, recall, rows or reps.count())
+    live = cells.banded(reps, bits, bands, first["d"] if first else 1, seed)
+    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.coalesce(F.sum(F.expr("n * (n - 1) DIV 2")), F.lit(0)).alias("compared")
+    return reps.agg(F.count(F.lit(1)).alias("total")).crossJoin(sizes.agg(pairs))  # one row each
+
+
 def vector_groups(df: DataFrame, id_col="id", vector_col="features", threshold=0.8, order_col=None,
                   dim: int | None = None, **tuning) -> DataFrame:
     blocked, rows = blocked_vectors(df, id_col, vector_col, threshold, order_col, dim)

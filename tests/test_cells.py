@@ -65,7 +65,7 @@ def test_spread_vectors_compare_few_pairs(spark):
     reps, _ = pairs.distinct_vectors(frame(spark, vectors))
     near = pairs.NearVectors(reps, 0.98)
     assert {(r["a"], r["b"]) for r in near.edges().collect()} == brute(vectors, 0.98)
-    possible, compared = near.compared()
+    possible, compared = near.multiplied()
     share = compared / (3000 * 2999)
     print(f"spread vectors: {possible} pairs in cells, {compared} multiplied out, {share:.4%} of all")
     assert share < 0.02

@@ -31,7 +31,7 @@ CELL = 2_048        # a cell of this many home rows and members is not split
 CHUNK = 1_024       # rows of a side of a product
 SMALL = 64          # home rows times members, squared, of a cell that shares a task call with others
 SHARED = 16         # shared pivots whose span bounds a cosine
-PAIR_COST = 1 / 256  # of a pair in a product, in moved rows
+PAIR_COST = 1 / 2048  # of a pair in a product, in moved rows
 SLACK = 1e-9
 
 

@@ -28,7 +28,8 @@ from ..session import materialize
 
 FAN = 16            # parts of a cell that is split
 CELL = 2_048        # a cell of this many home rows and members is not split
-CHUNK = 1_024       # rows of a side of a product
+CHUNK = 4_096       # rows of a side of a grid
+SLICE = 512         # rows of one side in a product
 SMALL = 64          # home rows times members, squared, of a cell that shares a task call with others
 SHARED = 16         # shared pivots whose span bounds a cosine
 PAIR_COST = 1 / 2048  # of a pair in a product, in moved rows
@@ -168,7 +169,9 @@ def near_pairs(left: DataFrame, right: DataFrame, basis: np.ndarray, threshold:
             at, to_, scores, compared, possible = np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0, 0
         elif key[0].as_py().startswith("="):
             possible = len(a) * len(b)
-            at, to_, scores, compared = close(a, b, basis, threshold)
+            found = [(i, *close(a[i:i + SLICE], b, basis, threshold)) for i in range(0, len(a), SLICE)]
+            at, to_, scores = (np.concatenate(c) for c in zip(*[(x_ + i, y_, s_) for i, x_, y_, s_, _ in found]))
+            compared = sum(n for *_, n in found)
         else:
             names = pa.concat_tables([x.select(["key"]), y.select(["key"])])["key"].combine_chunks().dictionary_encode().indices.to_numpy()
             at, to_, scores, compared = _several(names[:len(a)], names[len(a):], a, b, threshold)

@@ -9,7 +9,7 @@ code point. ``n`` is 2 or 3.
 Letters are Unicode letters, lower-cased; everything between two words is one boundary symbol. A text
 that is null or has no letter gets ``und`` with score 0, as does every text if nothing was learned. The
 whole of every text is used, in training and prediction. Rows with a null language are not learned
-from. The prototypes are the only thing sent to the driver and back: ``dimensions`` numbers a language;
+from; repeated rows teach as often as they occur and get equal predictions. The prototypes are the only thing sent to the driver and back: ``dimensions`` numbers a language;
 more than ``MOST_LANGUAGES`` distinct languages are an error, never a cut.
 """
 from __future__ import annotations
@@ -158,5 +158,6 @@ def keep_known(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in a language that their own labels teach. Rejected are texts without a
     letter, and texts whose best cosine is below two standard deviations of that of random vectors."""
     dimensions = options.get("dimensions", 1024)
-    told = predict(docs.withColumn("_text", docs["text"]), learn(docs, **options), **options)
-    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 2 / dimensions ** 0.5)).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))  # so that no column of theirs can clash
+    told = predict(rows, learn(docs, **options), **options)
+    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 2 / dimensions ** 0.5)).select("row.*")

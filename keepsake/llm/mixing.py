@@ -165,17 +165,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     always a multiple of its size. Columns of these names are replaced."""
     spark = session(docs.sparkSession)
     space = Workspace(spark, "mixing")
-    own = docs.select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "key")])
-    ranked = _ranked(own, id_col, text_col, seed)
-    slim = space.save(ranked.select(F.col(source_col).cast("string").alias("source"), "size", "key"), "sizes")
+    # the other columns travel as one struct, so none of them can clash
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    own = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"),
+                      docs[source_col].cast("string").alias("source"))
+    ranked = _ranked(own, "id", "text", seed)
+    slim = space.save(ranked.select("source", "size", "key"), "sizes")
     cells = fit_cells(slim, space, weights, most)
     space.drop("sizes", "lengths", "fitted")
     c = cells.toDF(*[f"_{x}" for x in cells.columns])
     if cells.count() <= MOST_CELLS:
         c = F.broadcast(c)
-    joined = ranked.join(c, ranked[source_col].eqNullSafe(F.col("_source")) & (ranked["size"] == F.col("_size")))
+    joined = ranked.join(c, ranked["source"].eqNullSafe(F.col("_source")) & (ranked["size"] == F.col("_size")))
     times = F.col("_passes") + F.coalesce((F.col("key") <= F.col("_last_key")).cast("long"), F.lit(0))
-    return joined.select(*own.columns, "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+    return joined.select("row.*", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
                          (F.col("size") * times).alias("taken"))
 
 
@@ -184,3 +187,9 @@ def repeat(mixed: DataFrame) -> DataFrame:
     times = F.when(F.col("taken") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
     kept = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
     return mixed.select(*kept, F.explode(F.array_repeat(F.lit(1), times)).alias("_")).select(*kept)
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; no column is added, replaced or lost."""
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
+    return repeat(mix(rows, "id", "text", "source", **options)).select("row.*")

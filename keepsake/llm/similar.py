@@ -12,15 +12,22 @@ prefix has grown by a sixteenth of the set. A pair is held to the smaller l of t
 shared shingles the rarest is not among the l - 1 most frequent of either prefix, so those lists are not
 paired at all; the pairs that remain must share l shingles before their sets are compared.
 
+What a pair must share in its prefixes follows from both sizes: the sets must have
+``t / (1 + t) (m + n)`` shingles in common, and what lies behind the prefix of the set whose prefix ends
+first holds ``n - p`` of them at most. For sets of one size that is far more than l, so pairs are counted
+before any list is fetched, then compared by whole prefixes, and few but true pairs have their sets read.
+
 Documents with equal sets are one node, so copies never meet. Large groups of near copies would still
 give pairs by the square, so most links are found in rounds before: every prefix shingle names one node
-as its head, every component proposes to join the head that most of its shingles name, and the proposals,
-one for each component, are verified. When a round brings little, all pairs of different components that
-the prefixes allow are verified. No link between components can be missed, and links inside a
-component cannot change it.
-
-The count table has a fixed size: shingles are counted by hash modulo ``COUNTERS``, over all documents.
-It decides the order only, so it cannot lose a link. What leaves a task unreduced is prefix shingles and
+as its head, every component proposes to join the head that most shingles of one of its nodes name, and the
+proposals, at most one for each component, are verified. The heads change from round to round, so a node
+that is too far from one member of a group meets another. When a round brings little, all pairs of different
+components that the prefixes allow are verified. No link between components can be missed, and links inside
+a component cannot change it.
+
+The count table has a fixed size: shingles are counted by hash modulo ``COUNTERS``, over all documents,
+and kept as one byte each, an eighth of a power of two a step. It decides the order only, so it cannot
+lose a link. What leaves a task unreduced is prefix shingles and
 sets of candidates, never texts.
 
 A null text, or one without words, has an empty set, links to nothing and is a component of its own. A
@@ -33,12 +40,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Workspace, bitmap, components, in_bitmap, mix, session, windows, word_hashes, word_spans
 
 WORDS, PERCENT = 5, 80
-COUNTERS, CHUNK = 1 << 21, 1 << 14
+COUNTERS, CHUNK = 1 << 24, 1 << 16
 FEW = 8  # expected candidates of a document that make its prefix short enough
 
 
@@ -67,38 +74,52 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(id_, F.lit(0)).cast("long").alias("doc_id"), id_.isNull().alias("no_id"), docs[text_col].alias("text"))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each that hold them, compressed."""
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max(initial=0))).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    return np.frombuffer(raw, f"<u{len(raw) // CHUNK}").astype(np.int64)
+
+
 def read_documents(own: DataFrame, space: Workspace) -> tuple[DataFrame, np.ndarray]:
     """``doc_id, key, n`` of every row, and the count table, from one pass."""
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             sets = [shingles(text) for text in batch["text"]]
             keys, sizes = [set_key(found) for found in sets], [len(found) for found in sets]
             if sets:
-                counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                place, times = np.unique(np.concatenate(sets) & np.uint64(COUNTERS - 1), return_counts=True)
+                counts[place.astype(np.int64)] += times.astype(np.uint32)
             yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"], "no_id": batch["no_id"], "key": keys, "n": sizes, "counts": None})
         for at in range(0, COUNTERS, CHUNK):
             part = counts[at:at + CHUNK]
             if part.any():
                 yield pd.DataFrame({"kind": [1], "doc_id": [0], "no_id": [True], "key": [at], "n": [0],
-                                    "counts": [zlib.compress(part.astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes(), 1)]})
+                                    "counts": [packed(part)]})
 
     read = space.save(own.mapInPandas(run, "kind int, doc_id long, no_id boolean, key long, n long, counts binary"), "read", "kind")
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.int64)
         for part in parts["counts"]:
-            raw = zlib.decompress(part)
-            total += np.frombuffer(raw, "<u4" if len(raw) == 4 * CHUNK else "<u8").astype(np.int64)
-        return pd.DataFrame({"at": [parts["key"].iloc[0]], "counts": [total.tobytes()]})
+            total += unpacked(part)
+        return pd.DataFrame({"at": [parts["key"].iloc[0]], "counts": [packed(total)]})
+
+    def steps(parts: pd.DataFrame) -> pd.DataFrame:
+        out = add(parts)
+        return out.assign(counts=[np.floor(8 * np.log2(1 + unpacked(out["counts"][0]))).clip(0, 255).astype(np.uint8).tobytes()])
 
     # the parts of one chunk are first added in groups, so that no task gets all of them
     chunks = read.filter("kind = 1").select("key", "counts")
     grouped = chunks.groupBy("key", F.pmod(F.xxhash64("counts"), F.lit(64))).applyInPandas(
-        lambda p: pd.DataFrame({"key": [p["key"].iloc[0]], "counts": [zlib.compress(add(p)["counts"][0], 1)]}), "key long, counts binary")
-    table = np.zeros(COUNTERS, np.int64)
-    for row in grouped.groupBy("key").applyInPandas(add, "at long, counts binary").collect():  # COUNTERS / CHUNK rows
-        table[row["at"]:row["at"] + CHUNK] = np.frombuffer(row["counts"], np.int64)
+        lambda p: add(p).rename(columns={"at": "key"}), "key long, counts binary")
+    table = np.zeros(COUNTERS, np.uint8)
+    for row in grouped.groupBy("key").applyInPandas(steps, "at long, counts binary").collect():  # COUNTERS / CHUNK rows
+        table[row["at"]:row["at"] + CHUNK] = np.frombuffer(row["counts"], np.uint8)
     return read.filter("kind = 0").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "key", "n"), table
 
 
@@ -118,7 +139,7 @@ def choose(counts: np.ndarray, places: np.ndarray, n: int, percent: int) -> int:
 def nodes_of(own: DataFrame, table: np.ndarray, space: Workspace, percent: int) -> DataFrame:
     """``key, n, tokens`` of every distinct set that can link to another: its longest prefix in order."""
     spark = own.sparkSession
-    sent = spark.sparkContext.broadcast(table.astype(np.int32 if table.max(initial=0) < 1 << 31 else np.int64))
+    sent = spark.sparkContext.broadcast(table)  # COUNTERS bytes
 
     def run(batches):
         counts = sent.value
@@ -194,21 +215,35 @@ def near_sizes(m, n, percent: int):
     return F.lit(100) * F.least(m, n) >= F.lit(percent) * F.greatest(m, n)
 
 
-def with_component(live: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with their nodes' components, only of shingles that several components have."""
+def with_component(live: DataFrame, labels: DataFrame | None, number: int) -> DataFrame:
+    """Postings with their nodes' components, only of shingles that several components have. The head of a
+    shingle is the first of its nodes in the order of round ``number``."""
     marked = live.withColumn("component", F.col("key")) if labels is None else live.join(labels, "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
-    heads = marked.groupBy("token").agg(F.min(F.struct("component", "key", "n")).alias("head"), F.max("component").alias("top"))
-    return marked.join(heads.filter("head.component < top").drop("top"), "token")
+    order = F.struct(F.xxhash64(F.lit(number), "component").alias("turn"), F.xxhash64(F.lit(number), "key").alias("place"),
+                     "component", "key", "n")
+    heads = marked.groupBy("token").agg(F.min(order).alias("head"), F.min("component").alias("low"), F.max("component").alias("top"))
+    return marked.join(heads.filter("low < top").select("token", F.struct("head.component", "head.key", "head.n").alias("head")), "token")
+
+
+def must_share(m: Column, n: Column, percent: int) -> Column:
+    """Shingles that sets of sizes m and n have in common if they link."""
+    return F.ceil(F.lit(percent) * (m + n) / F.lit(100 + percent))
+
+
+def behind(n: Column, l: Column | int, percent: int) -> Column:
+    """Shingles of a set that lie behind its l-prefix."""
+    return F.greatest(F.ceil(n * percent / 100) - l, F.lit(0))
 
 
 def proposals(marked: DataFrame, percent: int) -> DataFrame:
-    """For each component one pair ``a, b`` with the head that most of its shingles name."""
+    """For each component at most one pair ``a, b``: the node and head with the most common shingles, if
+    they are a twentieth of the smaller set. Pairs left out are met in the last step."""
     named = marked.filter((F.col("component") != F.col("head.component")) & near_sizes(F.col("n"), F.col("head.n"), percent))
-    counted = named.groupBy("component", F.col("head.component").alias("to")).agg(
-        F.count("*").alias("times"), F.min(F.struct(F.col("key").alias("a"), F.col("head.key").alias("b"))).alias("pair"))
-    best = counted.groupBy("component").agg(F.max(F.struct("times", "pair")).alias("best"))
-    return best.select(F.least("best.pair.a", "best.pair.b").alias("a"), F.greatest("best.pair.a", "best.pair.b").alias("b")).distinct()
+    counted = named.groupBy("component", F.col("key").alias("a"), F.col("head.key").alias("b")).agg(
+        F.count("*").alias("times"), F.first(F.least("n", "head.n")).alias("n"))
+    best = counted.filter("20 * times >= n").groupBy("component").agg(F.max(F.struct("times", "a", "b")).alias("best"))
+    return best.select(F.least("best.a", "best.b").alias("a"), F.greatest("best.a", "best.b").alias("b")).distinct()
 
 
 def candidates_of(marked: DataFrame, space: Workspace, percent: int) -> DataFrame:
@@ -234,13 +269,38 @@ def candidates_of(marked: DataFrame, space: Workspace, percent: int) -> DataFram
     met = x.join(y, "token").filter(
         (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") >= l) & (F.col("y.rank") >= l)
         & near_sizes(F.col("x.n"), F.col("y.n"), percent) & prefix("x") & prefix("y"))
-    pairs = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), l.alias("l")).distinct()
-    # the number of matches, frequent shingles included
-    own = ranked.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "place")).alias("list"))
-    first, second = own.toDF("a", "n_a", "list_a"), own.toDF("b", "n_b", "list_b")
-    cut = lambda s: F.transform(F.filter(f"list_{s}", lambda r: r["place"] < F.col(f"n_{s}") - F.ceil(F.col(f"n_{s}") * percent / 100) + F.col("l")),
-                                lambda r: r["token"])
-    return pairs.join(first, "a").join(second, "b").filter(F.size(F.array_intersect(cut("a"), cut("b"))) >= F.col("l")).select("a", "b")
+    # matches of rank l or more, up to l - 1 frequent ones, and what lies behind the prefixes must be enough
+    most = F.greatest(behind(F.col("x.n"), l, percent), behind(F.col("y.n"), l, percent))
+    pairs = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(
+        F.first(l).alias("l"), F.first(must_share(F.col("x.n"), F.col("y.n"), percent) - most).alias("least"),
+        F.count("*").alias("met")).filter("met + l - 1 >= least").select("a", "b", "l")
+    return pairs
+
+
+def share_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b, l`` whose l-prefixes share l shingles, and whose longest ones enough."""
+    spark = nodes.sparkSession
+    keys = spark.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()))
+
+    @F.pandas_udf("boolean")
+    def maybe(found: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(keys.value, found.to_numpy(np.int64)))
+
+    own = nodes.filter(maybe("key"))
+    both = pairs.join(own.toDF("a", "n_a", "tokens_a"), "a").join(own.toDF("b", "n_b", "tokens_b"), "b")
+
+    def compare(batches):
+        for batch in batches:
+            good = []
+            for l, m, n, x, y in zip(batch["l"], batch["n_a"], batch["n_b"], batch["tokens_a"], batch["tokens_b"]):
+                low = [size - least_overlap(size, percent) + l for size in (m, n)]
+                near = len(np.intersect1d(x[:low[0]], y[:low[1]], assume_unique=True)) >= l
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
+                need = -(-percent * (m + n) // (100 + percent))
+                good.append(near and shared + max(m - len(x), n - len(y)) >= need)
+            yield batch.loc[good, ["a", "b"]]
+
+    return both.mapInPandas(compare, "a long, b long")
 
 
 def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -251,26 +311,31 @@ def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: st
     postings = nodes.select("key", "n", F.posexplode("tokens").alias("place", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("documents")).filter("documents > 1").select("token")
     live = space.save(postings.join(shared, "token"), "postings")
-    space.drop("nodes")
 
     labels, links, first, number = None, None, None, 0
     while True:
-        marked = space.save(with_component(live, labels), f"marked-{number}")
-        found = verify(space.save(proposals(marked, percent), f"proposals-{number}"), own, members, space, f"round-{number}", percent)
+        marked = space.save(with_component(live, labels, number), f"marked-{number}")
+        asked = space.save(proposals(marked, percent).withColumn("l", F.lit(1)), f"asked-{number}")
+        asked = space.save(share_enough(asked, nodes, percent), f"proposals-{number}")
+        found = verify(asked, own, members, space, f"round-{number}", percent)
         many = found.count()
         first = many if first is None else first
         if many:
             links = found if links is None else links.unionByName(found)
             labels = components(links, space, f"labels-{number}")
-            space.drop(f"marked-{number}", f"proposals-{number}")
+            space.drop(f"marked-{number}")
+        space.drop(f"asked-{number}", f"proposals-{number}")
         number += 1
         if 50 * many <= first:
             break
-    marked = space.save(with_component(live, labels), "marked") if many else marked
-    rest = space.save(candidates_of(marked, space, percent), "candidates")
+    marked = space.save(with_component(live, labels, number), "marked") if many else marked
+    rest = space.save(candidates_of(marked, space, percent), "met")
+    space.drop("postings", "marked", "ranked")
+    rest = space.save(share_enough(rest, nodes, percent), "candidates")
+    space.drop("nodes", "met")
     found = verify(rest, own, members, space, "rest", percent)
     labels = components(found if links is None else links.unionByName(found), space, "labels")
-    space.drop("postings", "marked", "ranked", "candidates")
+    space.drop("candidates")
     return members, labels
 
 
@@ -311,8 +376,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def key_of(texts: pd.Series) -> pd.Series:
         return pd.Series([set_key(shingles(t if isinstance(t, str) else None)) for t in texts], dtype="int64")
 
-    hit = maybe(F.xxhash64(docs[id_col].cast("long")))
-    sure = docs.filter(~hit)
-    asked = docs.filter(hit).withColumn("_key", key_of(F.col(text_col)))
-    left = asked.join(gone, asked[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (asked["_key"] == gone["key"]), "left_anti")
-    return sure.unionByName(left.select(*docs.columns))
+    # the rows travel as one struct, so no column of theirs can clash
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    hit = maybe(F.xxhash64("doc_id"))
+    sure = rows.filter(~hit)
+    asked = rows.filter(hit).withColumn("key", key_of("text"))
+    left = asked.join(gone, asked["doc_id"].eqNullSafe(gone["doc_id"]) & (asked["key"] == gone["key"]), "left_anti")
+    return sure.select("row").unionByName(left.select("row")).select("row.*")

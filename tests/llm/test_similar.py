@@ -83,3 +83,34 @@ def test_odd_rows(odd):
     ids = [r.doc_id for r in left.collect()]
     assert 8 not in ids and 9 not in ids and ids.count(10) == 2 and ids.count(None) == 2
     assert similar.groups(odd.limit(0)).count() == 0 and similar.deduplicate(odd.limit(0)).count() == 0
+
+
+def test_columns_with_own_names_keep_their_values(spark):
+    from keepsake.llm import languages, mixing
+    names = ["key", "_key", "_text", "_source", "score", "size", "row", "lang_pred", "target", "taken", "id", "_language"]
+    texts = ["the cat sat on the mat and ran"] * 2 + ["le chat est sur la table verte", "a quite different text with other words"]
+    rows = [(i, t, "en", "ab"[i % 2], *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    by_id = {r[0]: r for r in rows}
+    for out in (similar.deduplicate(docs), languages.keep_known(docs), mixing.mixed_rows(docs)):
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns and got and all(r == by_id[r[0]] for r in got)
+    mixed = mixing.mix(docs)
+    assert all(r["key"] == f"key{r.doc_id}" and r["_source"] == f"_source{r.doc_id}" for r in mixed.collect())
+
+
+def test_pairs_below_the_bound_are_not_verified(spark):
+    """Texts that share half of their words meet in their prefixes, but are left out before sets are read."""
+    from keepsake.llm.common import Workspace, session
+    rng = random.Random(5)
+    common = [f"c{rng.randrange(10 ** 6)}" for _ in range(100)]
+    texts = [" ".join([f"u{i}x{j}" for j in range(50)] + common + [f"v{i}x{j}" for j in range(50)]) for i in range(60)]
+    docs = session(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    space = Workspace(spark, "test-bound")
+    own = similar.with_sets(docs, "doc_id", "text")
+    _, table = similar.read_documents(own, space)
+    nodes = similar.nodes_of(own, table, space, 80)
+    postings = nodes.select("key", "n", similar.F.posexplode("tokens").alias("place", "token"))
+    rest = similar.candidates_of(similar.with_component(postings, None, 0), space, 80)
+    assert rest.count() == 0
+    assert similar.groups(docs).filter("component_id <> doc_id").count() == 0

@@ -16,6 +16,8 @@ What a pair must share in its prefixes follows from both sizes: the sets must ha
 ``t / (1 + t) (m + n)`` shingles in common, and what lies behind the prefix of the set whose prefix ends
 first holds ``n - p`` of them at most. For sets of one size that is far more than l, so pairs are counted
 before any list is fetched, then compared by whole prefixes, and few but true pairs have their sets read.
+The same bound holds at each match: what is ahead of it in both prefixes and in other documents too, and what
+is behind it, must be enough; so documents that share a passage after much text of their own do not meet.
 
 Documents with equal sets are one node, so copies never meet. Large groups of near copies would still
 give pairs by the square, so most links are found in rounds before: every prefix shingle names one node
@@ -257,18 +259,23 @@ def candidates_of(marked: DataFrame, space: Workspace, percent: int) -> DataFram
             parts = []
             for key, n, component, own in zip(batch["key"], batch["n"], batch["component"], batch["list"]):
                 own = sorted(((r["documents"], r["token"], r["place"]) for r in own), reverse=True)  # the most frequent first
-                l = choose(np.array([d - 1 for d, _, _ in own]), np.array([p for _, _, p in own]), n, percent)
+                places = np.array([p for _, _, p in own])
+                l = choose(np.array([d - 1 for d, _, _ in own]), places, n, percent)
                 parts.append(pd.DataFrame({"key": key, "n": n, "l": l, "component": component, "token": [t for _, t, _ in own],
-                                           "place": [p for _, _, p in own], "rank": np.arange(1, len(own) + 1)}))
+                                           "place": places, "before": np.searchsorted(np.sort(places), places),
+                                           "rank": np.arange(1, len(own) + 1)}))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
-    ranked = space.save(lists.mapInPandas(rank, "key long, n long, l int, component long, token long, place int, rank int"), "ranked")
+    ranked = space.save(lists.mapInPandas(rank, "key long, n long, l int, component long, token long, place int, before int, rank int"), "ranked")
     x, y, l = ranked.alias("x"), ranked.alias("y"), F.least("x.l", "y.l")
     prefix = lambda s: F.col(f"{s}.place") < F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * percent / 100) + l
     met = x.join(y, "token").filter(
         (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") >= l) & (F.col("y.rank") >= l)
-        & near_sizes(F.col("x.n"), F.col("y.n"), percent) & prefix("x") & prefix("y"))
+        & near_sizes(F.col("x.n"), F.col("y.n"), percent) & prefix("x") & prefix("y")
+        # ahead of this shingle only those that other components have can match, behind it all may
+        & (F.least("x.before", "y.before") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+           >= must_share(F.col("x.n"), F.col("y.n"), percent)))
     # matches of rank l or more, up to l - 1 frequent ones, and what lies behind the prefixes must be enough
     most = F.greatest(behind(F.col("x.n"), l, percent), behind(F.col("y.n"), l, percent))
     pairs = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(

@@ -6,8 +6,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from keepsake.operators import activity, catalog, filters
-from keepsake.session import fresh_path
-from keepsake.sources import readers
+from keepsake.session import fresh_path, scratch_path
+from keepsake.sources import indexes, readers
 from keepsake.sources.snapshots import Snapshots, export_json, import_json, write_aggregates
 
 from .registry import EVENTS_NOW, ORDERS_NOW, joined, q4, query, r4
@@ -41,6 +41,15 @@ def _(t):
     return readers.page_after(t.task, datetime(2000, 1, 1), 5000, 50, "created_at").select("id", "title")
 
 
+@query("src2_deep_page", """SELECT id, title, epoch_us(created_at) AS created FROM v_task ORDER BY created_at DESC, id
+    LIMIT 20 OFFSET (SELECT CAST(count(*) // 40 * 20 AS BIGINT) FROM v_task)""")
+def _(t):
+    """The page in the middle of all rows, by the page index."""
+    path, rows = scratch_path(t.spark, "pages"), t.task.select("id", "title", "created_at")
+    indexes.write_pages(rows, path, "created_at")
+    return indexes.read_page(t.spark, path, rows.count() // 40 + 1, 20, "created_at").select("id", "title", us("created_at").alias("created"))
+
+
 @query("src3_photo_json", """SELECT CAST(page_id AS VARCHAR) AS id, CASE page_id % 3 WHEN 0 THEN url || '#web' WHEN 1 THEN url || '#original' ELSE url END AS web_url,
     CASE WHEN page_id % 4 > 0 THEN CAST(page_id AS DOUBLE) / 10 END AS latitude, CAST(1700000000 + page_id AS BIGINT) AS captured,
     CASE WHEN page_id % 2 = 0 THEN 'v' || page_id ELSE 'd' || page_id END AS tags, 'active' AS archive_state FROM pages, range(2)""")
@@ -73,6 +82,16 @@ def _(t):
     return readers.search_tagged(t.tag, ["red", "ECONOMY"], tags="tags").select("id", "description")
 
 
+@query("src5_tag_postings", """SELECT id, description, 'AND' AS logic FROM v_tag WHERE list_contains(tags, 'red') AND list_contains(tags, 'ECONOMY')
+    UNION ALL SELECT id, description, 'OR' FROM v_tag WHERE list_contains(tags, 'red') OR list_contains(tags, 'ECONOMY')""")
+def _(t):
+    """Records by tags, from an inverted index."""
+    path = scratch_path(t.spark, "tags")
+    indexes.write_tags(t.tag, path)
+    both = [indexes.tagged(t.tag, path, ["red", "ECONOMY"], logic).select("id", "description", F.lit(logic).alias("logic")) for logic in ("AND", "OR")]
+    return both[0].unionByName(both[1])
+
+
 @query("src6_user_records", "SELECT id, epoch_us(created_at) AS created FROM v_task WHERE assignee = 100 ORDER BY created_at DESC, id LIMIT 20")
 def _(t):
     return readers.user_records(t.task, 100, "assignee", "created_at", "id", 20).select("id", us("created_at").alias("created"))

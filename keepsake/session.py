@@ -100,6 +100,14 @@ def scope(spark: SparkSession):
             place.getFileSystem(conf).delete(place, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder that the scope around deletes at its end."""
+    path = fresh_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -107,9 +115,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     the true size of the table, so that Catalyst broadcasts it only when it is small.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -406,13 +406,13 @@ def remove(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
             rows.append((sum(e - s for s, e in spans), len(spans), b"".join([*kept, data[at:]])))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept"])
 
-    others = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept")]
+    # the other columns travel as one struct, so none of them can clash
+    others = F.struct(*[docs[c] for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept")])
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    base = docs.select(*others, F.col(text_col).alias("_text"), size.alias("n_bytes"), F.xxhash64(text_col).alias("_key"))
-    plain = F.coalesce(F.col("_text"), F.lit("")).cast("binary")
-    asked = maybe("_key")
-    sure = base.filter(~asked).select(*others, "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), plain.alias("kept"))
-    found = hits.toDF("_hit_key", "_hits")
-    joined = base.filter(asked).join(found, F.col("_key") == F.col("_hit_key"), "left")
-    done = joined.select(*others, "n_bytes", cut("_text", "_hits").alias("_cut")).select(*others, "n_bytes", "_cut.*")
+    base = docs.select(others.alias("row"), docs[text_col].alias("text"), size.alias("n_bytes"), F.xxhash64(docs[text_col]).alias("key"))
+    plain = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    asked = maybe("key")
+    sure = base.filter(~asked).select("row.*", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), plain.alias("kept"))
+    joined = base.filter(asked).join(hits, "key", "left")
+    done = joined.select("row", "n_bytes", cut("text", "hits").alias("cut")).select("row.*", "n_bytes", "cut.*")
     return sure.unionByName(done)

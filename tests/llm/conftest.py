@@ -15,6 +15,14 @@ def odd(spark):
     return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "x", "y", "z", "h", "t") for r in rows], schema)
 
 
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The odd rows with more names that operators use inside, each with the row's own value."""
+    from pyspark.sql import functions as F
+    return odd.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c)
+                             for c in ("key", "_key", "_text", "row", "_hits", "hits_", "cut", "word", "part", "n")])
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
     from keepsake.llm.common import session

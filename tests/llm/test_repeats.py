@@ -55,3 +55,10 @@ def test_hot_passage_and_periods(spark, group):
 def test_odd_rows(odd):
     check(odd)
     assert repeats.remove(odd.limit(0)).count() == 0
+
+
+def test_clashing_columns_keep_their_values(clashing):
+    own = [c for c in clashing.columns if c not in ("text", "kept")]
+    got = repeats.remove(clashing).select(*own).collect()
+    order = lambda rows: sorted(map(repr, rows))
+    assert order(got) == order(clashing.select(*own).collect())

@@ -332,16 +332,18 @@ def covered(docs: DataFrame, space: Workspace, text_col: str, length: int, gram:
 
     places = space.save(texts.select("key", F.explode(anchors_of("text")).alias("a")).select("key", "a.*"), "anchors")
     place = F.xxhash64("key", "at")
-    shared = places.groupBy("fp").agg(F.min(place).alias("one"), F.max(place).alias("other")).filter("one <> other").select("fp")
+    # written first: a join back to an aggregate of its own stage is not split when one anchor is hot
+    shared = space.save(places.groupBy("fp").agg(F.min(place).alias("one"), F.max(place).alias("other")).filter("one <> other").select("fp"), "shared")
     live = space.save(places.join(shared, "fp"), "live")
-    space.drop("anchors")
+    space.drop("anchors", "shared")
 
     kinds = space.save(live.groupBy("fp", "ctx").agg(
         F.min(F.struct("key", "at", "ahead")).alias("rep"), (F.min(place) < F.max(place)).alias("again")), "kinds")
     low, high = -F.least("rep.at", F.lit(reach)), F.col("rep.ahead")
     whole = kinds.filter("again").select("fp", "ctx", low.cast("long").alias("low"), high.cast("long").alias("high"))
-    several = kinds.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp")
+    several = space.save(kinds.groupBy("fp").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fp"), "several")
     sought = space.save(kinds.join(several, "fp").select("fp", "ctx", "rep.*"), "sought")
+    space.drop("several")
 
     # the contexts' bytes: only texts that have one of them are shuffled
     sent = spark.sparkContext.broadcast(bitmap(sought.select("key")))

@@ -9,7 +9,8 @@ Two devices keep the work linear in the rows, however crowded a minute, a projec
 from __future__ import annotations
 
 from functools import reduce
-from math import pi
+from itertools import combinations
+from math import ceil, pi
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -94,6 +95,8 @@ def _paired(rows: DataFrame, scope: list[str], seconds: float | None, km: float
     # one partial aggregate finds crowded cells; a lone cell carries its only row along
     cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id"), F.first("t").alias("t"),
                                   F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"))
+    # written first: a join back to an aggregate of its own stage is not split when a cell is hot
+    cells = materialize(cells, "cells")
     crowded = df.join(cells.filter(F.col("n") > 1).select(*keys), keys, "left_semi").select("id")
     lone = cells.filter(F.col("n") == 1)
     look = lone.select(*scope, F.col("id").alias("x_id"), F.col("t").alias("x_t"),
@@ -136,71 +139,150 @@ def candidate_rows(df: DataFrame, mode: str = "strict", id_col="id", captured="c
     return df.join(hits.select(F.col("id").alias(id_col)), id_col, "left_semi")
 
 
+def _known(columns) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in columns], F.lit(True))
+
+
+def pairs_within(nodes: DataFrame, scope: list[str], seconds: float | None) -> DataFrame:
+    """One row ``pairs``: pairs of rows of one scope, strictly within ``seconds`` if given, counted without meeting.
+
+    ``nodes`` have a time ``t`` and a number of rows ``n``. In time order a row enters at its time and leaves
+    ``seconds`` later; a running sum of entries and departures is the number of earlier rows in reach. The sum runs
+    in cells as wide as ``seconds``, each with the rows of the cell before, so it is linear in the instants.
+    """
+    known = nodes.filter(_known([*scope, *(["t"] if seconds else [])]))
+    alone = lambda m: F.shiftright(m * (m - 1), 1)
+    if not seconds:
+        counted = known.groupBy(*scope).agg(F.sum("n").alias("m")).select(alone(F.col("m")).alias("pairs"))
+        return counted.agg(F.sum("pairs").alias("pairs"))
+    width = int(seconds * SECOND)
+    instants = known.groupBy(*scope, "t").agg(F.sum("n").alias("m"))
+    home, m, none = time_cell(F.col("t"), seconds), F.col("m"), F.lit(0).cast("bigint")
+
+    def event(tc, at, enters, change, asks):
+        return F.struct(tc.alias("tc"), at.alias("at"), F.lit(enters).alias("enters"), change.alias("change"), asks.alias("asks"))
+
+    events = instants.select(*scope, F.explode(F.array(
+        event(home, F.col("t"), 1, m, m), event(home + 1, F.col("t"), 1, m, none),
+        event(home + 1, F.col("t") + width, 0, -m, none))).alias("e")).select(*scope, "e.*")
+    # departures first: rows exactly ``seconds`` apart are no pair
+    earlier = Window.partitionBy(*scope, "tc").orderBy("at", "enters").rowsBetween(Window.unboundedPreceding, -1)
+    met = events.withColumn("earlier", F.coalesce(F.sum("change").over(earlier), none)).filter("asks > 0")
+    return met.agg(F.sum(F.col("asks") * F.col("earlier") + alone(F.col("asks"))).alias("pairs"))
+
+
+def pairs_of_any(nodes: DataFrame, rules: list[tuple[list[str], float]], scope: list[str]) -> list[DataFrame]:
+    """Counts whose sum is the number of pairs of one ``scope`` that at least one rule of time accepts.
+
+    Two rules together are again a rule, of both scopes and the shorter time, so the pairs are counted by
+    inclusion and exclusion, each term by a sweep.
+    """
+    counts = []
+    for many in range(1, len(rules) + 1):
+        for some in combinations(rules, many):
+            columns = list(dict.fromkeys([*scope, *[c for own, _ in some for c in own]]))
+            found = pairs_within(nodes, columns, min(seconds for _, seconds in some))
+            counts.append(found if many % 2 else found.select((-F.col("pairs")).alias("pairs")))
+    return counts
+
+
+def between_cells(nodes: DataFrame, rule: tuple[list[str], float | None, float], settled: float | None) -> DataFrame:
+    """Pairs of nodes ``a_*, b_*`` of different place cells that may meet the rule; nodes have their place in ``spot``.
+
+    Pairs closer in time than ``settled`` seconds are counted elsewhere. With cells of half that time they are at
+    most a cell or two apart, so those in the same or the next cell need not meet.
+    """
+    scope, seconds, km = rule
+    left, right = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in nodes.columns]) for side in "ab")
+    for c in scope:
+        left, right = left.withColumn(c, F.col(f"a_{c}")), right.withColumn(c, F.col(f"b_{c}"))
+    keys = [*scope, "spot"]
+    left = left.withColumn("spot", F.col("a_spot"))
+    right = right.withColumn("spot", F.explode(Place(km).around(F.col("b_latitude"), F.col("b_longitude"))))
+    apart = F.col("a_spot") != F.col("b_spot")
+    if seconds and settled:
+        width = settled / 2
+        home = time_cell(F.col("b_t"), width)
+        left = left.withColumn("tc", time_cell(F.col("a_t"), width))
+        right = right.withColumn("tc", F.explode(F.sequence(home - ceil(seconds / width), home - 2)))
+        return left.join(right, [*keys, "tc"]).filter(apart)
+    if seconds:
+        home = time_cell(F.col("b_t"), seconds)
+        left = left.withColumn("tc", time_cell(F.col("a_t"), seconds))
+        right = right.withColumn("tc", F.explode(F.sequence(home - 1, home + 1)))
+        keys.append("tc")
+    return left.join(right, keys).filter(apart & (F.col("a_id") < F.col("b_id")))
+
+
 def candidate_pairs(df: DataFrame, mode: str = "strict", id_col="id", captured="captured_at") -> DataFrame:
     """One row ``total, compared``: the rows, and the pairs of them that :func:`candidate_rows` goes by.
 
-    Rows of equal metadata are one node with a number, and a pair of nodes stands for the product. Nodes
-    meet by cell, and a pair that several rules accept counts for the first of them; pairs are summed up
-    where they meet, never kept.
+    Pairs by time alone are counted by sweeps (:func:`pairs_of_any`), and so are the pairs of one place cell, all
+    near by construction, less those that time has settled. Only rows of different, neighbouring place cells
+    are put together, and of them only pairs that time has not settled are tested where the rule has a time.
+    Rows of equal metadata are one node with a number.
     """
     own = ["project_id", "creator_id", "latitude", "longitude", "t"]
     rows = df.select(F.col(id_col).alias("id"), *own[:4], micros(F.col(captured)).alias("t"))
     nodes = materialize(rows.groupBy(*own).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "metadata")
     rules = _rules(mode)
+    by_time = [(scope, seconds) for scope, seconds, km in rules if not km]
+    counts = pairs_of_any(nodes, by_time, [])
+    a, b = lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")
 
-    def needs(rule) -> Column:
-        scope, seconds, km = rule
-        wanted = [*scope, *(["t"] if seconds else []), *(["latitude", "longitude"] if km else [])]
-        return reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in wanted])
-
-    def meets(rule) -> Column:
-        scope, seconds, km = rule
-        a, b = lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")
+    def close(scope, seconds) -> Column:
         tests = [a(c) == b(c) for c in scope]
         if seconds:
             tests.append(F.abs(a("t") - b("t")) < int(seconds * SECOND))
-        if km:
-            tests.append(((a("latitude") == b("latitude")) & (a("longitude") == b("longitude")))
-                         | (haversine_km(a("latitude"), a("longitude"), b("latitude"), b("longitude")) < km))
-        return F.coalesce(reduce(lambda x, y: x & y, tests), F.lit(False))
-
-    copies = nodes.filter(reduce(lambda x, y: x | y, map(needs, rules))).select((F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"))
-    counts = [copies.agg(F.sum("pairs").alias("pairs"))]
-    for i, rule in enumerate(rules):
-        scope, seconds, km = rule
-        place, known = Place(km) if km else None, nodes.filter(needs(rule))
-        left, right = (known.select(*[F.col(c).alias(f"{side}_{c}") for c in nodes.columns]) for side in "ab")
-        keys = []
-        if seconds:
-            left = left.withColumn("tc", time_cell(F.col("a_t"), seconds))
-            home = time_cell(F.col("b_t"), seconds)
-            right = right.withColumn("tc", F.explode(F.sequence(home - 1, home + 1)))
-            keys.append("tc")
-        if km:
-            left = left.withColumn("cell", place.cell(F.col("a_latitude"), F.col("a_longitude")))
-            right = right.withColumn("cell", F.explode(place.around(F.col("b_latitude"), F.col("b_longitude"))))
-            keys.append("cell")
-        for c in scope:
-            left, right = left.withColumn(c, F.col(f"a_{c}")), right.withColumn(c, F.col(f"b_{c}"))
-            keys.append(c)
-        first = meets(rule) & (F.col("a_id") < F.col("b_id"))
-        for earlier in rules[:i]:
-            first = first & ~meets(earlier)
-        met = left.join(right, keys).filter(first)
-        counts.append(met.agg(F.sum(F.col("a_n") * F.col("b_n")).alias("pairs")))
+        return F.coalesce(reduce(lambda x, y: x & y, tests, F.lit(True)), F.lit(False))
+
+    [(scope, seconds, km)] = [rule for rule in rules if rule[2]]
+    placed = nodes.filter(_known([*scope, "latitude", "longitude", *(["t"] if seconds else [])])).withColumn(
+        "spot", Place(km).cell(F.col("latitude"), F.col("longitude")))
+    counts.append(pairs_within(placed, [*scope, "spot"], seconds))
+    both = [([*scope, *own_scope], min(limit, seconds or limit)) for own_scope, limit in by_time]
+    counts += [found.select((-F.col("pairs")).alias("pairs")) for found in pairs_of_any(placed, both, [*scope, "spot"])]
+    settled = max([limit for own_scope, limit in by_time if set(own_scope) <= set(scope)], default=None)
+    distance = haversine_km(a("latitude"), a("longitude"), b("latitude"), b("longitude"))
+    first = close(scope, seconds) & (distance < km)
+    for rule in by_time:
+        first = first & ~close(*rule)
+    met = between_cells(placed, (scope, seconds, km), settled).filter(first)
+    counts.append(met.agg(F.sum(a("n") * b("n")).alias("pairs")))
     pairs = reduce(DataFrame.unionByName, counts).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("bigint").alias("compared"))
     return nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total")).crossJoin(pairs)
 
 
 # --- nearest neighbours in time ------------------------------------------------------------------
 
+def in_ranges(instants: DataFrame, k: int, ranges: int | None = None) -> DataFrame:
+    """``instants`` (distinct ``_t``) plus ``range`` and ``own``: every range of the time order holds its own rows, and
+    as strangers at least the ``k`` instants before and after them.
+
+    Ranges are cut by a sample of the rows, so they are alike in size however the rows crowd in time. A cut is an
+    instant of the data, so no range but the last can be empty, and the last (first) ``k`` instants of the ``k``
+    ranges before (after) hold the nearest ``k``.
+    """
+    cut = instants.repartitionByRange(*([ranges] if ranges else []), "_t")
+    cut = materialize(cut.withColumn("range", F.spark_partition_id()), "ranges")
+
+    def lent(order: Column, step: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("range").orderBy(order))
+        to = F.explode(F.sequence(F.col("range") + step, F.col("range") + k * step))
+        return cut.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r").withColumn("range", to)
+
+    strangers = lent(F.desc("_t"), 1).unionByName(lent(F.asc("_t"), -1))
+    return cut.withColumn("own", F.lit(True)).unionByName(strangers.withColumn("own", F.lit(False)))
+
+
 def nearest_in_time(df: DataFrame, k: int = 4, seconds: float = 30, id_col="id", captured="captured_at",
-                    payload=()) -> DataFrame:
+                    payload=(), ranges: int | None = None) -> DataFrame:
     """``df`` plus ``near``: the ``k`` other rows nearest in time, strictly within ``seconds``.
 
-    Ties go to the smaller id. ``near`` is an array of ``struct(gap, id, t, payload...)``, nearest first.
-    Only the ``k + 1`` smallest ids of an instant can be anyone's nearest, and only the ``k`` instants
-    before and after a row's own, so crowded seconds stay cheap.
+    Ties go to the smaller id. ``near`` is an array of ``struct(gap, id, t, payload...)``, nearest first; it is
+    empty for rows without a time. Only the ``k + 1`` smallest ids of an instant can be anyone's nearest, and only
+    the ``k`` instants before and after a row's own. Instants are swept in ``ranges`` of equal size (as many as
+    their volume asks for, if not given), so one busy second is spread over all tasks.
     """
     t = micros(F.col(captured))
     rows = df.withColumn("_t", t)
@@ -208,14 +290,14 @@ def nearest_in_time(df: DataFrame, k: int = 4, seconds: float = 30, id_col="id",
     rank = Window.partitionBy("_t").orderBy(id_col)
     instants = (rows.filter(F.col("_t").isNotNull()).withColumn("_r", F.row_number().over(rank))
                 .filter(F.col("_r") <= k + 1).groupBy("_t").agg(F.array_sort(F.collect_list(item)).alias("items")))
-    home = time_cell(F.col("_t"), seconds)
-    halo = instants.withColumn("home", home).withColumn("cell", F.explode(F.sequence(F.col("home") - 1, F.col("home") + 1)))
-    around = Window.partitionBy("cell").orderBy("_t").rowsBetween(-k, k)
-    seen = (halo.withColumn("around", F.flatten(F.collect_list("items").over(around)))
-            .filter(F.col("cell") == F.col("home")).select("_t", "around"))
     limit = int(seconds * SECOND)
     gap = lambda x: F.abs(x["t"] - F.col("_t"))
-    others = F.filter(F.col("around"), lambda x: (x["id"] != F.col(id_col)) & (gap(x) < limit))
+    around = Window.partitionBy("range").orderBy("_t").rowsBetween(-k, k)
+    seen = (in_ranges(instants, k, ranges).withColumn("around", F.flatten(F.collect_list("items").over(around)))
+            .filter("own").select("_t", F.filter("around", lambda x: gap(x) < limit).alias("around")))
+    # written first, so that the rows of a hot instant can be split over tasks
+    seen = materialize(seen, "around")
+    others = F.filter(F.col("around"), lambda x: x["id"] != F.col(id_col))
     ordered = F.array_sort(F.transform(others, lambda x: F.struct(
         gap(x).alias("gap"), x["id"].alias("id"), x["t"].alias("t"), *[x[c].alias(c) for c in payload])))
     empty = F.array().cast(f"array<struct<{_struct_ddl(df, id_col, payload)}>>")
@@ -294,7 +376,8 @@ def gap_sessions(df: DataFrame, seconds: float = 30, keys=(), captured="captured
     upto = in_day.rowsBetween(Window.unboundedPreceding, 0)
     named = (inside.withColumn("here", F.max("start").over(upto)).join(carry, on)
              .select(*keys, "_cell", F.coalesce("here", "carried").alias("session_start")))
-    return rows.join(named, keys + ["_cell"]).drop("_t", "_cell")
+    # written first, so that the rows of a busy cell can be split over tasks
+    return rows.join(materialize(named, "sessions"), keys + ["_cell"]).drop("_t", "_cell")
 
 
 def time_groups(df: DataFrame, seconds: float = 30, keys=(), captured="captured_at") -> DataFrame:

@@ -97,11 +97,48 @@ def test_candidate_pairs(spark, mode, span):
     assert [tuple(r) for r in neighbors.candidate_pairs(df.limit(0), mode).collect()] == [(0, 0)]
 
 
-def test_nearest_in_time_in_a_crowd(spark):
+def test_crowded_minute_is_counted_without_meeting(spark):
+    rnd = random.Random(3)
+    rows = [(i, T0 + timedelta(microseconds=rnd.randrange(59_000_000)), 40 + rnd.gauss(0, 1e-4), -74 + rnd.gauss(0, 1e-4), 1, i % 7) for i in range(10_000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    for mode in ("strict", "permissive"):
+        assert tuple(neighbors.candidate_pairs(df, mode).first()) == (10_000, 10_000 * 9_999 // 2)
+    nodes = df.withColumn("t", F.unix_micros("captured_at")).withColumn("n", F.lit(1).cast("long")).withColumn(
+        "spot", neighbors.Place(0.05).cell(F.col("latitude"), F.col("longitude")))
+    assert neighbors.between_cells(nodes, (["project_id"], 300, 0.05), 60).count() < 3_000_000
+
+
+@pytest.mark.parametrize("scope", [[], ["project_id"]])
+def test_pairs_within(spark, scope):
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1, 2, None]), rnd.choice([0, 1, 59_999_999, 60_000_000, 60_000_001, 120_000_000, -1, -60_000_000, None]), rnd.randrange(1, 4)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "project_id long, t long, n long").repartition(3)
+    each = [(p, t) for p, t, n in rows for _ in range(n) if t is not None and not (scope and p is None)]
+    want = sum(abs(each[i][1] - each[j][1]) < 60_000_000 and (not scope or each[i][0] == each[j][0]) for i in range(len(each)) for j in range(i))
+    assert neighbors.pairs_within(df, scope, 60).first()["pairs"] == want
+
+
+def test_one_busy_cell_is_swept_by_all_tasks(spark):
+    rows = [(i, T0 + timedelta(microseconds=(i * 7919) % 20_000_000)) for i in range(8_000)]
+    df = spark.createDataFrame(rows, "id long, captured_at timestamp").repartition(4)
+    instants = df.select(F.unix_micros("captured_at").alias("_t"))
+    own = neighbors.in_ranges(instants, 4, 8).filter("own").groupBy("range").count().collect()
+    assert len(own) == 8 and max(r["count"] for r in own) < 3 * 8_000 / 8
+    order = [i for i, _ in sorted(rows, key=lambda r: r[1])]
+    place = {i: p for p, i in enumerate(order)}
+    when = dict(rows)
+    for r in neighbors.nearest_in_time(df, ranges=8).collect():
+        p = place[r["id"]]
+        close = [order[q] for q in range(max(0, p - 4), min(len(order), p + 5)) if q != p]
+        assert [n["id"] for n in r["near"]] == sorted(close, key=lambda i: (abs(when[i] - when[r["id"]]), i))[:4]
+
+
+@pytest.mark.parametrize("ranges", [None, 3, 50])
+def test_nearest_in_time_in_a_crowd(spark, ranges):
     rnd = random.Random(1)
     rows = [(i, T0 + timedelta(seconds=rnd.choice([0, 0, 0, 1, 2.5, 29, 30, 31, 59, 61, 95]))) for i in range(70)]
     df = spark.createDataFrame(rows, "id long, captured_at timestamp").repartition(4)
-    got = {r["id"]: [n["id"] for n in r["near"]] for r in neighbors.nearest_in_time(df).collect()}
+    got = {r["id"]: [n["id"] for n in r["near"]] for r in neighbors.nearest_in_time(df, ranges=ranges).collect()}
     for i, t in rows:
         near = sorted((abs((u - t).total_seconds()), j) for j, u in rows if j != i and abs((u - t).total_seconds()) < 30)
         assert got[i] == [j for _, j in near[:4]]

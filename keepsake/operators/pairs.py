@@ -36,42 +36,67 @@ def _picked(positions) -> str:
     return "concat(" + ", ".join(f"substring(hash, {p + 1}, 1)" for p in positions) + ")"
 
 
+def further_positions(mask: int, need: int) -> list[int]:
+    """Masks that extend ``mask`` so that rows agreeing in ``need`` positions, those of the mask among them, agree
+    in all positions of at least one: of the two parts of the rest, one holds its share of the other agreements."""
+    rest = [p for p in range(HASH_LENGTH) if not mask >> p & 1]
+    more = need - (HASH_LENGTH - len(rest))
+    if more <= 0:
+        return []
+    parts = rest[:len(rest) // 2], rest[len(rest) // 2:]
+    share = max(1, min(more, round((more + 1) * len(parts[0]) / len(rest))))
+    return [mask | sum(1 << p for p in some)
+            for part, many in zip(parts, (share, more + 1 - share)) for some in combinations(part, many)]
+
+
 def hash_blocks(reps: DataFrame, threshold: float, hot: int = HOT_BLOCK) -> DataFrame:
     """Block keys ``(ord, key)`` for hashes of 16 characters compared by character.
 
     A pair at the threshold agrees in at least ``m`` of 16 positions, so one half of eight positions
     agrees in at least ``ceil(m / 2)``; the key is that half, such a choice of positions and their
-    characters. A block that is still large is split by the remaining ``m - ceil(m / 2)`` agreements
-    among the other positions, which keeps the split lossless.
+    characters. Blocks that are still large are split by further positions (:func:`further_positions`), level by
+    level, until they are small, all ``m`` positions are used, so that every pair of a block is a result, or a level
+    would not lower the number of pairs. The same positions reached by different ways are one block.
     """
-    allowed = floor((1 - threshold) * 4 * HASH_LENGTH + 1e-9)
-    need = HASH_LENGTH - allowed
+    need = HASH_LENGTH - floor((1 - threshold) * 4 * HASH_LENGTH + 1e-9)
     if need <= 0:
         return reps.select("ord", F.lit("all").alias("key"))
     first = min(8, (need + 1) // 2)
     choices = [[p + 8 * half for p in c] for half in (0, 1) for c in combinations(range(8), first)]
-    keys = F.expr("array(" + ", ".join(_picked(c) for c in choices) + ")")
-    flat = reps.select("ord", "hash", F.posexplode(keys).alias("choice", "chars"))
-    sizes = flat.groupBy("choice", "chars").agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.filter(F.col("n") > hot).select("choice", "chars")
-    plain_key = F.concat_ws("|", "choice", "chars")
-    more = need - first
-    if more <= 0:
-        return flat.select("ord", plain_key.alias("key"))
-    big = materialize(big, "hot-blocks")
-    if big.isEmpty():
-        return flat.select("ord", plain_key.alias("key"))
-    cool = flat.join(big, ["choice", "chars"], "left_anti").select("ord", plain_key.alias("key"))
-    hot_rows = flat.join(big, ["choice", "chars"], "left_semi")
-    used = [r["choice"] for r in big.select("choice").distinct().collect()]
-    cases = []
-    for i in used:
-        others = [p for p in range(HASH_LENGTH) if p not in choices[i]]
-        sub = ", ".join(f"concat('{j}:', {_picked(c)})" for j, c in enumerate(combinations(others, more)))
-        cases.append(f"WHEN {i} THEN array({sub})")
-    split = F.expr(f"CASE choice {' '.join(cases)} END")
-    refined = hot_rows.select("ord", plain_key.alias("k"), F.explode(split).alias("s"))
-    return cool.unionByName(refined.select("ord", F.concat_ws("|", "k", "s").alias("key")))
+    masks = [sum(1 << p for p in c) for c in choices]
+    keys = F.expr("array(" + ", ".join(f"struct({m} AS mask, {_picked(c)} AS chars)" for m, c in zip(masks, choices)) + ")")
+    level = reps.select("ord", "hash", F.explode(keys).alias("k")).select("ord", "hash", "k.*")
+    finished = reps.select("ord", F.lit("").alias("key")).limit(0)
+    before = None  # squares of the sizes of the large blocks one level up
+    while True:
+        sizes = level.groupBy("mask", "chars").agg(F.count(F.lit(1)).alias("n"))
+        big = materialize(sizes.filter((F.col("n") > hot) & (F.bit_count("mask") < need)), "hot-blocks")
+        plain = level.select("ord", F.concat_ws("|", "mask", "chars").alias("key"))
+        pairs = big.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0]
+        if before is None and pairs is None:
+            return plain
+        if pairs is None or (before is not None and pairs >= before):
+            return finished.unionByName(plain)
+        known = big.select("mask", "chars")
+        finished = finished.unionByName(
+            level.join(known, ["mask", "chars"], "left_anti").select("ord", F.concat_ws("|", "mask", "chars").alias("key")))
+        # at most one row for each choice of positions
+        used = [r["mask"] for r in known.select("mask").distinct().collect()]
+        wider = reps.sparkSession.createDataFrame([(m, further_positions(m, need)) for m in used], "mask int, wider array<int>")
+        rows = level.join(known, ["mask", "chars"], "left_semi").join(F.broadcast(wider), "mask")
+        rows = rows.select("ord", "hash", F.explode("wider").alias("mask")).distinct()
+        letters = F.expr(f"concat_ws('', transform(filter(sequence(0, {HASH_LENGTH - 1}), p -> shiftright(mask, p) % 2 = 1), p -> substring(hash, p + 1, 1)))")
+        level, before = materialize(rows.withColumn("chars", letters), "split-blocks"), pairs
+
+
+def grid_blocks(reps: DataFrame, hot: int = HOT_BLOCK) -> DataFrame:
+    """Block keys under which every row meets every other, in blocks of about ``2 * hot`` rows: for thresholds that
+    every pair reaches, when all pairs are the result that was asked for."""
+    chunks = -(-reps.count() // hot) or 1
+    own = F.pmod(F.xxhash64("ord"), F.lit(chunks))
+    other = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    both = reps.select("ord", own.alias("own"), other.alias("other"))
+    return both.select("ord", F.concat_ws("|", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
 
 
 def bit_blocks(reps: DataFrame, threshold: float) -> DataFrame:
@@ -101,6 +126,8 @@ def hash_pairs(df: DataFrame, id_col="id", hash_col="hash", threshold=0.85, orde
                mode="char") -> DataFrame:
     """``(id_a, id_b, score)`` of distinct hashes at or above the threshold."""
     blocked, _ = blocked_hashes(df, id_col, hash_col, threshold, order_col, mode)
+    if mode == "char" and threshold <= 0.75:  # all 16 characters may differ
+        blocked.blocks = grid_blocks(blocked.rows)
     return _named(blocked.edges())
 
 

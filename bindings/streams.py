@@ -24,8 +24,9 @@ SLICE_SQL = f"""(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * {SLICE
 
 
 def _stream(t, table: str):
+    # a pattern stands for a table that is one file as well as for one that is a folder of files
     schema = t.spark.read.parquet(f"{t.dir}/{table}.parquet").schema
-    return S.read_stream(t.spark, t.dir, schema, f"{table}.parquet")
+    return S.read_stream(t.spark, f"{t.dir}/{table}.parque[t]", schema)
 
 
 def _events(t, delayed=None, slices=SLICES, slower=1):

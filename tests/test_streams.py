@@ -59,3 +59,14 @@ def test_ties_of_a_session_window(spark):
     batches = [[(1, at(0), "a", "x"), (3, at(0), "a", "z"), (2, at(0), "a", "y")], [(9, at(30), "b", "w")]]
     got, _ = run(spark, batches, lambda s: S.interaction_sessions(s, context="feedback"), "window")
     assert [(r["interactions"], r["last_context"]) for r in got] == [(3, "z")]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_first_arrivals_of_a_table_of_one_or_many_files(spark, files, tmp_path):
+    from bindings import QUERIES
+    rows = spark.createDataFrame([(i, f"text {i // 2}") for i in range(12)], "doc_id long, text string").repartition(files)
+    rows.write.parquet(f"{tmp_path}/documents.parquet" if files > 1 else f"{tmp_path}/written")
+    if files == 1:  # the table itself is a file
+        next(tmp_path.glob("written/*.parquet")).rename(tmp_path / "documents.parquet")
+    got = QUERIES["s6_first_arrivals"](spark, str(tmp_path)).collect()
+    assert len(got) == 6 and {r["n"] for r in got} == {1}

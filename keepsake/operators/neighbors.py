@@ -20,6 +20,7 @@ from ..session import materialize
 
 KM_PER_DEGREE = EARTH_RADIUS_KM * pi / 180
 SECOND = 1_000_000
+SWEEP = 8  # width of the cells of a sweep, in limits
 
 
 def time_cell(t: Column, seconds: float) -> Column:
@@ -97,11 +98,14 @@ def _paired(rows: DataFrame, scope: list[str], seconds: float | None, km: float
                                   F.first("latitude").alias("latitude"), F.first("longitude").alias("longitude"))
     # written first: a join back to an aggregate of its own stage is not split when a cell is hot
     cells = materialize(cells, "cells")
-    crowded = df.join(cells.filter(F.col("n") > 1).select(*keys), keys, "left_semi").select("id")
+    # cells are nearly as many as rows, however small their file: merged, not broadcast
+    crowded = df.join(cells.filter(F.col("n") > 1).select(*keys).hint("merge"), keys, "left_semi").select("id")
     lone = cells.filter(F.col("n") == 1)
     look = lone.select(*scope, F.col("id").alias("x_id"), F.col("t").alias("x_t"),
-                       F.col("latitude").alias("x_lat"), F.col("longitude").alias("x_lon"),
-                       *([F.explode(F.sequence(F.col("tc") - 1, F.col("tc") + 1)).alias("tc")] if seconds else []))
+                       F.col("latitude").alias("x_lat"), F.col("longitude").alias("x_lon"), *(["tc"] if seconds else []))
+    # cells of place are looked at by one side and cells of time by the other, so that copies add up, not multiply
+    if seconds:
+        df = df.withColumn("tc", F.explode(F.sequence(F.col("tc") - 1, F.col("tc") + 1)))
     if km:
         look = look.withColumn("_c", F.explode(place.around(F.col("x_lat"), F.col("x_lon")))).select(
             "*", F.col("_c.band").alias("band"), F.col("_c.col").alias("col")).drop("_c")
@@ -111,7 +115,7 @@ def _paired(rows: DataFrame, scope: list[str], seconds: float | None, km: float
     if km:
         near = near & (((F.col("latitude") == F.col("x_lat")) & (F.col("longitude") == F.col("x_lon")))
                        | (haversine_km(F.col("latitude"), F.col("longitude"), F.col("x_lat"), F.col("x_lon")) < km))
-    met = df.join(look, keys).filter(near).select(F.col("x_id").alias("id"))
+    met = df.join(look.hint("merge"), keys).filter(near).select(F.col("x_id").alias("id"))
     return crowded.union(met)
 
 
@@ -136,7 +140,7 @@ def candidate_rows(df: DataFrame, mode: str = "strict", id_col="id", captured="c
     hits = _paired(rows, *rules[0])
     for rule in rules[1:]:
         hits = hits.union(_paired(rows, *rule))
-    return df.join(hits.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    return df.join(hits.select(F.col("id").alias(id_col)).hint("merge"), id_col, "left_semi")
 
 
 def _known(columns) -> Column:
@@ -148,7 +152,8 @@ def pairs_within(nodes: DataFrame, scope: list[str], seconds: float | None) -> D
 
     ``nodes`` have a time ``t`` and a number of rows ``n``. In time order a row enters at its time and leaves
     ``seconds`` later; a running sum of entries and departures is the number of earlier rows in reach. The sum runs
-    in cells as wide as ``seconds``, each with the rows of the cell before, so it is linear in the instants.
+    in cells ``SWEEP`` times as wide, each with the rows of the cell before that have not left, so it is linear in
+    the instants. Rows travel to their cells once; events are made there.
     """
     known = nodes.filter(_known([*scope, *(["t"] if seconds else [])]))
     alone = lambda m: F.shiftright(m * (m - 1), 1)
@@ -156,15 +161,17 @@ def pairs_within(nodes: DataFrame, scope: list[str], seconds: float | None) -> D
         counted = known.groupBy(*scope).agg(F.sum("n").alias("m")).select(alone(F.col("m")).alias("pairs"))
         return counted.agg(F.sum("pairs").alias("pairs"))
     width = int(seconds * SECOND)
-    instants = known.groupBy(*scope, "t").agg(F.sum("n").alias("m"))
-    home, m, none = time_cell(F.col("t"), seconds), F.col("m"), F.lit(0).cast("bigint")
+    cell = lambda at: time_cell(at, SWEEP * seconds)
+    t, m, none = F.col("t"), F.col("m"), F.lit(0).cast("bigint")
+    placed = known.select(*scope, "t", "n", F.explode(F.array_distinct(F.array(cell(t), cell(t + width)))).alias("tc"))
+    instants = placed.repartition(*scope, "tc").groupBy(*scope, "tc", "t").agg(F.sum("n").alias("m"))
 
-    def event(tc, at, enters, change, asks):
-        return F.struct(tc.alias("tc"), at.alias("at"), F.lit(enters).alias("enters"), change.alias("change"), asks.alias("asks"))
+    def event(at, enters, change, asks):
+        return F.struct(at.alias("at"), F.lit(enters).alias("enters"), change.alias("change"), asks.alias("asks"))
 
-    events = instants.select(*scope, F.explode(F.array(
-        event(home, F.col("t"), 1, m, m), event(home + 1, F.col("t"), 1, m, none),
-        event(home + 1, F.col("t") + width, 0, -m, none))).alias("e")).select(*scope, "e.*")
+    # a row of the cell before asks nothing here
+    events = instants.select(*scope, "tc", F.explode(F.array(
+        event(t, 1, m, F.when(cell(t) == F.col("tc"), m).otherwise(none)), event(t + width, 0, -m, none))).alias("e")).select(*scope, "tc", "e.*")
     # departures first: rows exactly ``seconds`` apart are no pair
     earlier = Window.partitionBy(*scope, "tc").orderBy("at", "enters").rowsBetween(Window.unboundedPreceding, -1)
     met = events.withColumn("earlier", F.coalesce(F.sum("change").over(earlier), none)).filter("asks > 0")
@@ -202,14 +209,15 @@ def between_cells(nodes: DataFrame, rule: tuple[list[str], float | None, float],
     apart = F.col("a_spot") != F.col("b_spot")
     if seconds and settled:
         width = settled / 2
-        home = time_cell(F.col("b_t"), width)
-        left = left.withColumn("tc", time_cell(F.col("a_t"), width))
-        right = right.withColumn("tc", F.explode(F.sequence(home - ceil(seconds / width), home - 2)))
+        home = time_cell(F.col("a_t"), width)
+        # times on this side and places on the other, so that copies add up, not multiply
+        left = left.withColumn("tc", F.explode(F.sequence(home + 2, home + ceil(seconds / width))))
+        right = right.withColumn("tc", time_cell(F.col("b_t"), width))
         return left.join(right, [*keys, "tc"]).filter(apart)
     if seconds:
-        home = time_cell(F.col("b_t"), seconds)
-        left = left.withColumn("tc", time_cell(F.col("a_t"), seconds))
-        right = right.withColumn("tc", F.explode(F.sequence(home - 1, home + 1)))
+        home = time_cell(F.col("a_t"), seconds)
+        left = left.withColumn("tc", F.explode(F.sequence(home - 1, home + 1)))
+        right = right.withColumn("tc", time_cell(F.col("b_t"), seconds))
         keys.append("tc")
     return left.join(right, keys).filter(apart & (F.col("a_id") < F.col("b_id")))
 

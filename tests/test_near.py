@@ -237,3 +237,18 @@ def test_cascade_layers(spark):
         cascade.analyse(df.limit(1))
     with pytest.raises(ValueError, match="at least 2"):
         cascade.analyse(df.filter(F.lit(False)))
+
+
+def test_copies_for_neighbouring_cells_add_up(spark):
+    rows = [(i, T0 + timedelta(seconds=40 * i), 40 + i * 1e-3, -74.0, 1, i) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    nodes = df.withColumn("t", F.unix_micros("captured_at")).withColumn("n", F.lit(1).cast("long")).withColumn(
+        "spot", neighbors.Place(0.05).cell(F.col("latitude"), F.col("longitude")))
+    plan = neighbors.between_cells(nodes, (["project_id"], 300, 0.05), 60)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(line.count("explode(") for line in plan.splitlines() if "explode(" in line) == [1, 1]
+    left, right = plan.split("Generate explode(")[1:]
+    assert "tc#" in left.splitlines()[0] and "tc#" not in right.splitlines()[0]  # times on one side, places on the other
+    swept = neighbors.pairs_within(nodes, ["project_id"], 60)._jdf.queryExecution().executedPlan().toString()
+    assert swept.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1  # rows travel once
+    for mode in ("strict", "permissive"):
+        assert "BroadcastHashJoin" not in neighbors.candidate_rows(df, mode)._jdf.queryExecution().executedPlan().toString()

@@ -49,3 +49,17 @@ def test_threshold_that_every_pair_reaches(spark, monkeypatch):
     monkeypatch.setattr(pairs, "grid_blocks", lambda rows: blocks(rows, 20))
     assert pairs.hash_pairs(df, threshold=0.7).count() == 120 * 119 // 2
     assert pairs.hash_groups(df, threshold=0.7).select("group_id").distinct().count() == 1
+
+
+@pytest.mark.parametrize("hot", [pairs.HOT_BLOCK, 40])
+def test_pairs_of_blocks_are_counted_once_without_a_broadcast(spark, hot):
+    texts = hashes(150, 4, "dead") + hashes(150, 5)
+    blocked, _ = pairs.blocked_hashes(spark.createDataFrame(list(enumerate(texts)), "id long, hash string"), hot=hot)
+    assert (blocked.positions is None) == (hot == 40)
+    assert hot == 40 or "BroadcastHashJoin" not in blocked.edges()._jdf.queryExecution().executedPlan().toString()
+    agree = lambda x, y, half: sum(map(str.__eq__, x[half * 8:half * 8 + 8], y[half * 8:half * 8 + 8]))
+    met = sum(max(agree(x, y, 0), agree(x, y, 1)) >= 4 for n, x in enumerate(texts) for y in texts[:n])
+    if blocked.positions:
+        assert tuple(blocked.compared().first()) == (len(texts), met) and met > 100
+    near = sum(agree(x, y, 0) + agree(x, y, 1) >= 7 for n, x in enumerate(texts) for y in texts[:n])
+    assert blocked.edges().count() == near

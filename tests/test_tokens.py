@@ -49,3 +49,19 @@ def test_unlike_rows_with_one_common_term(spark):
     listed, rows = blocked.load(blocked.blocks)
     print(f"{n} rows: {rows} block rows, {listed} pairs listed, {left.count()} candidates")
     assert listed < 20 * n
+
+
+def test_signs_spare_token_sets(spark):
+    """Candidates that share too little are dropped by their signs, and no pair of the result is."""
+    rnd = random.Random(8)
+    base = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rnd.sample(base, 25) + [f"own{i}x{j}" for j in range(10)]) for i in range(120)]
+    texts += [" ".join(t.split()[1:] + ["extra"]) for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, description string")
+    blocked, _ = pairs.blocked_texts(df, threshold=0.7)
+    met = blocked.candidates(blocked.blocks, blocked.blocks).collect()
+    kept = {tuple(r) for r in blocked.narrow(spark.createDataFrame([tuple(r) for r in met], "a long, b long")).collect()}
+    sets = [frozenset(t.split()) for t in texts]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if similarity(sets[a], sets[b]) >= 0.7}
+    assert want and want <= kept and len(kept) < max(len(met), len(want) + 1)
+    assert {(r["a"], r["b"]) for r in blocked.edges().collect()} == want

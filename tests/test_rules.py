@@ -183,3 +183,18 @@ def test_missing_times(spark):
     assert ids(filters.apply_criteria(df, filters.Criteria(start=datetime(2025, 2, 1)))) == [1, 3]
     assert ids(df.filter(filters.in_date_range(F.col("captured_at"), end=datetime(2025, 1, 5)))) == [2]
     assert ids(filters.apply_criteria(df, filters.Criteria())) == [1, 2, 3]
+
+
+def test_composite_pairs_of_rows_that_come_twice(spark):
+    """No text travels to the pairs, and a repeated id does not multiply the pairs once more."""
+    from datetime import datetime
+    from keepsake.operators import composite
+    rows = [(i, datetime(2025, 1, 1, 0, i), 40.0, -74.0, 1, 2, "roof repair at the north side", ["x"]) for i in range(6)]
+    schema = "id long, captured_at timestamp, latitude double, longitude double, project_id long, creator_id long, description string, tags array<string>"
+    blocked, _ = composite.composite(spark.createDataFrame(rows, schema))
+    assert "description" not in blocked.rows.columns
+    met = blocked.candidates(blocked.blocks, blocked.blocks)
+    assert blocked.narrow(met).distinct().count() == met.count() == 15 == blocked.edges().count()
+    light = blocked.narrow
+    blocked.narrow = lambda pairs: light(pairs).union(light(pairs))
+    assert blocked.edges().count() == 15

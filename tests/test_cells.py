@@ -98,3 +98,16 @@ def test_empty_zero_and_missing(spark):
     assert pairs.vector_pairs(df, dim=2).count() == 0
     assert pairs.vector_pairs_approximate(df, dim=2).count() == 0
     assert cells.choose_bands(0.98, 0.95, 10 ** 9)[0] > cells.choose_bands(0.98, 0.95, 100)[0]
+
+
+def test_rows_of_a_large_cell_are_moved_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CHUNK", 10)
+    monkeypatch.setattr(cells, "SMALL", 2)
+    monkeypatch.setattr(cells, "GRID", 4)
+    vectors = clusters(600, 8, 0.3, 5, seed=2)
+    reps, _ = pairs.distinct_vectors(frame(spark, vectors))
+    rows = cells.rows_of(cells.all_home(reps).drop("unit"), reps)
+    calls = cells.near_pairs(rows, rows, cells.shared_pivots(reps), 0.98, counts=True).collect()
+    assert len(calls) <= 16 and sum(r["possible"] for r in calls) == 600 * 600  # 3,600 calls with chunks of ten
+    got = {(r["a"], r["b"]) for r in cells.near_pairs(rows, rows, cells.shared_pivots(reps), 0.98).collect()}
+    assert got == brute(vectors, 0.98)

@@ -17,6 +17,7 @@ WATERMARK = "(SELECT epoch_ms(CAST(max(epoch_ms(ts)) AS BIGINT)) FROM events)"
 
 
 SLICES, FILES = 3, 2
+FILE_ROWS = 250_000
 START = 1_704_067_200_000_000  # 2024-01-01
 SLOW = f"SELECT *, make_timestamp({START} + (epoch_us(ts) - {START}) * 12) AS moment FROM v_feedback"
 SLOW_MARK = f"(SELECT make_timestamp(epoch_ms(max(moment)) * 1000) - INTERVAL 1 HOUR FROM slow)"
@@ -36,15 +37,17 @@ def _events(t, delayed=None, slices=SLICES, slower=1):
     rows = t.table("events")
     if slower > 1:
         rows = rows.withColumn("ts", F.timestamp_micros(F.lit(START) + (us(F.col("ts").cast("timestamp")) - START) * slower))
-    low, high = rows.agg(F.min(us("ts")), F.max(us("ts"))).first()
+    low, high, n = rows.agg(F.min(us("ts")), F.max(us("ts")), F.count(F.lit(1))).first()
     at = F.floor((us("ts") - low) * slices / (high - low + 1)) if low is not None else F.lit(0)
     if delayed is not None:
         at = F.when((at == 0) & delayed, slices).otherwise(at)
     path = fresh_path(t.spark, "arrivals")
+    files = max(FILES, n // FILE_ROWS)  # of a slice, so that a batch has work for all tasks
     for k in range(slices + (delayed is not None)):
-        rows.filter(at == k).coalesce(FILES).write.parquet(f"{path}/{k}")
+        part = rows.filter(at == k)
+        (part.coalesce(FILES) if files == FILES else part.repartition(files)).write.parquet(f"{path}/{k}")
     kind = F.col("event_type")
-    return S.read_stream(t.spark, f"{path}/*", rows.schema, files_per_batch=FILES).select(
+    return S.read_stream(t.spark, f"{path}/*", rows.schema, files_per_batch=files).select(
         F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("user_id") % 20).alias("project_id"),
         F.concat(F.lit("i"), F.col("event_id") % 500).alias("item_id"), F.when(F.col("user_id") % 2 == 0, "developer").otherwise("endUser").alias("user_type"),
         F.when(kind.isin("click", "purchase"), "positive").when(kind == "error", "negative").when(kind == "view", "edit").otherwise("other").alias("feedback"))

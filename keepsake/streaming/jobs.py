@@ -112,11 +112,11 @@ def joined_stretches(rows: pd.DataFrame, keys: list[str], idle: int) -> pd.DataF
         same &= rows[k].eq(rows[k].shift()) | (rows[k].isna() & rows[k].shift().isna() & (rows.index > 0))
     reached = rows.groupby((~same).cumsum())["last"].cummax().shift()
     number = (~(same & (rows["first"] - reached <= idle))).cumsum()
-    newest = rows.sort_values(["last", "id"], kind="stable").groupby(number)
-    out = rows.groupby(number).agg({**{k: "first" for k in keys}, "first": "min", "last": "max", "n": "sum"})
-    for k in keys:  # a missing key stays missing
-        out[k] = rows.groupby(number)[k].apply(lambda x: x.iloc[0])
-    return out.assign(id=newest["id"].apply(lambda x: x.iloc[-1]), context=newest["context"].apply(lambda x: x.iloc[-1]))
+    rows["stretch"] = number
+    out = rows.groupby("stretch").agg({"first": "min", "last": "max", "n": "sum"}).reset_index(drop=True)
+    heads = rows.drop_duplicates("stretch")  # a missing key stays missing
+    newest = rows.sort_values(["stretch", "last", "id"], kind="stable").drop_duplicates("stretch", keep="last")
+    return out.assign(**{k: heads[k].to_numpy() for k in keys}, **{c: newest[c].to_numpy() for c in ("id", "context")})
 
 
 def interaction_log(stream: DataFrame, key="session_id", ts="ts", id_col="id", context="context", idle="7 days",

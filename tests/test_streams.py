@@ -70,3 +70,26 @@ def test_first_arrivals_of_a_table_of_one_or_many_files(spark, files, tmp_path):
         next(tmp_path.glob("written/*.parquet")).rename(tmp_path / "documents.parquet")
     got = QUERIES["s6_first_arrivals"](spark, str(tmp_path)).collect()
     assert len(got) == 6 and {r["n"] for r in got} == {1}
+
+
+def test_arrivals_are_dealt_to_more_files_as_the_table_grows(spark, tmp_path, monkeypatch):
+    from bindings import streams
+    from bindings.registry import Tables
+    rows = [(i, at(0, i * 60), i % 5, "click") for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    paths = []
+    monkeypatch.setattr(streams, "fresh_path", lambda spark, name: paths.append(f"{tmp_path}/{name}") or paths[-1])
+    streams._events(Tables(spark, str(tmp_path)))
+    files = [len(list((tmp_path / "arrivals" / str(k)).glob("*.parquet"))) for k in range(3)]
+    assert files == [6, 6, 6] and spark.read.parquet(f"{paths[0]}/*").count() == 600
+
+
+def test_stretches_keep_missing_keys_and_the_newest_context():
+    import pandas as pd
+    from keepsake.streaming.jobs import joined_stretches
+    rows = pd.DataFrame({"s": ["a", None, "a", "a", None], "first": [0, 5, 3, 100, 6], "last": [0, 5, 3, 100, 6],
+                         "n": [1] * 5, "id": [1, 2, 4, 3, 9], "context": ["x", "y", "z", None, "w"]})
+    got = joined_stretches(rows, ["s"], 10)
+    assert [tuple(r) for r in got[["first", "last", "n", "id"]].itertuples(index=False)] == [(0, 3, 2, 4), (100, 100, 1, 3), (5, 6, 2, 9)]
+    assert got["context"].tolist()[::2] == ["z", "w"] and got["s"].isna().tolist() == [False, False, True]

@@ -198,3 +198,10 @@ def test_composite_pairs_of_rows_that_come_twice(spark):
     light = blocked.narrow
     blocked.narrow = lambda pairs: light(pairs).union(light(pairs))
     assert blocked.edges().count() == 15
+
+
+def test_description_similarity_splits_each_text_once(spark):
+    df = spark.createDataFrame([(1, "roof repair north", "roof repair south"), (2, None, "roof"), (3, "", "x"), (4, "the one", "the one")], "id long, a string, b string")
+    out = df.select("id", K.description_similarity(F.col("a"), F.col("b")).alias("s"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert [round(r["s"], 6) for r in out.orderBy("id").collect()] == [0.8, 0.0, 0.0, 1.0]

@@ -303,14 +303,16 @@ def nearest_in_time(df: DataFrame, k: int = 4, seconds: float = 30, id_col="id",
     around = Window.partitionBy("range").orderBy("_t").rowsBetween(-k, k)
     seen = (in_ranges(instants, k, ranges).withColumn("around", F.flatten(F.collect_list("items").over(around)))
             .filter("own").select("_t", F.filter("around", lambda x: gap(x) < limit).alias("around")))
+    ordered = F.array_sort(F.transform("around", lambda x: F.struct(
+        gap(x).alias("gap"), x["id"].alias("id"), x["t"].alias("t"), *[x[c].alias(c) for c in payload])))
+    # ordered once an instant, not once a row; an id has one place, and one more for every copy of any id
+    copies = F.size("around") - F.size(F.array_distinct(F.transform("around", lambda x: x["id"])))
     # written first, so that the rows of a hot instant can be split over tasks
-    seen = materialize(seen, "around")
+    seen = materialize(seen.select("_t", F.slice(ordered, F.lit(1), k + 1 + copies).alias("around")), "around")
     others = F.filter(F.col("around"), lambda x: x["id"] != F.col(id_col))
-    ordered = F.array_sort(F.transform(others, lambda x: F.struct(
-        gap(x).alias("gap"), x["id"].alias("id"), x["t"].alias("t"), *[x[c].alias(c) for c in payload])))
     empty = F.array().cast(f"array<struct<{_struct_ddl(df, id_col, payload)}>>")
     return (rows.join(seen, "_t", "left")
-            .withColumn("near", F.coalesce(F.slice(ordered, 1, k), empty)).drop("_t", "around"))
+            .withColumn("near", F.coalesce(F.slice(others, 1, k), empty)).drop("_t", "around"))
 
 
 def _struct_ddl(df: DataFrame, id_col: str, payload) -> str:

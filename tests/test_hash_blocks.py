@@ -63,3 +63,12 @@ def test_pairs_of_blocks_are_counted_once_without_a_broadcast(spark, hot):
         assert tuple(blocked.compared().first()) == (len(texts), met) and met > 100
     near = sum(agree(x, y, 0) + agree(x, y, 1) >= 7 for n, x in enumerate(texts) for y in texts[:n])
     assert blocked.edges().count() == near
+
+
+def test_rows_of_a_small_table_are_dealt_out_before_they_are_repeated(spark):
+    texts = hashes(5_000, 6)
+    reps = spark.createDataFrame(list(enumerate(texts)), "ord long, hash string").coalesce(1)
+    blocks, _ = pairs.hash_blocks(reps, 0.85, hot=len(texts))
+    tasks = blocks.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= 3 and max(r["count"] for r in tasks) <= 2 * 140 * pairs.DEALT
+    assert blocks.count() == 140 * len(texts)

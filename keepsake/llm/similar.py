@@ -17,13 +17,15 @@ What a pair must share in its prefixes follows from both sizes: the sets must ha
 first holds ``n - p`` of them at most. For sets of one size that is far more than l, so pairs are counted
 before any list is fetched, then compared by whole prefixes, and few but true pairs have their sets read.
 The same bound holds at each match: what is ahead of it in both prefixes and in other documents too, and what
-is behind it, must be enough; so documents that share a passage after much text of their own do not meet.
+is behind it (in the prefix that ends first, again what other documents have), must be enough; so documents that share a passage after much text of their own do not meet.
 
 Documents with equal sets are one node, so copies never meet. Large groups of near copies would still
 give pairs by the square, so most links are found in rounds before: every prefix shingle names one node
 as its head, every component proposes to join the head that most shingles of one of its nodes name, and the
-proposals, at most one for each component, are verified. The heads change from round to round, so a node
-that is too far from one member of a group meets another. When a round brings little, all pairs of different
+proposals, at most one for each component, are verified. The first heads are the nodes with the smallest
+part of their set ahead of the shingle: copies with the fewest edits, which most others link to. Then the
+heads change from round to round, so a node that is too far from one member of a group meets another. Links
+of a round join the components of the rounds before, each one node by then. When a round brings little, all pairs of different
 components that the prefixes allow are verified. No link between components can be missed, and links inside
 a component cannot change it.
 
@@ -48,6 +50,7 @@ from .common import Workspace, bitmap, components, in_bitmap, mix, session, wind
 
 WORDS, PERCENT = 5, 80
 COUNTERS, CHUNK = 1 << 24, 1 << 16
+BLOCK = 1 << 18  # bytes of texts hashed at once, or one longer text
 FEW = 8  # expected candidates of a document that make its prefix short enough
 
 
@@ -60,10 +63,50 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(windows(word_hashes(data, starts, ends), min(words, len(starts))))
 
 
-def set_key(found: np.ndarray) -> int:
-    """One 64-bit value for a set."""
+def shingle_sets(texts, words: int = WORDS) -> list[np.ndarray]:
+    """:func:`shingles` of each text, hashed ``BLOCK`` bytes of texts at a time."""
+    out, block, size = [], [], 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "replace").lower()
+        block.append(data)
+        size += len(data) + 1
+        if size >= BLOCK:
+            out += block_sets(block, words)
+            block, size = [], 0
+    return out + block_sets(block, words)
+
+
+def block_sets(block: list[bytes], words: int) -> list[np.ndarray]:
+    data = np.frombuffer(b"\n".join(block), np.uint8)  # no word holds white space, so none joins two texts
+    starts, ends = word_spans(data)
+    hashes = word_hashes(data, starts, ends)
+    runs = windows(hashes, words)
+    edges = np.searchsorted(starts, np.cumsum([0, *[len(x) + 1 for x in block]]))  # the words of each text
+    out = []
+    for at, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if end - at >= words:
+            found = np.sort(runs[at:end - words + 1])
+            new = found[1:] != found[:-1]
+            out.append(found if new.all() else found[np.concatenate([[True], new])])
+        else:
+            out.append(windows(hashes[at:end], end - at) if end > at else np.zeros(0, np.uint64))
+    return out
+
+
+def set_keys(sets: list[np.ndarray]) -> list[int]:
+    """One 64-bit value for each set."""
+    sizes = np.array([len(found) for found in sets], np.int64)
+    sums = np.zeros(len(sets), np.uint64)
+    full = np.flatnonzero(sizes)
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(found + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ np.uint64(len(found) << 32)], np.uint64)).view(np.int64)[0])
+        if len(full):
+            mixed = mix(np.concatenate(sets) + np.uint64(0x5851F42D4C957F2D))
+            sums[full] = np.add.reduceat(mixed, (np.cumsum(sizes) - sizes)[full], dtype=np.uint64)
+        return mix(sums ^ (sizes.astype(np.uint64) << np.uint64(32))).view(np.int64).tolist()
+
+
+def set_key(found: np.ndarray) -> int:
+    return set_keys([found])[0]
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -91,8 +134,8 @@ def read_documents(own: DataFrame, space: Workspace) -> tuple[DataFrame, np.ndar
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            sets = [shingles(text) for text in batch["text"]]
-            keys, sizes = [set_key(found) for found in sets], [len(found) for found in sets]
+            sets = shingle_sets(batch["text"])
+            keys, sizes = set_keys(sets), [len(found) for found in sets]
             if sets:
                 place, times = np.unique(np.concatenate(sets) & np.uint64(COUNTERS - 1), return_counts=True)
                 counts[place.astype(np.int64)] += times.astype(np.uint32)
@@ -148,17 +191,17 @@ def nodes_of(own: DataFrame, table: np.ndarray, space: Workspace, percent: int)
         done: set[int] = set()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                found = shingles(text)
+            sets = shingle_sets(batch["text"])
+            for found, key in zip(sets, set_keys(sets)):
                 n = len(found)
                 if least_overlap(n + 1, percent) > n:  # no larger set is near enough, nor a smaller one
                     continue
-                key = set_key(found)
                 if key in done:
                     continue
                 if len(done) < 1 << 20:
                     done.add(key)
-                order = np.lexsort((found, counts[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                # the set is in order of hashes, which a stable sort keeps among like counts
+                order = np.argsort(counts[(found & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                 rows.append((key, n, found[order[:n - least_overlap(n, percent) + reach(n)]].view(np.int64)))
             yield pd.DataFrame(rows, columns=["key", "n", "tokens"])
 
@@ -184,9 +227,8 @@ def verify(pairs: DataFrame, own: DataFrame, members: DataFrame, space: Workspac
         done: set[int] = set()
         for batch in batches:
             out = []
-            for text in batch["text"]:
-                found = shingles(text)
-                key = set_key(found)
+            sets = shingle_sets(batch["text"])
+            for found, key in zip(sets, set_keys(sets)):
                 if key not in done and in_bitmap(keys.value, np.array([key]))[0]:
                     if len(done) < 1 << 20:
                         done.add(key)
@@ -222,8 +264,8 @@ def with_component(live: DataFrame, labels: DataFrame | None, number: int) -> Da
     shingle is the first of its nodes in the order of round ``number``."""
     marked = live.withColumn("component", F.col("key")) if labels is None else live.join(labels, "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
-    order = F.struct(F.xxhash64(F.lit(number), "component").alias("turn"), F.xxhash64(F.lit(number), "key").alias("place"),
-                     "component", "key", "n")
+    turn = F.xxhash64(F.lit(number), "component") if number else F.col("place") / F.col("n")
+    order = F.struct(turn.alias("turn"), F.xxhash64(F.lit(number), "key").alias("place"), "component", "key", "n")
     heads = marked.groupBy("token").agg(F.min(order).alias("head"), F.min("component").alias("low"), F.max("component").alias("top"))
     return marked.join(heads.filter("low < top").select("token", F.struct("head.component", "head.key", "head.n").alias("head")), "token")
 
@@ -248,6 +290,14 @@ def proposals(marked: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("best.a", "best.b").alias("a"), F.greatest("best.a", "best.b").alias("b")).distinct()
 
 
+def from_here(x: str, y: str, percent: int) -> Column:
+    """The most matches from a shingle of ``x`` and ``y`` on, itself included, if the longest prefix of ``x`` ends
+    first: in it only shingles that other components have can match, behind it and in ``y`` all may."""
+    own, other = (lambda name: F.col(f"{x}.{name}")), (lambda name: F.col(f"{y}.{name}"))
+    beyond = F.greatest(F.ceil(own("n") * percent / 100) - F.lit(1) - F.floor(own("n") / 16), F.lit(0))
+    return F.least(own("live") - own("before") + beyond, other("n") - other("place"))
+
+
 def candidates_of(marked: DataFrame, space: Workspace, percent: int) -> DataFrame:
     """All pairs ``a, b`` of nodes of different components whose prefixes share enough."""
     counts = marked.groupBy("token").agg(F.count("*").alias("documents"))
@@ -262,19 +312,19 @@ def candidates_of(marked: DataFrame, space: Workspace, percent: int) -> DataFram
                 places = np.array([p for _, _, p in own])
                 l = choose(np.array([d - 1 for d, _, _ in own]), places, n, percent)
                 parts.append(pd.DataFrame({"key": key, "n": n, "l": l, "component": component, "token": [t for _, t, _ in own],
-                                           "place": places, "before": np.searchsorted(np.sort(places), places),
+                                           "place": places, "before": np.searchsorted(np.sort(places), places), "live": len(own),
                                            "rank": np.arange(1, len(own) + 1)}))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
-    ranked = space.save(lists.mapInPandas(rank, "key long, n long, l int, component long, token long, place int, before int, rank int"), "ranked")
+    ranked = space.save(lists.mapInPandas(rank, "key long, n long, l int, component long, token long, place int, before int, live int, rank int"), "ranked")
     x, y, l = ranked.alias("x"), ranked.alias("y"), F.least("x.l", "y.l")
     prefix = lambda s: F.col(f"{s}.place") < F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * percent / 100) + l
     met = x.join(y, "token").filter(
         (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") >= l) & (F.col("y.rank") >= l)
         & near_sizes(F.col("x.n"), F.col("y.n"), percent) & prefix("x") & prefix("y")
-        # ahead of this shingle only those that other components have can match, behind it all may
-        & (F.least("x.before", "y.before") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+        # ahead of this shingle only those that other components have can match
+        & (F.least("x.before", "y.before") + F.greatest(from_here("x", "y", percent), from_here("y", "x", percent))
            >= must_share(F.col("x.n"), F.col("y.n"), percent)))
     # matches of rank l or more, up to l - 1 frequent ones, and what lies behind the prefixes must be enough
     most = F.greatest(behind(F.col("x.n"), l, percent), behind(F.col("y.n"), l, percent))
@@ -310,6 +360,18 @@ def share_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(compare, "a long, b long")
 
 
+def merged(labels: DataFrame | None, found: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """``key, component`` after the links ``a, b`` found. A component of before is one node, named by its
+    smallest key, so links of earlier rounds are not followed again."""
+    if labels is None:
+        return components(found, space, name)
+    for end in ("a", "b"):
+        found = found.join(labels.toDF(end, "of"), end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    joined = components(found.distinct(), space, name)
+    now = labels.join(joined.toDF("component", "now"), "component", "left").select("key", F.coalesce("now", "component").alias("component"))
+    return space.save(now.unionByName(joined.join(labels, "key", "left_anti")), f"{name}-merged")
+
+
 def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key, n`` of every row, and ``key, component`` of the nodes that link to others."""
     own = with_sets(docs, id_col, text_col)
@@ -319,7 +381,7 @@ def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: st
     shared = postings.groupBy("token").agg(F.count("*").alias("documents")).filter("documents > 1").select("token")
     live = space.save(postings.join(shared, "token"), "postings")
 
-    labels, links, first, number = None, None, None, 0
+    labels, first, number = None, None, 0
     while True:
         marked = space.save(with_component(live, labels, number), f"marked-{number}")
         asked = space.save(proposals(marked, percent).withColumn("l", F.lit(1)), f"asked-{number}")
@@ -328,8 +390,7 @@ def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: st
         many = found.count()
         first = many if first is None else first
         if many:
-            links = found if links is None else links.unionByName(found)
-            labels = components(links, space, f"labels-{number}")
+            labels = merged(labels, found, space, f"labels-{number}")
             space.drop(f"marked-{number}")
         space.drop(f"asked-{number}", f"proposals-{number}")
         number += 1
@@ -341,7 +402,7 @@ def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: st
     rest = space.save(share_enough(rest, nodes, percent), "candidates")
     space.drop("nodes", "met")
     found = verify(rest, own, members, space, "rest", percent)
-    labels = components(found if links is None else links.unionByName(found), space, "labels")
+    labels = merged(labels, found, space, "labels")
     space.drop("candidates")
     return members, labels
 
@@ -381,7 +442,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("long")
     def key_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_key(shingles(t if isinstance(t, str) else None)) for t in texts], dtype="int64")
+        return pd.Series(set_keys(shingle_sets(t if isinstance(t, str) else None for t in texts)), dtype="int64")
 
     # the rows travel as one struct, so no column of theirs can clash
     rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))

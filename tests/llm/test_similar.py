@@ -114,3 +114,53 @@ def test_pairs_below_the_bound_are_not_verified(spark):
     rest = similar.candidates_of(similar.with_component(postings, None, 0), space, 80)
     assert rest.count() == 0
     assert similar.groups(docs).filter("component_id <> doc_id").count() == 0
+
+
+def test_sets_hashed_by_blocks_are_those_of_single_texts(monkeypatch):
+    rng = random.Random(7)
+    texts = [None, "", " \n", "a", "A b", "a b c d", "a b c d e", "a b c d e a b c d e a b", "é \x85  x", "word " * 300]
+    texts += ["".join(rng.choice("ab \n\t\x0b\x1fé") for _ in range(rng.randrange(60))) for _ in range(500)]
+    want = [similar.shingles(t) for t in texts]
+    for block in (1, 100, 1 << 18):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        got = similar.shingle_sets(texts)
+        assert len(got) == len(want) and all((x == y).all() and len(x) == len(y) for x, y in zip(got, want))
+    assert similar.set_keys(want) == [similar.set_key(found) for found in want]
+    assert similar.shingle_sets([]) == [] and similar.set_keys([]) == []
+
+
+def test_links_found_in_rounds_give_the_components_of_all(spark):
+    from keepsake.llm.common import Workspace, components, session
+    rng, space = random.Random(9), Workspace(session(spark), "test-merged")
+    rounds = [[(rng.randrange(60), rng.randrange(60, 120)) for _ in range(20)], [(1, 1)], [],
+              [(rng.randrange(120), rng.randrange(120)) for _ in range(15)]]
+    make = lambda links: spark.createDataFrame(links, "a long, b long")
+    labels = None
+    for number, links in enumerate(rounds):
+        labels = similar.merged(labels, make(links), space, f"labels-{number}")
+    want = components(make([link for links in rounds for link in links]), space, "all")
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_copies_with_few_edits_meet_the_least_edited_first(spark, monkeypatch):
+    """Most of 400 copies with up to four edits link to the original only, or to copies with few edits: one
+    round joins them, and no pairs by the square are left."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        words = list(base)
+        for j, place in enumerate(rng.sample(range(20), 1 + i % 4)):
+            words[10 * place] = f"e{i}x{j}"
+        texts.append(" ".join(words))
+    left, candidates = [], similar.candidates_of
+
+    def counted(*args):
+        pairs = candidates(*args)
+        left.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(similar, "candidates_of", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert similar.groups(docs).filter("component_id <> 0").count() == 0
+    assert left[0] < len(texts)

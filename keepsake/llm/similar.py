@@ -280,6 +280,27 @@ def behind(n: Column, l: Column | int, percent: int) -> Column:
     return F.greatest(F.ceil(n * percent / 100) - l, F.lit(0))
 
 
+def prefixes_share(m: Column, n: Column, l: Column, percent: int) -> Column:
+    """Shingles that the l-prefixes of sets of sizes m and n have in common if they link: what lies behind the
+    prefix that ends first is all that they may share elsewhere. Never under l."""
+    return must_share(m, n, percent) - F.greatest(behind(m, l, percent), behind(n, l, percent))
+
+
+def linkable(live: DataFrame, percent: int) -> DataFrame:
+    """Postings of the nodes that may link, of the shingles that several nodes have. A node that links with one of
+    size m has at least as many such shingles as their longest prefixes share, and each also occurs in
+    a set of size m; sizes are known as a range for each shingle."""
+    sizes = live.groupBy("token").agg(F.count("*").alias("documents"), F.min("n").alias("low"), F.max("n").alias("top"))
+    met = live.join(sizes.filter("documents > 1"), "token")
+    n, longest = F.col("n"), lambda m: F.lit(1) + F.floor(F.least(m, F.col("n")) / 16)
+    low, top = F.greatest("low", F.ceil(n * percent / 100)), F.least("top", F.floor(n * 100 / percent))
+    # what is shared grows with m up to n, then falls, but for one by rounding
+    least = F.least(prefixes_share(low, n, longest(low), percent), prefixes_share(top, n, longest(top), percent) - F.when(top > n, 1).otherwise(0))
+    lists = met.groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(least.alias("least"), "place", "token"))).alias("list"))
+    enough = F.exists(F.transform("list", lambda x, i: x["least"] <= i + 1), lambda x: x)
+    return lists.filter(enough).select("key", "n", F.explode("list").alias("one")).select("key", "n", "one.place", "one.token")
+
+
 def proposals(marked: DataFrame, percent: int) -> DataFrame:
     """For each component at most one pair ``a, b``: the node and head with the most common shingles, if
     they are a twentieth of the smaller set. Pairs left out are met in the last step."""
@@ -319,19 +340,15 @@ def candidates_of(marked: DataFrame, space: Workspace, percent: int) -> DataFram
 
     ranked = space.save(lists.mapInPandas(rank, "key long, n long, l int, component long, token long, place int, before int, live int, rank int"), "ranked")
     x, y, l = ranked.alias("x"), ranked.alias("y"), F.least("x.l", "y.l")
+    share = prefixes_share(F.col("x.n"), F.col("y.n"), l, percent)
     prefix = lambda s: F.col(f"{s}.place") < F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * percent / 100) + l
     met = x.join(y, "token").filter(
-        (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") >= l) & (F.col("y.rank") >= l)
+        (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.rank") >= share) & (F.col("y.rank") >= share)
         & near_sizes(F.col("x.n"), F.col("y.n"), percent) & prefix("x") & prefix("y")
         # ahead of this shingle only those that other components have can match
         & (F.least("x.before", "y.before") + F.greatest(from_here("x", "y", percent), from_here("y", "x", percent))
            >= must_share(F.col("x.n"), F.col("y.n"), percent)))
-    # matches of rank l or more, up to l - 1 frequent ones, and what lies behind the prefixes must be enough
-    most = F.greatest(behind(F.col("x.n"), l, percent), behind(F.col("y.n"), l, percent))
-    pairs = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(
-        F.first(l).alias("l"), F.first(must_share(F.col("x.n"), F.col("y.n"), percent) - most).alias("least"),
-        F.count("*").alias("met")).filter("met + l - 1 >= least").select("a", "b", "l")
-    return pairs
+    return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), l.alias("l")).distinct()
 
 
 def share_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -378,12 +395,16 @@ def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: st
     members, table = read_documents(own, space)
     nodes = nodes_of(own, table, space, percent)
     postings = nodes.select("key", "n", F.posexplode("tokens").alias("place", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("documents")).filter("documents > 1").select("token")
-    live = space.save(postings.join(shared, "token"), "postings")
+    live = space.save(linkable(postings, percent), "postings-0")
+    live, last = space.save(linkable(live, percent), "postings"), "postings"
+    space.drop("postings-0")
 
     labels, first, number = None, None, 0
     while True:
         marked = space.save(with_component(live, labels, number), f"marked-{number}")
+        space.drop(last)
+        # a shingle of one component stays one, so the next round needs no others
+        live, last = marked.select("key", "n", "place", "token"), f"marked-{number}"
         asked = space.save(proposals(marked, percent).withColumn("l", F.lit(1)), f"asked-{number}")
         asked = space.save(share_enough(asked, nodes, percent), f"proposals-{number}")
         found = verify(asked, own, members, space, f"round-{number}", percent)
@@ -391,14 +412,15 @@ def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: st
         first = many if first is None else first
         if many:
             labels = merged(labels, found, space, f"labels-{number}")
-            space.drop(f"marked-{number}")
         space.drop(f"asked-{number}", f"proposals-{number}")
         number += 1
         if 50 * many <= first:
             break
-    marked = space.save(with_component(live, labels, number), "marked") if many else marked
+    live = space.save(linkable(live, percent), "left")
+    marked = space.save(with_component(live, labels, number), "marked")
+    space.drop(last, "left")
     rest = space.save(candidates_of(marked, space, percent), "met")
-    space.drop("postings", "marked", "ranked")
+    space.drop("marked", "ranked")
     rest = space.save(share_enough(rest, nodes, percent), "candidates")
     space.drop("nodes", "met")
     found = verify(rest, own, members, space, "rest", percent)

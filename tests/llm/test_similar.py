@@ -164,3 +164,46 @@ def test_copies_with_few_edits_meet_the_least_edited_first(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert similar.groups(docs).filter("component_id <> 0").count() == 0
     assert left[0] < len(texts)
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_nodes_with_few_shared_shingles_are_not_paired(spark, monkeypatch, percent):
+    """Copies with seven edits share many shingles of their prefixes with some other copy each, but are near to none."""
+    from keepsake.llm.common import Workspace
+    rng, base, sizes, save = random.Random(3), [f"w{i}" for i in range(200)], {}, Workspace.save
+
+    def counted(space, df, name, *by):
+        out = save(space, df, name, *by)
+        sizes[name] = out.count()
+        return out
+    texts = [" ".join(base), " ".join(base[:198])]
+    for i in range(80):
+        words = list(base)
+        for k in range(0, 14 if percent == 60 else 7):
+            words[rng.randrange(200)] = f"e{i}x{k}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(Workspace, "save", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar.groups(docs, percent=percent).collect()}
+    assert got == dict(enumerate(brute(texts, percent)))
+    assert sizes["postings"] < sizes["nodes"] * 20 and sizes["ranked"] < 200, sizes
+
+
+@pytest.mark.parametrize("percent", [80, 55, 95])
+def test_linkable_keeps_all_that_link(spark, percent):
+    """Sets of all sizes that are just near enough keep every shingle that their prefixes share."""
+    rng, rows, pairs = random.Random(percent), [], []
+    for k in range(250):
+        n = rng.randrange(1, 150)
+        m = rng.randrange(n, n * 100 // percent + 1)
+        shared = -(-percent * (m + n) // (100 + percent))
+        if shared > n:
+            continue
+        order = rng.sample(range(1000 * k, 1000 * k + 900), m + n - shared)
+        x, y = sorted(order[:n]), sorted(order[:shared] + order[n:])
+        cut = lambda s: s[:len(s) - similar.least_overlap(len(s), percent) + similar.reach(len(s))]
+        rows += [(2 * k, n, i, t) for i, t in enumerate(cut(x))] + [(2 * k + 1, m, i, t) for i, t in enumerate(cut(y))]
+        pairs += [(key, t) for key in (2 * k, 2 * k + 1) for t in {*cut(x)} & {*cut(y)}]
+    live = spark.createDataFrame(rows, "key long, n long, place int, token long")
+    kept = similar.linkable(similar.linkable(live, percent), percent)
+    assert {(r.key, r.token) for r in kept.collect()} >= set(pairs) and len(pairs) > 500

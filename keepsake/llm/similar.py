@@ -395,9 +395,10 @@ def link_components(docs: DataFrame, space: Workspace, id_col: str, text_col: st
     members, table = read_documents(own, space)
     nodes = nodes_of(own, table, space, percent)
     postings = nodes.select("key", "n", F.posexplode("tokens").alias("place", "token"))
-    live = space.save(linkable(postings, percent), "postings-0")
+    shared = postings.groupBy("token").agg(F.count("*").alias("documents")).filter("documents > 1").select("token")
+    live = space.save(postings.join(shared, "token"), "shared")
     live, last = space.save(linkable(live, percent), "postings"), "postings"
-    space.drop("postings-0")
+    space.drop("shared")
 
     labels, first, number = None, None, 0
     while True:

@@ -200,12 +200,22 @@ def between_cells(nodes: DataFrame, rule: tuple[list[str], float | None, float],
     most a cell or two apart, so those in the same or the next cell need not meet.
     """
     scope, seconds, km = rule
+    place = Place(km)
+    code = lambda c: F.shiftleft(c["band"], 32) + c["col"]
+    nodes = nodes.withColumn("spot", code(F.col("spot")))
+    # cells look for each other once, not each of their rows, and only rows of cells that found one travel
+    cells = materialize(nodes.select(*scope, "spot").distinct(), "cells")
+    looks = nodes.select(*scope, F.col("spot").alias("own"), F.explode(place.around(F.col("latitude"), F.col("longitude"))).alias("c"))
+    looks = looks.select(*scope, "own", code(F.col("c")).alias("spot")).filter(F.col("own") != F.col("spot")).distinct()
+    # some twenty cells at most are in reach of one
+    beside = materialize(looks.join(cells, [*scope, "spot"]).groupBy(*scope, "own").agg(F.collect_set("spot").alias("spots")), "beside")
+    seen = materialize(beside.select(*scope, F.explode("spots").alias("spot")).distinct(), "seen")
     left, right = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in nodes.columns]) for side in "ab")
     for c in scope:
         left, right = left.withColumn(c, F.col(f"a_{c}")), right.withColumn(c, F.col(f"b_{c}"))
     keys = [*scope, "spot"]
-    left = left.withColumn("spot", F.col("a_spot"))
-    right = right.withColumn("spot", F.explode(Place(km).around(F.col("b_latitude"), F.col("b_longitude"))))
+    left = left.withColumn("spot", F.col("a_spot")).join(seen, keys, "left_semi")
+    right = right.withColumn("own", F.col("b_spot")).join(beside, [*scope, "own"]).withColumn("spot", F.explode("spots")).drop("own", "spots")
     apart = F.col("a_spot") != F.col("b_spot")
     if seconds and settled:
         width = settled / 2
@@ -235,7 +245,9 @@ def candidate_pairs(df: DataFrame, mode: str = "strict", id_col="id", captured="
     nodes = materialize(rows.groupBy(*own).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "metadata")
     rules = _rules(mode)
     by_time = [(scope, seconds) for scope, seconds, km in rules if not km]
-    counts = pairs_of_any(nodes, by_time, [])
+    # each count is written by itself, so that the files of one sweep go before the next begins
+    alone = lambda found: materialize(found, "count")
+    counts = [alone(found) for found in pairs_of_any(nodes, by_time, [])]
     a, b = lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")
 
     def close(scope, seconds) -> Column:
@@ -247,16 +259,16 @@ def candidate_pairs(df: DataFrame, mode: str = "strict", id_col="id", captured="
     [(scope, seconds, km)] = [rule for rule in rules if rule[2]]
     placed = nodes.filter(_known([*scope, "latitude", "longitude", *(["t"] if seconds else [])])).withColumn(
         "spot", Place(km).cell(F.col("latitude"), F.col("longitude")))
-    counts.append(pairs_within(placed, [*scope, "spot"], seconds))
+    counts.append(alone(pairs_within(placed, [*scope, "spot"], seconds)))
     both = [([*scope, *own_scope], min(limit, seconds or limit)) for own_scope, limit in by_time]
-    counts += [found.select((-F.col("pairs")).alias("pairs")) for found in pairs_of_any(placed, both, [*scope, "spot"])]
+    counts += [alone(found.select((-F.col("pairs")).alias("pairs"))) for found in pairs_of_any(placed, both, [*scope, "spot"])]
     settled = max([limit for own_scope, limit in by_time if set(own_scope) <= set(scope)], default=None)
     distance = haversine_km(a("latitude"), a("longitude"), b("latitude"), b("longitude"))
     first = close(scope, seconds) & (distance < km)
     for rule in by_time:
         first = first & ~close(*rule)
     met = between_cells(placed, (scope, seconds, km), settled).filter(first)
-    counts.append(met.agg(F.sum(a("n") * b("n")).alias("pairs")))
+    counts.append(alone(met.agg(F.sum(a("n") * b("n")).alias("pairs"))))
     pairs = reduce(DataFrame.unionByName, counts).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("bigint").alias("compared"))
     return nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total")).crossJoin(pairs)
 

@@ -119,6 +119,28 @@ def joined_stretches(rows: pd.DataFrame, keys: list[str], idle: int) -> pd.DataF
     return out.assign(**{k: heads[k].to_numpy() for k in keys}, **{c: newest[c].to_numpy() for c in ("id", "context")})
 
 
+def open_stretches(rows, idle: int, whole: bool = True) -> list[tuple]:
+    """The same for the stretches ``(first, last, n, id, context)`` of one key, in plain Python: a data frame for
+    each key costs far more than its rows. ``whole``: ids are whole numbers, also where a missing one made them floats."""
+    def named(x):
+        return None if x is None or x != x else int(x) if whole else x
+
+    given = [(int(first), int(last), int(n), named(id_), context) for first, last, n, id_, context in rows]
+    # a missing id is the largest
+    given.sort(key=lambda s: (s[0], s[1], s[3] is None, 0 if s[3] is None else s[3]))
+    out: list[list] = []
+    for first, last, n, id_, context in given:
+        if out and first - out[-1][1] <= idle:
+            at = out[-1]
+            at[2] += n
+            # the newest so far is of the time at[1]; of one time the largest id, of one id the later row
+            if last > at[1] or last == at[1] and (id_ is None or at[3] is not None and id_ >= at[3]):
+                at[1], at[3], at[4] = last, id_, context
+        else:
+            out.append([first, last, n, id_, context])
+    return [tuple(s) for s in out]
+
+
 def interaction_log(stream: DataFrame, key="session_id", ts="ts", id_col="id", context="context", idle="7 days",
                     delay="1 hour") -> DataFrame:
     """Interactions of each session with the last context; a session is given out, and its state released,
@@ -144,21 +166,22 @@ def interaction_log(stream: DataFrame, key="session_id", ts="ts", id_col="id", c
     merged = rows.mapInPandas(merge, cols).withColumn("at", F.timestamp_micros("last")).withWatermark("at", delay)
     fields = ["first", "last", "n", "id", "context"]
 
+    whole = types[id_col] in ("tinyint", "smallint", "int", "bigint")
+
     def log(name, batches, state):
-        parts = [batch[fields] for batch in batches]
-        if state.exists:
-            parts.insert(0, pd.DataFrame(dict(zip(fields, state.get))))
-        own = joined_stretches(pd.concat(parts, ignore_index=True).assign(all=0), ["all"], pause)
-        passed = own["last"] + pause <= state.getCurrentWatermarkMs() * 1000
-        open_ = own[~passed]
-        if len(open_):
-            state.update(tuple(open_[f].tolist() for f in fields))
-            state.setTimeoutTimestamp(max(-(-(int(open_["last"].min()) + pause) // 1000), state.getCurrentWatermarkMs() + 1))
+        rows = list(zip(*state.get)) if state.exists else []
+        for batch in batches:
+            rows += zip(*[batch[f].tolist() for f in fields])
+        own, mark = open_stretches(rows, pause, whole), state.getCurrentWatermarkMs()
+        open_ = [s for s in own if s[1] + pause > mark * 1000]
+        if open_:
+            state.update(tuple(list(column) for column in zip(*open_)))
+            state.setTimeoutTimestamp(max(-(-(min(s[1] for s in open_) + pause) // 1000), mark + 1))
         elif state.exists:
             state.remove()
-        done = own[passed]
-        if len(done):
-            yield done.assign(**{key: [name[0]] * len(done)})[[key, "n", "context", "last"]]
+        done = [s for s in own if s[1] + pause <= mark * 1000]
+        if done:
+            yield pd.DataFrame({key: [name[0]] * len(done), "n": [s[2] for s in done], "context": [s[4] for s in done], "last": [s[1] for s in done]})
 
     held = f"first array<bigint>, last array<bigint>, n array<bigint>, id array<{types[id_col]}>, context array<{types[context]}>"
     out = merged.groupBy(key).applyInPandasWithState(log, f"{key} {types[key]}, n bigint, context {types[context]}, last bigint", held,
